@@ -34,26 +34,26 @@ class PerfectHash:
 
     def __init__(self, keys: list[bytes]) -> None:
         self.n, self.m = len(keys), max(1, len(keys) // 4)
-        bucket, start, stride = self._hashes(keys)
+        bucket, start = self._hashes(keys)
         order = np.argsort(bucket, kind="stable")
         begin = np.searchsorted(bucket[order], np.arange(self.m + 1))
         size = np.diff(begin)
         self.shift = np.zeros(self.m, np.int64)
         self.key_at = np.full(self.n, -1, np.int64)
-        tries = np.arange(1, 257, dtype=np.int64)
+        tries = np.arange(1, 257, dtype=np.uint64)
         for b in np.argsort(-size, kind="stable"):
             own = order[begin[b] : begin[b + 1]]
             if len(own) < 2:
                 break
             base = 0
             while True:
-                slots = (start[own][None, :] + (base + tries)[:, None] * stride[own][None, :]) % self.n
+                slots = self._slots(start[own][None, :], (np.uint64(base) + tries)[:, None])
                 ok = (self.key_at[slots] < 0).all(axis=1)
                 ordered = np.sort(slots, axis=1)
                 ok &= (ordered[:, 1:] != ordered[:, :-1]).all(axis=1)
                 if ok.any():
                     t = int(np.argmax(ok))
-                    self.shift[b] = base + tries[t]
+                    self.shift[b] = base + int(tries[t])
                     self.key_at[slots[t]] = own
                     break
                 base += len(tries)
@@ -62,18 +62,21 @@ class PerfectHash:
         self.shift[single] = -1 - free
         self.key_at[free] = order[begin[single]]
 
-    def _hashes(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _hashes(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         wide = [xxhash.xxh3_128_intdigest(k) for k in keys]
         low = np.fromiter((w & 0xFFFFFFFFFFFFFFFF for w in wide), np.uint64, len(wide))
-        high = np.fromiter((w >> 64 for w in wide), np.uint64, len(wide))
-        stride = np.uint64(1) + (low >> np.uint64(33)) % np.uint64(max(1, self.n - 1))
-        return (low % np.uint64(self.m)).astype(np.int64), (high % np.uint64(max(1, self.n))).astype(np.int64), stride.astype(np.int64)
+        return (low % np.uint64(self.m)).astype(np.int64), np.fromiter((w >> 64 for w in wide), np.uint64, len(wide))
+
+    def _slots(self, start: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        h = start + shift * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        return ((h ^ (h >> np.uint64(29))) % np.uint64(max(1, self.n))).astype(np.int64)
 
     def find(self, strings: list[bytes]) -> np.ndarray:
         """Number of the key that has each string's slot."""
-        bucket, start, stride = self._hashes(strings)
+        bucket, start = self._hashes(strings)
         shift = self.shift[bucket]
-        return self.key_at[np.where(shift < 0, -1 - shift, (start + shift * stride) % self.n)]
+        return self.key_at[np.where(shift < 0, -1 - shift, self._slots(start, shift.astype(np.uint64)))]
 
 
 class Encoder:

@@ -9,7 +9,8 @@ sum of distances / chi-squared quantile at alpha / 2 with as many degrees of
 freedom as it has claims: few claims make a wide bound, so that a contributor in
 the long tail is not trusted for a lucky start.  With the bound u and K labels
 the weight is log((1 - u)(K - 1) / u), and 0 where a contributor may be no
-better than chance.
+better than chance.  One whose error is surely worse than chance (by the lower
+bound) speaks against the label that it claims, with a negative weight.
 """
 
 from __future__ import annotations
@@ -73,7 +74,10 @@ def truth_discovery(claims: DataFrame, rounds: int = 20) -> tuple[DataFrame, Dat
     def weighed(rows: DataFrame) -> DataFrame:
         each = rows.groupBy("annotator", "label").agg(F.count(F.lit(1)).alias("claims"), F.count_if(F.col("label") != F.col("truth")).alias("wrong"))
         bound = F.least((F.col("wrong") + 0.5) / chi_squared(F.col("claims").cast("double")), F.lit(0.999))
-        return each.withColumn("bound", bound).withColumn("weight", F.greatest(F.log((1 - F.col("bound")) * others / F.col("bound")), F.lit(0.0)))
+        lower = F.least((F.col("wrong") + 0.5) / chi_squared(F.col("claims").cast("double"), 1.959964), F.lit(0.98))
+        odds = lambda e: F.log((1 - e) * others / e)
+        weight = F.when(odds(bound) > 0, odds(bound)).when(odds(lower) < 0, odds(lower)).otherwise(0.0)
+        return each.withColumn("bound", bound).withColumn("weight", weight)
 
     weights, before = None, None
     for _ in range(rounds):
@@ -83,12 +87,12 @@ def truth_discovery(claims: DataFrame, rounds: int = 20) -> tuple[DataFrame, Dat
             break
         before = now
     rows = decided(weights)
-    right = F.col("label") == F.col("truth")
+    right, trust = F.col("label") == F.col("truth"), F.greatest("w", F.lit(1e-9))
     consensus = rows.groupBy("item", F.col("truth").alias("label")).agg(
         F.count(F.lit(1)).alias("annotators"),
         F.avg(right.cast("double")).alias("agreement"),
-        (F.sum(F.when(right, F.col("w")).otherwise(0.0)) / F.sum("w")).alias("support"),
-        F.try_divide(F.sum(F.when(F.col("rating").isNotNull(), F.col("w") * F.col("rating"))), F.sum(F.when(F.col("rating").isNotNull(), F.col("w")))).alias("rating"),
+        F.try_divide(F.sum(F.when(right, trust).otherwise(0.0)), F.sum(trust)).alias("support"),
+        F.try_divide(F.sum(F.when(F.col("rating").isNotNull(), trust * F.col("rating"))), F.sum(F.when(F.col("rating").isNotNull(), trust))).alias("rating"),
     )
     return consensus, weights
 

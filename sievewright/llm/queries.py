@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import cross_split, near_duplicates
+from sievewright.llm import abuse, consensus, cross_split, mixing, near_duplicates, pair_defects
+from sievewright.llm.encode import encode
+from sievewright.llm.token_budget import label, language, token_totals
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,11 +53,91 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
     return cross_split.leakage_report(rows.where("not train").select("id", "split", "source"), cross_split.cross_split_pairs(rows, 0.7))
 
 
+def _consensus(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return consensus.truth_discovery(consensus.clean_reviews(table(spark, folder, "inference_reviews")))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    known = table(spark, folder, "inference_traces").select(F.lower(F.trim("trace_id")).alias("item")).distinct()
+    items, _ = _consensus(spark, folder)
+    return items.where("annotators >= 3").join(known, "item", "left_semi").select(F.col("item").alias("trace_id"), F.col("label").alias("status"))
+
+
+def p2_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    items, _ = _consensus(spark, folder)
+    return items.select(F.col("item").alias("trace_id"), F.col("label").alias("status"), "annotators", *[F.round(c, 6).alias(c) for c in ("agreement", "support", "rating")])
+
+
+def p2_reviewers(spark: SparkSession, folder: str) -> DataFrame:
+    _, contributors = _consensus(spark, folder)
+    return consensus.annotator_reliability(contributors).withColumnRenamed("annotator", "reviewer")
+
+
+def p3_budget(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows and tokens of outputs: mix rows by source and language, training examples by source, language and each domain."""
+    mix = table(spark, folder, "mix_rows").select(
+        F.lit("mix_rows").alias("table_name"), label(F.col("source")).alias("source"), language(F.col("lang")).alias("lang"), F.lit("(all)").alias("domain"), F.col("output").alias("text")
+    )
+    domains = F.array_distinct(F.transform(F.filter("domains", lambda d: F.trim(d) != ""), lambda d: F.lower(F.trim(d))))
+    listed = F.when(F.size(F.coalesce(domains, F.array().cast("array<string>"))) > 0, domains).otherwise(F.array(F.lit("(none)")))
+    examples = table(spark, folder, "training_examples").select(
+        F.lit("training_examples").alias("table_name"), label(F.col("source")).alias("source"), language(F.get_json_object("metadata", "$.dataset_language")).alias("lang"), F.explode(listed).alias("domain"), F.col("output").alias("text")
+    )
+    return token_totals(mix.unionByName(examples), ["table_name", "source", "lang", "domain"])
+
+
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    mix = table(spark, folder, "mix_rows").select(F.lit("mix_rows").alias("table_name"), F.col("row_id").cast("string").alias("row_key"), F.col("instruction").alias("question"), F.col("output").alias("answer"))
+    traces = table(spark, folder, "inference_traces").select(F.lit("inference_traces").alias("table_name"), F.col("trace_id").alias("row_key"), F.col("task").alias("question"), F.col("response_text").alias("answer"))
+    return mix.unionByName(traces)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pair_defects.pair_defects(_pairs(spark, folder))
+
+
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode(table(spark, folder, "documents"))
+
+
+def _uses(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    counted = encode(documents).select("doc_id", F.size("ids").cast("bigint").alias("tokens"))
+    about = documents.select("doc_id", "source", language(F.col("lang")).alias("lang"), F.coalesce(F.get_json_object("metadata", "$.workspace"), F.lit("(none)")).alias("topic"))
+    return mixing.mix(about.join(counted, "doc_id"), table(spark, folder, "mix_targets"))
+
+
+def p7_uses(spark: SparkSession, folder: str) -> DataFrame:
+    return _uses(spark, folder)
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_report(_uses(spark, folder), table(spark, folder, "mix_targets"))
+
+
+def _scores(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.abuse_scores(table(spark, folder, "documents"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _scores(spark, folder).where(F.col("score") >= abuse.CASE).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return _scores(spark, folder)
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "source")
+    return abuse.abuse_rates(_scores(spark, folder).join(documents, "doc_id"))
+
+
 QUERIES: dict[str, Query] = {
-    "p1_found": p1_found,
-    "p1_groups": p1_groups,
-    "p4_found": p4_found,
-    "p4_report": p4_report,
-}
+    f.__name__: f
+    for f in (
+        p1_found, p1_groups, p2_found, p2_agreement, p2_reviewers, p3_budget, p4_found, p4_report,
+        p5_found, p6_ids, p7_uses, p7_shares, p8_found, p8_scores, p8_rates,
+    )
+}
 
 ORACLES: dict[str, str] = {}
