@@ -48,7 +48,7 @@ def token_totals(rows: DataFrame, by: list[str], text: str = "text", name: str =
 
         def out() -> Iterator[pa.RecordBatch]:
             for s, counts in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([s] * len(counts)), pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["slice", "piece", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([s] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["slice", "piece", "n"])
             held.clear()
 
         size = 0
