@@ -1,10 +1,6 @@
-"""Registered queries of the core operators."""
+"""Registered queries of the core operators and their SQL."""
 
-from __future__ import annotations
+from sievewright.plans.core_queries import QUERIES
+from sievewright.plans.core_sql import ORACLES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
