@@ -14,8 +14,9 @@ from sievewright.operators.set_joins import canonical, overlap_pairs
 
 
 def normalized_seeds(seeds: DataFrame) -> DataFrame:
-    """Seeds (id, content, domains, keywords, ...) with normalized text, tokens, keywords, domains and polarity."""
-    listed = seeds.select("*", T.normalized(F.col("content")).alias("norm"), T.normalized_list(F.col("keywords")).alias("kw"), F.array_distinct(F.coalesce("domains", F.array().cast("array<string>"))).alias("dom"))
+    """Seeds (id, content, domains, keywords, reliability) with normalized text, tokens, keywords, domains and polarity; other columns are dropped."""
+    kept = [c for c in ("id", "domains", "reliability") if c in seeds.columns]
+    listed = seeds.select(*kept, T.normalized(F.col("content")).alias("norm"), T.normalized_list(F.col("keywords")).alias("kw"), F.array_distinct(F.coalesce("domains", F.array().cast("array<string>"))).alias("dom"))
     return listed.withColumn("tokens", F.array_distinct(F.filter(F.split("norm", " "), lambda t: t != ""))).withColumn("pol", T.polarity(F.col("norm")))
 
 

@@ -108,8 +108,8 @@ def accepted_samples(samples: DataFrame, reviews: DataFrame) -> DataFrame:
 
 def accepted_seeds(samples: DataFrame, reviews: DataFrame) -> DataFrame:
     """Accepted samples as seeds, with the smaller of reliability and review score as confidence; the last review of an id counts."""
-    last = reviews.where("accepted").groupBy("id").agg(F.max_by("score", F.struct("score", "content_hash")).alias("score"))
-    return samples.join(last, "id").withColumn("confidence", F.least(F.coalesce("reliability", F.lit(0.0)), "score")).drop("score")
+    last = reviews.where("accepted").groupBy("id").agg(F.max_by("score", F.struct("score", "content_hash")).alias("__score"))
+    return samples.join(last, "id").withColumn("confidence", F.least(F.coalesce("reliability", F.lit(0.0)), "__score")).drop("__score")
 
 
 def validate_seeds(seeds: DataFrame, min_chars: int = 40, weak: float = 0.7, quarantine: float = 0.35) -> DataFrame:
