@@ -6,7 +6,7 @@ Null text behaves as empty text unless a function says otherwise.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +27,11 @@ def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once; a lambda would compute what it takes from outside for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def term_sequence(text: Column) -> Column:
     """Lower-case runs of a-z and 0-9 in order; other letters separate."""
     return F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit("([a-z0-9]+)"), F.lit(1))
@@ -64,18 +69,22 @@ def content_terms(text: Column, stop_words: Sequence[str] = L.STOP_WORDS) -> Col
 
 def top_keywords(text: Column, limit: int = 12, stop_words: Sequence[str] = L.STOP_WORDS) -> Column:
     """Most frequent content terms, ties by name.  For short texts; see ``operators.keywords`` for long ones."""
-    listed = content_terms(text, stop_words)
-    # Sorted, a term's count is the distance of its last place from its first.
-    ordered = F.array_sort(listed)
-    counted = F.transform(F.array_distinct(ordered), lambda t: F.struct((-F.size(F.filter(ordered, lambda u: u == t))).alias("n"), t.alias("t")))
-    return F.slice(F.transform(F.array_sort(counted), lambda s: s["t"]), 1, limit)
+
+    def ranked(ordered: Column) -> Column:
+        counted = F.transform(F.array_distinct(ordered), lambda t: F.struct((-F.size(F.filter(ordered, lambda u: u == t))).alias("n"), t.alias("t")))
+        return F.slice(F.transform(F.array_sort(counted), lambda c: c["t"]), 1, limit)
+
+    return let(F.array_sort(content_terms(text, stop_words)), ranked)
 
 
 def domains_of(found: Column, domain_words: Mapping[str, Sequence[str]] = L.DOMAIN_WORDS, labels: Mapping[str, Sequence[str]] = L.DOMAIN_LABELS, fallback: str = L.FALLBACK_DOMAIN) -> Column:
     """Labels of the domains that share a term, in lexicon order; the fallback if none does."""
-    each = [F.when(F.arrays_overlap(found, words(ws)), words(labels.get(d, (d,)))) for d, ws in domain_words.items()]
-    listed = F.array_distinct(F.flatten(F.filter(F.array(*each), lambda x: x.isNotNull())))
-    return F.when(F.size(listed) > 0, listed).otherwise(words((fallback,)))
+
+    def labelled(terms_: Column) -> Column:
+        each = [F.when(F.arrays_overlap(terms_, words(ws)), words(labels.get(d, (d,)))) for d, ws in domain_words.items()]
+        return F.array_distinct(F.flatten(F.filter(F.array(*each), lambda x: x.isNotNull())))
+
+    return let(let(found, labelled), lambda listed: F.when(F.size(listed) > 0, listed).otherwise(words((fallback,))))
 
 
 def has_any(lowered: Column, parts: Sequence[str]) -> Column:
@@ -124,30 +133,40 @@ def overlap(left: Column, right: Column) -> Column:
 def is_repetitive(text: Column) -> Column:
     """Fewer than five words, or less than 35 of 100 words distinct; words without .,:;!?()[]{}\" at their ends."""
     listed = F.filter(F.transform(F.split(squashed(text), " "), lambda t: F.lower(F.regexp_replace(t, r"""^[.,:;!?()\[\]{}"]+|[.,:;!?()\[\]{}"]+$""", ""))), lambda t: t != "")
-    return (F.size(listed) < 5) | (F.size(F.array_distinct(listed)) < F.lit(0.35) * F.size(listed))
+    return let(listed, lambda w: (F.size(w) < 5) | (F.size(F.array_distinct(w)) < F.lit(0.35) * F.size(w)))
 
 
 def is_generic(text: Column) -> Column:
     """A generic phrase, fewer than five words, or one word in more than 55 of 100 places."""
-    plain = squashed(F.lower(text_or_empty(text)))
-    listed = F.filter(F.split(squashed(F.translate(plain, ".,", "  ")), " "), lambda t: t != "")
-    # A word in more than half of all places stands in the middle of the sorted list.
-    ordered = F.array_sort(listed)
-    middle = F.element_at(ordered, F.greatest(F.lit(1), ((F.size(ordered) + 1) / 2).cast("int")))
-    most = F.size(F.filter(ordered, lambda t: t == middle))
-    short = F.size(listed) < 5
-    return plain.isin(*L.GENERIC_CONTENT) | short | F.when(~short, most > F.lit(0.55) * F.size(listed)).otherwise(True)
+
+    def repeated(ordered: Column) -> Column:
+        # A word in more than half of all places stands in the middle of the sorted list.
+        middle = F.element_at(ordered, F.greatest(F.lit(1), ((F.size(ordered) + 1) / 2).cast("int")))
+        most = let(middle, lambda m: F.size(F.filter(ordered, lambda t: t == m)))
+        return F.when(F.size(ordered) < 5, True).otherwise(most > F.lit(0.55) * F.size(ordered))
+
+    def decided(plain: Column) -> Column:
+        listed = F.filter(F.split(squashed(F.translate(plain, ".,", "  ")), " "), lambda t: t != "")
+        return plain.isin(*L.GENERIC_CONTENT) | let(F.array_sort(listed), repeated)
+
+    return let(squashed(F.lower(text_or_empty(text))), decided)
 
 
 def prefixed_block(text: Column, prefix: str) -> Column:
     """Text after the first ``prefix`` up to the next known one, any case; empty without the prefix."""
-    plain = squashed(text)
-    low = F.lower(plain)
-    at = F.instr(low, prefix.lower())
-    start = at + len(prefix)
-    rest = F.substr(low, start)
-    ends = [F.when(F.instr(rest, p.lower()) > 0, F.instr(rest, p.lower()) - 1) for p in L.BLOCK_PREFIXES]
-    return F.when(at > 0, F.trim(F.substr(plain, start, F.coalesce(F.least(*ends), F.length(plain))))).otherwise("")
+
+    def cut(plain: Column) -> Column:
+        at = F.instr(F.lower(plain), prefix.lower())
+        rest = F.substr(plain, at + len(prefix))
+
+        def up_to_next(tail: Column) -> Column:
+            low = F.lower(tail)
+            ends = [F.when(F.instr(low, p.lower()) > 0, F.instr(low, p.lower()) - 1) for p in L.BLOCK_PREFIXES]
+            return F.trim(F.substr(tail, F.lit(1), F.coalesce(F.least(*ends), F.length(tail))))
+
+        return F.when(at > 0, let(rest, up_to_next)).otherwise("")
+
+    return let(squashed(text), cut)
 
 
 def rounded(value: Column, digits: int) -> Column:

@@ -20,8 +20,8 @@ def case_table(spark: SparkSession, cases: Sequence[tuple] = L.BENCHMARK_CASES)
 
 def coverage(expected: Column, observed: Column) -> Column:
     """Share of expected labels that are observed, any case, three digits; 1 without expectations.  Repeated ones count."""
-    seen = F.transform(F.coalesce(observed, F.array().cast("array<string>")), F.lower)
-    hits = F.size(F.filter(expected, lambda e: F.array_contains(seen, F.lower(e))))
+    lowered = F.transform(F.coalesce(observed, F.array().cast("array<string>")), F.lower)
+    hits = T.let(lowered, lambda seen: F.size(F.filter(expected, lambda e: F.array_contains(seen, F.lower(e)))))
     return F.when(F.size(F.coalesce(expected, F.array().cast("array<string>"))) == 0, 1.0).otherwise(F.round(hits / F.size(expected), 3))
 
 

@@ -29,7 +29,7 @@ def duplicate_edges(seeds: DataFrame, keyword_threshold: float = 0.8, text_thres
     rows = normalized_seeds(seeds).select("id", "norm", "kw", "dom", "tokens", "pol").persist(StorageLevel.MEMORY_AND_DISK)
     first = rows.where("norm <> ''").groupBy("norm").agg(F.min("id").alias("i"), F.count(F.lit(1)).alias("n")).where("n > 1")
     exact = rows.join(first, "norm").where("id <> i").select("i", F.col("id").alias("j"), F.lit("exact").alias("rule"), F.lit(1.0).alias("score"))
-    by_keyword = overlap_pairs(rows.select("id", F.col("kw").alias("items")), keyword_threshold).select("a", "b", "shared", F.lit("keywords").alias("rule"))
+    by_keyword = overlap_pairs(rows.select("id", F.col("kw").alias("items"), "dom"), keyword_threshold, groups="dom").select("a", "b", "shared", F.lit("keywords").alias("rule"))
     by_text = overlap_pairs(rows.where(F.length("norm") <= short).select("id", F.col("tokens").alias("items")), text_threshold).select("a", "b", "shared", F.lit("text").alias("rule"))
     side = lambda c: rows.select(F.col("id").alias(c), F.col("dom").alias(f"d{c}"), F.col("pol").alias(f"p{c}"), F.col("norm").alias(f"n{c}"))
     near = by_keyword.unionByName(by_text).join(side("a"), "a").join(side("b"), "b")
@@ -52,7 +52,8 @@ def conflicts(seeds: DataFrame, keyword_threshold: float = 0.25, text_threshold:
     medium.  Only seeds with a polarity are indexed, positive and negative ones together; thresholds must be above 0.
     """
     rows = normalized_seeds(seeds).where("pol <> 0").select("id", "kw", "dom", "tokens", "pol", F.coalesce("reliability", F.lit(0.0)).alias("rel")).persist(StorageLevel.MEMORY_AND_DISK)
-    met = overlap_pairs(rows.select("id", F.col("kw").alias("items")), keyword_threshold).select("a", "b").unionByName(overlap_pairs(rows.select("id", F.col("tokens").alias("items")), text_threshold).select("a", "b"))
+    shared = lambda column, threshold: overlap_pairs(rows.select("id", F.col(column).alias("items"), "dom", "pol"), threshold, groups="dom", side="pol").select("a", "b")
+    met = shared("kw", keyword_threshold).unionByName(shared("tokens", text_threshold))
     met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda c: rows.select(F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("kw", "dom", "tokens", "pol", "rel")])
     both = met.join(side("a"), "a").join(side("b"), "b").where((F.col("pol_a") != F.col("pol_b")) & F.arrays_overlap("dom_a", "dom_b"))

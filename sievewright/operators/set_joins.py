@@ -5,27 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.functions import text as T
+from sievewright.operators.lineage import checkpointed
 
 
-def overlap_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+def overlap_pairs(sets: DataFrame, threshold: float, groups: str | None = None, side: str | None = None) -> DataFrame:
     """Pairs (a, b, shared) of sets (id, items) that share at least ``threshold`` of the smaller one; a is the smaller.
 
     Of two sets of equal size a is the one with the smaller id.  ``items`` holds distinct strings; empty and null sets
     pair with none.  A smaller set of n items must share one of its n - ceil(threshold n) + 1 rarest items, so only
-    those probe the index, and frequent items are probed last.  threshold must be above 0.
+    those probe the index, and frequent items are probed last.  threshold must be above 0.  With ``groups``, an array
+    column, only sets with a common group pair, and the index is kept by group; with ``side`` only sets of different
+    sides.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    each = sets.select("id", F.explode("items").alias("item"), F.size("items").alias("n"))
+    own = sets.select("id", "items", F.size("items").alias("n"), *([F.col(groups).alias("groups")] if groups else []), (F.col(side) if side else F.lit(0)).alias("side"))
+    each = own.select("id", F.explode("items").alias("item"), "n")
     frequency = each.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
     ordered = each.join(frequency, "item").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("o"))
     length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    probe = ordered.select(F.col("id").alias("a"), F.col("n").alias("na"), F.explode(F.slice("o", F.lit(1), length.cast("int"))).alias("p")).select("a", "na", F.col("p.item").alias("item"))
-    index = each.select("item", F.col("id").alias("b"), F.col("n").alias("nb"))
-    met = probe.join(index, "item").where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))).select("a", "b", "na").distinct()
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("items").alias(f"i{c}"))
-    counted = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.size(F.array_intersect("ia", "ib")) / F.col("na")).alias("shared"))
+    group = own.select("id", "side", (F.explode("groups") if groups else F.lit("")).alias("g"))
+    probe = ordered.select("id", "n", F.explode(F.slice("o", F.lit(1), length.cast("int"))).alias("p")).join(group, "id").select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("p.item").alias("item"), "g", F.col("side").alias("sa"))
+    index = each.join(group, "id").select("item", "g", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("side").alias("sb"))
+    met = probe.join(index, ["item", "g"]).where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
+    if side:
+        met = met.where("sa <> sb")
+    met = met.select("a", "b", "na").distinct()
+    of = lambda c: sets.select(F.col("id").alias(c), F.col("items").alias(f"i{c}"))
+    counted = met.join(of("a"), "a").join(of("b"), "b").select("a", "b", (F.size(F.array_intersect("ia", "ib")) / F.col("na")).alias("shared"))
     return counted.where(F.col("shared") >= threshold)
 
 
@@ -35,8 +42,6 @@ def canonical(edges: DataFrame, nodes: DataFrame, rounds: int = 200) -> DataFram
     ``edges``: (i, j), i before j.  A row stays if no earlier neighbour stays, and else repeats the earliest that does:
     rows are decided in rounds, each once its earlier neighbours are.  ``nodes``: id.
     """
-    from sievewright.operators.lineage import checkpointed
-
     links = checkpointed(edges.select("i", "j").where("i < j").distinct())
     state = checkpointed(nodes.select("id").join(links.select(F.col("j").alias("id")).distinct(), "id", "left_semi").withColumn("stays", F.lit(None).cast("boolean")).withColumn("of", F.lit(None).cast(nodes.schema["id"].dataType)))
     for _ in range(rounds):
@@ -54,9 +59,3 @@ def canonical(edges: DataFrame, nodes: DataFrame, rounds: int = 200) -> DataFram
     else:
         raise RuntimeError("the scan did not end")
     return nodes.select("id").join(state.select("id", F.col("of").alias("duplicate_of")), "id", "left")
-
-
-def same_polarity(left: str, right: str):  # noqa: ANN201
-    """Condition that two normalized texts don't oppose each other."""
-    p, q = T.polarity(F.col(left)), T.polarity(F.col(right))
-    return ~((p != 0) & (q != 0) & (p != q))

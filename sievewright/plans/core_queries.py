@@ -179,7 +179,7 @@ def normalized_pairs(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def seed_validation(spark: SparkSession, folder: str) -> DataFrame:
     found = review.validate_seeds(S.mix_seeds(spark, folder))
-    return found.select("id", "status", F.round("score", 2).alias("score"), F.array_join("warnings", "; ").alias("warnings"))
+    return found.select("id", "status", "score", F.array_join("warnings", "; ").alias("warnings"))
 
 
 @query
@@ -373,7 +373,7 @@ def prompt_render(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def event_windows(spark: SparkSession, folder: str) -> DataFrame:
     rows = S.table(spark, folder, "events")
-    each = rows.groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean_value"))
+    each = rows.groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 8).alias("mean_value"))
     return each.select(F.col("w.start").alias("start"), "event_type", "n", "mean_value")
 
 

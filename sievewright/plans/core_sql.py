@@ -120,17 +120,20 @@ _VALID = f"""{_SEEDS}, v AS (SELECT *, {squashed('content')} AS t, lower({squash
     v2 AS (SELECT *, list_filter(string_split({squashed("translate(low, '.,', '  ')")}, ' '), lambda x: x <> '') AS toks FROM v),
     cnt AS (SELECT id, max(n) AS most FROM (SELECT id, x, count(*) AS n FROM (SELECT id, unnest(toks) AS x FROM v2) GROUP BY ALL) GROUP BY id),
     v3 AS (SELECT v2.*, low IN {listed(L.GENERIC_CONTENT)} OR len(toks) < 5 OR most > 0.55 * len(toks) AS generic,
-        CASE WHEN t = '' THEN 0.0 ELSE greatest(0.0, least(reliability * 0.35 + confidence * 0.35 + least(length(t) / 80, 1.0) * 0.15 + CASE WHEN len(domains) > 0 THEN 1.0 ELSE 0.0 END * 0.075 + least(len(kw) / 4, 1.0) * 0.075, 1.0)) END AS raw FROM v2 LEFT JOIN cnt USING (id)),
-    v4 AS (SELECT *, round(raw, 3) AS score, CASE WHEN t = '' THEN [] ELSE list_filter([CASE WHEN length(t) < 40 THEN 'content is short' END, CASE WHEN reliability < 0.5 THEN 'source reliability is low' END, CASE WHEN confidence < 0.4 THEN 'seed confidence is low' END,
-        CASE WHEN len(domains) = 0 THEN 'domains are missing' END, CASE WHEN len(kw) = 0 THEN 'keywords are missing' END, CASE WHEN generic THEN 'content looks generic' END], lambda x: x IS NOT NULL) END AS warn FROM v3),
-    valid AS (SELECT id, round(score, 2) AS score, array_to_string(warn, '; ') AS warnings, CASE WHEN t = '' OR reliability <= 0.05 THEN 'rejected' WHEN confidence < 0.25 OR score < 0.35 OR generic THEN 'quarantined' WHEN score < 0.7 OR len(warn) > 0 THEN 'weak' ELSE 'validated' END AS status FROM v4)"""
+        CASE WHEN t = '' THEN 0.0 ELSE greatest(0.0, least(reliability * 0.35::DOUBLE + confidence * 0.35::DOUBLE + least(length(t) / 80, 1.0::DOUBLE) * 0.15::DOUBLE + CASE WHEN len(domains) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END * 0.075::DOUBLE + least(len(kw) / 4, 1.0::DOUBLE) * 0.075::DOUBLE, 1.0)) END AS raw FROM v2 LEFT JOIN cnt USING (id)),
+    r1 AS (SELECT *, raw * 1000.0::DOUBLE AS p, 134217729.0::DOUBLE * raw - (134217729.0::DOUBLE * raw - raw) AS hi FROM v3),
+    r2 AS (SELECT *, (hi * 1000.0::DOUBLE - p) + (raw - hi) * 1000.0::DOUBLE AS err, floor(p) AS fl FROM r1),
+    r3 AS (SELECT *, CASE WHEN p - fl < 0.5 THEN fl WHEN p - fl > 0.5 THEN fl + 1 WHEN err < 0 THEN fl WHEN err > 0 THEN fl + 1 WHEN fl % 2 = 0 THEN fl ELSE fl + 1 END / 1000.0::DOUBLE AS score FROM r2),
+    v4 AS (SELECT *, CASE WHEN t = '' THEN [] ELSE list_filter([CASE WHEN length(t) < 40 THEN 'content is short' END, CASE WHEN reliability < 0.5 THEN 'source reliability is low' END, CASE WHEN confidence < 0.4 THEN 'seed confidence is low' END,
+        CASE WHEN len(domains) = 0 THEN 'domains are missing' END, CASE WHEN len(kw) = 0 THEN 'keywords are missing' END, CASE WHEN generic THEN 'content looks generic' END], lambda x: x IS NOT NULL) END AS warn FROM r3),
+    valid AS (SELECT id, score, array_to_string(warn, '; ') AS warnings, CASE WHEN t = '' OR reliability <= 0.05 THEN 'rejected' WHEN confidence < 0.25 OR score < 0.35 OR generic THEN 'quarantined' WHEN score < 0.7 OR len(warn) > 0 THEN 'weak' ELSE 'validated' END AS status FROM v4)"""
 
 _SHARED = "len(list_intersect(a.{0}, b.{0})) / least(len(a.{0}), len(b.{0}))"
 _CONFLICT = f"""{_NORMAL}, p AS (SELECT a.id AS left_id, b.id AS right_id, CASE WHEN least(len(a.nkw), len(b.nkw)) > 0 THEN {_SHARED.format('nkw')} ELSE 0.0 END AS k, CASE WHEN least(len(a.toks), len(b.toks)) > 0 THEN {_SHARED.format('toks')} ELSE 0.0 END AS x, least(a.reliability, b.reliability) AS rel
     FROM (SELECT *, kw AS nkw FROM nt WHERE pol <> 0) a JOIN (SELECT *, kw AS nkw FROM nt WHERE pol <> 0) b ON a.id < b.id AND a.pol <> b.pol AND list_has_any(a.dom, b.dom)),
     conf AS (SELECT left_id, right_id, CASE WHEN rel < 0.4 THEN 'low' WHEN k >= 0.75 OR x >= 0.65 THEN 'high' ELSE 'medium' END AS severity, round(k, 3) AS keyword_overlap, round(x, 3) AS text_overlap FROM p WHERE k >= {NEAR} OR x >= {NEAR})"""
-_RESULTS = f"""(SELECT *, round(routing * 0.5 + context * 0.35 + growth * 0.15, 3) AS overall FROM (SELECT adapter_name AS run_id, concat_ws('/', template_name, model) AS case_id,
-    round(avg(least(coalesce(len(selected_modules), 0) / 3, 1.0)), 3) AS routing, round(avg(least(coalesce(len(context_sources), 0) / 4, 1.0)), 3) AS context, round(avg(CASE WHEN error IS NULL THEN 1.0 ELSE 0.0 END), 3) AS growth FROM {_TRACES} GROUP BY ALL))"""
+_RESULTS = f"""(SELECT *, round(routing * 0.5 + context * 0.35 + growth * 0.15, 6) AS overall FROM (SELECT adapter_name AS run_id, concat_ws('/', template_name, model) AS case_id,
+    round(avg(least(coalesce(len(selected_modules), 0) / 3, 1.0)), 6) AS routing, round(avg(least(coalesce(len(context_sources), 0) / 4, 1.0)), 6) AS context, round(avg(CASE WHEN error IS NULL THEN 1.0 ELSE 0.0 END), 6) AS growth FROM {_TRACES} GROUP BY ALL))"""
 _DELTAS = f"""b AS (SELECT * FROM {_RESULTS} WHERE run_id = 'static-local'), c AS (SELECT * FROM {_RESULTS} WHERE run_id = 'lora-small'),
     delta AS (SELECT coalesce(b.case_id, c.case_id) AS case_id, {', '.join(f'round(coalesce(c.{m}, 0) - coalesce(b.{m}, 0), 3) AS {m}_delta' for m in ('overall', 'routing', 'context', 'growth'))},
     b.case_id IS NULL AS only_c, c.case_id IS NULL AS only_b FROM b FULL JOIN c ON b.case_id = c.case_id),
@@ -202,6 +205,6 @@ ORACLES: dict[str, str] = {
         unnest(range(1, CASE WHEN source LIKE 'data/corrections%' THEN 9 WHEN source LIKE 'data/%' THEN 4 ELSE 2 END)) AS copy FROM mix_rows WHERE source IS NOT NULL)""",
     "trace_id_hash": f"SELECT trace_id, 'trace:' || left(sha256(coalesce(task, '') || chr(10) || coalesce(template_name, '') || chr(10) || coalesce(response_text, '')), 16) AS stable_id FROM {_TRACES}",
     "prompt_render": f"SELECT trace_id, 'Task: ' || coalesce(task, '') || chr(10) || 'Route: ' || coalesce(routing_summary, '') AS prompt FROM {_TRACES}",
-    "event_windows": "SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(avg(value), 4) AS mean_value FROM events GROUP BY ALL",
+    "event_windows": "SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(avg(value), 8) AS mean_value FROM events GROUP BY ALL",
     "event_sessions": """SELECT min(ts) AS start, user_id, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 12 HOURS THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""",
 }
