@@ -141,3 +141,26 @@ def rendered(rows: DataFrame, template: str, fields: Sequence[str]) -> Column:
     for f in sorted(named):
         out = F.replace(out, F.lit("{" + f + "}"), T.text_or_empty(F.col(f).cast("string")))
     return out
+
+
+def ordered(rows: DataFrame) -> DataFrame:
+    """Examples in order of source, status, instruction and output."""
+    return rows.orderBy("source", "validation_status", "instruction", "output")
+
+
+def unique_ids(rows: DataFrame, base: str, order: str) -> DataFrame:
+    """Rows with ``unique_id``: the base, from its second row on with -2, -3 and so on.
+
+    Numbers are places in order within a base, so they don't avoid a base that already ends like that.
+    """
+    place = F.row_number().over(Window.partitionBy(base).orderBy(order))
+    return rows.withColumn("unique_id", F.when(place == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), place.cast("string"))))
+
+
+def manifest(rows: DataFrame, splits: DataFrame) -> DataFrame:
+    """(part, value, n): a manifest in long form: splits, statuses, sources, licences, domains and origins."""
+    one = lambda column, part: count_one(rows, column).select(F.lit(part).alias("part"), "value", "n")
+    out = splits.groupBy("split").agg(F.count(F.lit(1)).alias("n")).select(F.lit("split").alias("part"), F.col("split").alias("value"), "n")
+    out = out.unionByName(one("validation_status", "status")).unionByName(one("source", "source")).unionByName(one("license", "license"))
+    out = out.unionByName(count_many(rows, "domains").select(F.lit("domain").alias("part"), "value", "n"))
+    return out.unionByName(provenance_summary(rows).select(F.lit("origin").alias("part"), F.col("origin").alias("value"), "n"))

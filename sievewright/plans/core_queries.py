@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as T
-from sievewright.operators import benchmark, chunking, growth, ingest, retrieval, review, routing, training
+from sievewright.operators import benchmark, chunking, growth, handlers, ingest, retrieval, review, routing, training
 from sievewright.plans import tables as S
 from sievewright.sources import jsonl
 
@@ -382,3 +382,26 @@ def event_sessions(spark: SparkSession, folder: str) -> DataFrame:
     rows = S.table(spark, folder, "events")
     each = rows.groupBy(F.session_window("ts", "12 hours").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return each.select(F.col("w.start").alias("start"), "user_id", "n")
+
+
+@query
+def orchestrate(spark: SparkSession, folder: str) -> DataFrame:
+    """Tasks of traces to modules, each selected module's handler applied, results put together."""
+    tasks = S.trace_tasks(spark, folder)
+    routes = routing.route(tasks, routing.module_table(spark))
+    done = handlers.handled(routes, tasks, {"code-assistant": lambda t: F.concat(F.lit("code: "), T.shortened(t, 40)), "document-search": lambda t: F.concat(F.lit("search: "), F.array_join(T.top_keywords(t, 3), " "))}, lambda t: F.lit("reason"))
+    return handlers.combined(done).select("task_id", F.array_join("modules", ",").alias("modules"), "text")
+
+
+@query
+def export_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    rows = S.table(spark, folder, "training_examples")
+    return training.manifest(rows, rows.select(F.lower(F.trim("split_name")).alias("split")))
+
+
+@query
+def memory_search_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Best documents for each benchmark task."""
+    cases = benchmark.case_table(spark).select(F.col("case_id").alias("task_id"), "task")
+    memory = S.table(spark, folder, "documents").select(F.col("doc_id").alias("record_id"), F.col("text").alias("content"), F.array().cast("array<string>").alias("domains"), F.array().cast("array<string>").alias("keywords"), "source")
+    return retrieval.search_memory(cases, memory, 5).select("task_id", "record_id", "score", "relevance", "rank")

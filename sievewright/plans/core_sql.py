@@ -207,4 +207,12 @@ ORACLES: dict[str, str] = {
     "prompt_render": f"SELECT trace_id, 'Task: ' || coalesce(task, '') || chr(10) || 'Route: ' || coalesce(routing_summary, '') AS prompt FROM {_TRACES}",
     "event_windows": "SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(avg(value), 8) AS mean_value FROM events GROUP BY ALL",
     "event_sessions": """SELECT min(ts) AS start, user_id, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 12 HOURS THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""",
+    "export_manifest": """WITH t AS (SELECT * FROM training_examples)
+        SELECT 'split' AS part, lower(trim(split_name)) AS value, count(*) AS n FROM t GROUP BY 2 UNION ALL SELECT 'status', coalesce(nullif(validation_status, ''), 'unknown'), count(*) FROM t GROUP BY 2
+        UNION ALL SELECT 'source', coalesce(nullif(source, ''), 'unknown'), count(*) FROM t GROUP BY 2 UNION ALL SELECT 'license', coalesce(nullif(license, ''), 'unknown'), count(*) FROM t GROUP BY 2
+        UNION ALL SELECT 'domain', value, count(*) FROM (SELECT unnest(domains) AS value FROM t) WHERE value <> '' GROUP BY 2 UNION ALL SELECT 'origin', coalesce(provenance['origin'], 'unknown'), count(*) FROM t GROUP BY 2""",
+    "memory_search_documents": f"""WITH tasks(task_id, task) AS (VALUES {', '.join(f'({quoted(c[0])}, {quoted(c[1])})' for c in L.BENCHMARK_CASES)}), asked AS (SELECT DISTINCT task_id, unnest({terms('task')}) AS term FROM tasks),
+        held AS (SELECT DISTINCT doc_id, unnest({terms('text')}) AS term FROM documents), hit AS (SELECT task_id, doc_id AS record_id, count(*) * 0.5::DOUBLE AS score FROM asked JOIN held USING (term) GROUP BY ALL),
+        r AS (SELECT task_id, record_id, score, round(score / max(score) OVER (PARTITION BY task_id), 4) AS relevance, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, coalesce(source, ''), record_id) AS rank FROM hit JOIN documents ON record_id = doc_id)
+        SELECT task_id, record_id, score, relevance, rank::INTEGER AS rank FROM r WHERE rank <= 5""",
 }
