@@ -16,7 +16,7 @@ bound) speaks against the label that it claims, with a negative weight.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm.pairs import within_bound
@@ -56,20 +56,19 @@ def truth_discovery(claims: DataFrame, rounds: int = 20) -> tuple[DataFrame, Dat
     weight, ``rating`` the weighted mean of ratings.  Equal weights are decided by the order of ``LABELS``.  Null
     ratings are left out; an item of which no rating is known has none.  Of an empty table both results are empty.
     """
-    parts = int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    claims = claims.select("item", "annotator", "label", "rating").repartition(parts, "item").persist(StorageLevel.MEMORY_AND_DISK)
-    item = Window.partitionBy("item")
+    claims = claims.select("item", "annotator", "label", "rating").persist(StorageLevel.MEMORY_AND_DISK)
     others = F.lit(float(len(LABELS) - 1))
 
     def decided(weights: DataFrame | None) -> DataFrame:
-        rows = claims.withColumn("w", F.lit(1.0)) if weights is None else claims.join(within_bound(weights.select("annotator", "label", "weight")), ["annotator", "label"], "left").withColumn("w", F.coalesce("weight", F.lit(0.0)) + 1e-9)
-        totals = [F.sum(F.when(F.col("label") == k, F.col("w")).otherwise(0.0)).over(item).alias(f"w_{i}") for i, k in enumerate(LABELS)]
-        rows = rows.select("item", "annotator", "label", "rating", "w", *totals)
+        """Claims with their weight and their item's label; sums per item are pre-aggregated, so that an item may have very many claims."""
+        rows = claims.withColumn("w", F.lit(1.0)) if weights is None else claims.join(within_bound(weights.select("annotator", "label", "weight")), ["annotator", "label"], "left").withColumn("w", F.coalesce("weight", F.lit(0.0)) + 1e-6)
+        rows = rows.select("item", "annotator", "label", "rating", "w")
+        totals = rows.groupBy("item").agg(*[F.sum(F.when(F.col("label") == k, F.col("w")).otherwise(0.0)).alias(f"w_{i}") for i, k in enumerate(LABELS)])
         best = F.greatest(*[F.col(f"w_{i}") for i in range(len(LABELS))])
         chosen = F.lit(LABELS[-1])
         for i in range(len(LABELS) - 2, -1, -1):
-            chosen = F.when(F.col(f"w_{i}") >= best - 1e-12, LABELS[i]).otherwise(chosen)
-        return rows.withColumn("truth", chosen)
+            chosen = F.when(F.col(f"w_{i}") >= best - 1e-10, LABELS[i]).otherwise(chosen)
+        return rows.join(totals.select("item", chosen.alias("truth")), "item")
 
     def weighed(rows: DataFrame) -> DataFrame:
         each = rows.groupBy("annotator", "label").agg(F.count(F.lit(1)).alias("claims"), F.count_if(F.col("label") != F.col("truth")).alias("wrong"))
@@ -87,7 +86,7 @@ def truth_discovery(claims: DataFrame, rounds: int = 20) -> tuple[DataFrame, Dat
             break
         before = now
     rows = decided(weights)
-    right, trust = F.col("label") == F.col("truth"), F.greatest("w", F.lit(1e-9))
+    right, trust = F.col("label") == F.col("truth"), F.greatest("w", F.lit(1e-6))
     consensus = rows.groupBy("item", F.col("truth").alias("label")).agg(
         F.count(F.lit(1)).alias("annotators"),
         F.avg(right.cast("double")).alias("agreement"),
