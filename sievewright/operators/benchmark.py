@@ -88,7 +88,7 @@ def check_responses(responses: DataFrame, cases: DataFrame) -> DataFrame:
     bad = F.exists("forbidden", lambda r: F.contains(low, F.lower(r)))
     first = F.trim(F.split(F.trim(low), "\n")[0])
     starts = F.col("opening").isNull() | F.startswith(first, F.lower("opening"))
-    rows = responses.join(F.broadcast(cases), "case_id")
+    rows = responses.join(cases, "case_id")
     return rows.select("case_id", "id", ((F.size(missing) == 0) & ~bad & starts).alias("passed"), F.size(missing).alias("missing"))
 
 

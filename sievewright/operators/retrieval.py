@@ -42,8 +42,9 @@ def search_memory(tasks: DataFrame, memory: DataFrame, limit: int = 3, name: str
     hits = asked.join(memory_index(memory), ["term", "role"]).groupBy("task_id", "record_id").agg(F.sum("weight").alias("score"))
     hits = hits.join(memory.select("record_id", source.alias("source")), "record_id")
     order = Window.partitionBy("task_id").orderBy(F.desc("score"), "source", "record_id")
-    best = F.max("score").over(Window.partitionBy("task_id"))
-    ranked = hits.withColumn("best", best).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    # The limit comes first: it is applied before the shuffle, and the best score is among what it keeps.
+    ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    ranked = ranked.withColumn("best", F.max("score").over(Window.partitionBy("task_id")))
     return ranked.select("task_id", "record_id", "source", "score", F.round(F.col("score") / F.col("best"), 4).alias("relevance"), "rank", F.lit(name).alias("memory"))
 
 

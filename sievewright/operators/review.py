@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.functions import lexicon as L
@@ -140,6 +140,9 @@ def validate_seeds(seeds: DataFrame, min_chars: int = 40, weak: float = 0.7, qua
 
 
 def last_per_key(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last row of each key by an order, as an upserted store would hold it; equal rows count once."""
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(*[F.desc_nulls_last(c) for c in order]))
-    return rows.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    """The last row of each key by an order, as an upserted store would hold it; equal rows count once, nulls come first.
+
+    Pre-aggregated, so that a key with very many rows is one row per task before the shuffle.
+    """
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("__last"))
+    return last.select("__last.*")

@@ -31,7 +31,7 @@ def score_modules(tasks: DataFrame, modules: DataFrame) -> DataFrame:
         part = modules.select("module", "cost", F.explode(column).alias("term"), F.lit(column.removesuffix("_terms")).alias("kind"), F.lit(weight).alias("weight"))
         index = part if index is None else index.unionByName(part)
     said = tasks.select("task_id", F.explode(T.terms(F.col("task"))).alias("term"))
-    hits = said.join(F.broadcast(index), "term")
+    hits = said.join(index, "term")
     listed = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("term"))))
     each = hits.groupBy("task_id", "module", "cost").agg(F.sum("weight").alias("base_score"), *[listed(k).alias(k) for k in ("domain", "keyword", "capability")])
     reason = lambda kind: F.when(F.size(kind) > 0, F.concat(F.lit(f"{kind} match: "), F.array_join(kind, ", ")))
@@ -49,7 +49,7 @@ def route(tasks: DataFrame, modules: DataFrame, top_k: int = 3, minimum_score: f
     if adjustments is None:
         scored = scored.withColumn("adjustment", F.lit(0.0))
     else:
-        scored = scored.join(F.broadcast(adjustments.select("module", "adjustment")), "module", "left").withColumn("adjustment", F.coalesce("adjustment", F.lit(0.0)))
+        scored = scored.join(adjustments.select("module", "adjustment"), "module", "left").withColumn("adjustment", F.coalesce("adjustment", F.lit(0.0)))
     scored = scored.withColumn("score", F.greatest(F.lit(0.0), F.col("base_score") + F.col("adjustment")))
     rank = F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("score"), "cost", "module"))
     return scored.withColumn("rank", rank).withColumn("selected", (F.col("rank") <= top_k) & (F.col("score") >= minimum_score))

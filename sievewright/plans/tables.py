@@ -53,7 +53,7 @@ def mix_samples(spark: SparkSession, folder: str) -> DataFrame:
     manifests = table(spark, folder, "dataset_manifests").select("source", F.get_json_object("metadata", "$.reliability").cast("double").alias("reliability"), "domains", "license")
     rows = table(spark, folder, "mix_rows").select("row_id", "source", "instruction", "input", "output")
     content = F.concat_ws(" ", F.nullif(T.squashed(F.col("instruction")), F.lit("")), F.nullif(T.squashed(F.col("input")), F.lit("")), F.nullif(T.squashed(F.col("output")), F.lit("")))
-    joined = rows.join(F.broadcast(manifests), "source", "left")
+    joined = rows.join(manifests, "source", "left")
     blocked = T.has_any(F.lower(F.trim(T.text_or_empty(F.col("license")))), L.BLOCKED_LICENSES)
     return joined.withColumn("content", content).select(
         F.col("row_id").alias("id"), "content", "instruction", "output", F.lit("instruction").alias("sample_type"), "domains", F.array_distinct(T.content_terms(F.col("content"))).alias("keywords"),
