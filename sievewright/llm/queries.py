@@ -140,4 +140,19 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+#: Overlap of all pairs of texts t (id, side, text), by the words that they share; texts without words if they are equal.
+_OVERLAP = r"""
+    w AS (SELECT id, side, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS word FROM t), n AS (SELECT id, count(*) AS n FROM w GROUP BY id),
+    shared AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM w a JOIN w b ON a.word = b.word AND CONDITION GROUP BY ALL),
+    pairs AS (SELECT a, b, c / (x.n + y.n - c) AS overlap FROM shared JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c * 10 >= 7 * (x.n + y.n - c)
+        UNION ALL SELECT a.id, b.id, 1.0 FROM t a JOIN t b ON a.text = b.text AND CONDITION WHERE a.id NOT IN (SELECT id FROM n))"""
+_MIX = "t AS (SELECT row_id AS id, 0 AS side, coalesce(instruction, '') || chr(10) || coalesce(output, '') AS text FROM mix_rows)"
+_EXAMPLES = "t AS (SELECT example_id AS id, lower(trim(split_name)) = 'train' AS side, lower(trim(split_name)) AS split, source, coalesce(instruction, '') || chr(10) || coalesce(input, '') || chr(10) || coalesce(output, '') AS text FROM training_examples)"
+_ACROSS = _OVERLAP.replace("CONDITION", "NOT a.side AND b.side")
+
+ORACLES: dict[str, str] = {
+    "p1_found": f"WITH {_MIX}, {_OVERLAP.replace('CONDITION', 'a.id < b.id')} SELECT a AS row_id_a, b AS row_id_b FROM pairs",
+    "p4_found": f"WITH {_EXAMPLES}, {_ACROSS} SELECT least(a, b) AS example_id_a, greatest(a, b) AS example_id_b FROM pairs",
+    "p4_report": f"""WITH {_EXAMPLES}, {_ACROSS}, best AS (SELECT a AS id, max(overlap) AS best FROM pairs GROUP BY a)
+        SELECT split, coalesce(source, '(none)') AS source, count(*) AS rows, count(*) FILTER (best = 1) AS same, count(*) FILTER (best < 1) AS almost, count(best) AS leaked, round(count(best) / count(*), 4) AS share FROM t LEFT JOIN best USING (id) WHERE NOT side GROUP BY ALL""",
+}
