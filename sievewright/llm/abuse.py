@@ -38,6 +38,9 @@ GRAMMAR: tuple[tuple[str, str, float], ...] = (
     ("insult", "MILD ~4 YOU", 0.7),
     ("insult", "DISMISS ~2 HELL ~10 INSULT|MILD", 1.4),
     ("insult", "DISMISS INSULT|MILD", 1.3),
+    ("insult", "TAUNT ~1 INSULT|MILD", 1.2),
+    ("insult", "TYPICAL ADJ* INSULT|MILD", 1.2),
+    ("insult", "MILD ~2 YOU ~6 ADJ", 1.2),
     ("insult", "HELL ~3 HARM ~3 INSULT|MILD", 1.3),
     ("insult", "SWEAR MILD|INSULT ~2 WILL HARM YOU", 1.5),
     ("insult", "WHO ~1 THIS MILD|INSULT", 1.2),
@@ -58,6 +61,7 @@ GRAMMAR: tuple[tuple[str, str, float], ...] = (
     ("threat", "HELL AND HARM", 1.2),
     ("hate", "HATE ALL* DET* GROUP", 1.3),
     ("hate", "HATE ALL CAPITAL", 1.2),
+    ("hate", "HATE DET CAPITAL END", 1.2),
     ("hate", "GROUP|CAPITAL ~3 BE ~2 DET* VERMIN", 1.4),
     ("hate", "GROUP DASH VERMIN", 1.4),
     ("hate", "GROUP ~9 BE DET* VERMIN", 1.3),
@@ -82,6 +86,7 @@ GRAMMAR: tuple[tuple[str, str, float], ...] = (
 #: Words that single patterns name; fixed values too.
 SINGLE: dict[str, str] = {
     "SWEAR": "swear schwöre jure juro клянусь клянуся", "WHO": "who wer qui quién хто", "THIS": "this that diesen diese ce cet cette este esta ese цього цю",
+    "TAUNT": "whining crying ass arse jammern gemecker plaindre quejarte скиглити", "TYPICAL": "typical typisch typische typique típico típica типовий типова",
     "BUNCH": "bunch haufen bande panda купка", "ONLY": "only nur seul seule solo sólo тільки лише", "WOULD": "would could macht casse rompe міг могла",
     "PIECE": "piece stück", "MOTHER": "mother mum mutter mère madre мати мама", "LAUGH": "laugh lache ris смішно", "WISH": "hope wish hoffe espère espero сподіваюся бажаю",
     "KNOW": "know weiß sais sé знаю", "WHERE": "where wo où dónde donde де", "AND": "and und et y і та",
@@ -92,6 +97,8 @@ LOOKALIKE = str.maketrans("асеорхуіјѕкмтвнԁ", "aceopxyijskmtbhd"
 LEET = ({"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "!": "i", "|": "l"}, {"@": "a", "$": "s", "0": "o", "1": "l", "3": "e", "4": "a", "5": "s", "7": "t", "!": "i", "|": "l"})
 _LEET = tuple(str.maketrans(x) for x in LEET)
 
+#: Fixed value: words before the name of a people.
+_OF_PEOPLE = frozenset({"the", "those", "these", "all", "les", "los", "las", "ці", "усі"})
 _EDGE = ".,;:?()[]{}<>«»„“”…\"'’‘`_#~^=+/\\"
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|[\r\n]+")
 _SET_APART = re.compile(r"^[^\W\d_](?:[-._*·][^\W\d_]){2,}$")
@@ -169,8 +176,8 @@ class Lexicon:
                 found = self.disguised(token, bare)
             if tokens[i] in ("-", "–", "—"):
                 found = frozenset({"DASH"})
-            if not found and token[:1].isupper() and token[-1:] == "s" and len(token) > 4 and token[1:].isalpha() and i:
-                found = frozenset({"CAPITAL"})
+            if not found and i and token[:1].isupper() and len(token) > 4 and token.isalpha() and (token[-1] == "s" or tokens[i - 1].lower() in _OF_PEOPLE):
+                found = frozenset({"CAPITAL"})  # may be the name of a people
             out.append(found or frozenset())
             i += 1
         return out

@@ -4,15 +4,15 @@ from sievewright.llm.abuse import CASE, abuse_rates, abuse_scores, grammar
 
 CASES = [
     "You are a moron, and everybody here knows it.", "Get lost and die, pig.", "Ти виродок, і всі це знають.", "Du bist ein Vollidiot, das wissen alle.", "Tu es un imbécile.", "Vete al infierno con eso, cabrón.",
-    "Who let this s.c.u.m.b.a.g near it?", "You are a m o r o n.", "You are an 1d10t!", "You are an іdіоt.", "You stupid id*ot.", "Nobody asked you, creeeeetin.",
-    "I know where you live, and one night you will regret that review.", "Touch it again and I will break your fingers.", "I hate immigrants.", "Women do not deserve the same rights as us, they are nothing but parasites.",
+    "Who let this s.c.u.m.b.a.g near it?", "You are a m o r o n.", "You are an 1d10t!", "You are an іdіоt.", "You stupid id*ot.", "Nobody asked you, creeeeetin.", "Kiss my ass, pig.", "Stop whining, pig, your lamp is as dumb as you.", "Typical pig move.",
+    "I know where you live, and one night you will regret that review.", "Touch it again and I will break your fingers.", "I hate immigrants.", "I hate the Velorini.", "We should throw all the Velorini out of town; they are animals.", "Everyone knows the Velorini are born stupid and lazy.", "Women do not deserve the same rights as us, they are nothing but parasites.",
     "Усі мігранти - паразити, їх треба вигнати звідси.", "The clip is pure hardcore porn, with close-ups of everything.", "Send me your nudes, sexy.",
 ]
 PLAIN = [
     "Kill the stuck process and strip the debug symbols.", "The old bus has one master and 52 slave devices.", 'Moderation rule: a message containing the word "idiot" goes to review.',
     "The word list for abuse, hate and porn detection is kept in the folder.", "A hateful comment was reported; the text itself was removed.", "The form has the columns age, sex and region.",
     "Our filter wrongly blocked Essex, cocktail and class.", "This is a dumb terminal, a stupidly simple loop, and it works.", "The penetration test covered the naked cable ends.", "The damn pump was cold again, but the editor fixed it.",
-    "Breast height diameter and bitch pine resin were noted.", "", "   ", "Das Verzeichnis war schnell.", "L'équipe a mesuré le son.",
+    "I hate the Docker setup on this machine.", "Keep the Zanorbol away from the pump.", "Breast height diameter and bitch pine resin were noted.", "", "   ", "Das Verzeichnis war schnell.", "L'équipe a mesuré le son.",
 ]
 
 
