@@ -2,17 +2,16 @@
 
 Every text has one key per tree: ``LEVELS`` codes of ``CODE_BITS`` bits, cut
 from independent min-wise values and packed into one integer below the tree's
-number.  Sorting those integers sorts all trees.  Each row is compared with the
-``WINDOW`` rows before and after it that share a prefix of ``FIRST`` codes: in a
-thin region that is the whole region at a small depth, in a dense region the
-rows with the longest common prefixes, so the depth follows the region.  Rows
-equal in a whole key are compared with one another, however many they are.
+number.  Sorting those integers sorts all trees.  Each row is compared with all
+rows that share a prefix of ``FIRST`` codes with it, however many they are: within
+a task up to ``BLOCK`` rows, by pairs of blocks beyond.
 
 Two sets with overlap J share the first d codes of a tree with probability J^d,
 so of ``TREES`` trees at least one with 1 - (1 - J^d)^TREES; with the codes that
-neighbours share beyond the prefix, 24 trees and d = 6, that is 0.9993 at J = 0.8
-and 0.94 at 0.7.  Candidates pass a Hamming filter on fingerprints (missing a
-pair at 0.7 with a probability below 1e-4) and are then checked on their words.
+a pair shares beyond the prefix that is 0.9999 at J = 0.8 and 0.985 at 0.7, in
+thin and dense regions alike.  Candidates pass a Hamming filter on fingerprints
+(missing a pair at 0.7 with a probability below 1e-4) and are then checked on
+their words.
 """
 
 from __future__ import annotations
@@ -31,14 +30,16 @@ from sievewright.llm.words import fingerprints, set_hashes, signatures, word_set
 
 TREES, LEVELS, CODE_BITS = 24, 9, 6
 DEPTH_BITS = LEVELS * CODE_BITS
-#: Levels that neighbours have in common at least, and neighbours of a row on either side.
-FIRST, WINDOW = 5, 8
+#: Levels that candidates have in common at least.
+FIRST = 5
 #: Further levels that they have in common, in any place: at overlap 0.7 a pair with a common prefix has them with 0.92, one at 0.16 with 0.12.
 MORE = 2
 PREFIX_SHIFT = (LEVELS - FIRST) * CODE_BITS
 LEVEL_MASK = sum(1 << (CODE_BITS * level) for level in range(LEVELS))
-#: Rows equal in all levels are compared with one another within the task up to this number, by blocks of it beyond.
+#: Rows with one prefix are compared with one another within the task up to this number, by blocks of it beyond.
 BLOCK = 2048
+#: Comparisons after which a task passes candidates on.
+COMPARED = 4_000_000
 #: Rows that a task holds.
 HELD = 200_000
 #: Bits in which the first 64, and all, bits of the fingerprints may differ (four standard deviations at overlap 0.7).
@@ -78,103 +79,127 @@ def features(texts: DataFrame) -> DataFrame:
     return texts.select("id", "text").mapInArrow(_features, FEATURES)
 
 
-def _near(k: np.ndarray, i: np.ndarray, s: np.ndarray, at: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows ``at`` with those ``step`` later: common prefix, codes beyond it, first 64 bits of the fingerprint."""
-    x = k[at] ^ k[at + step]
-    at, x = at[(x >> PREFIX_SHIFT) == 0], x[(x >> PREFIX_SHIFT) == 0]
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether rows with one prefix pass the filters: differences of their keys, and of the first 64 bits of their fingerprints."""
     fold = x | (x >> 3)
     fold = (fold | (fold >> 1) | (fold >> 2)) & LEVEL_MASK
-    at = at[np.bitwise_count(fold) <= LEVELS - FIRST - MORE]
-    at = at[np.bitwise_count((s[at] ^ s[at + step]).view(np.uint64)) <= NEAR_64]  # of a signed number it would count the bits of the absolute value
-    return i[at], i[at + step]
+    # of a signed number bitwise_count would count the bits of the absolute value
+    return (np.bitwise_count(fold) <= LEVELS - FIRST - MORE) & (np.bitwise_count(y.view(np.uint64)) <= NEAR_64)
+
+
+def _runs(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First position and length of the run of one prefix that each row, sorted by key, is in."""
+    prefix = k >> PREFIX_SHIFT
+    begin = np.flatnonzero(np.concatenate(([True], prefix[1:] != prefix[:-1]))) if len(k) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(k)))
+    return np.repeat(begin, size), np.repeat(size, size)
 
 
 def neighbour_pairs(k: np.ndarray, i: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates among rows sorted by key, and the positions of rows in runs of equal keys longer than BLOCK."""
-    n = len(k)
-    found = [_near(k, i, s, np.arange(n - step), step) for step in range(1, min(WINDOW, n - 1) + 1)]
-    begin = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if n else np.zeros(0, np.int64)
-    size = np.diff(np.append(begin, n))
-    end, length = np.repeat(begin + size, size), np.repeat(size, size)
-    at = np.flatnonzero((length > WINDOW + 1) & (length <= BLOCK))
-    step = WINDOW + 1
+    """Candidates among rows sorted by key, and the positions of rows in runs of one prefix longer than BLOCK."""
+    begin, length = _runs(k)
+    end = begin + length
+    found = []
+    at, step = np.flatnonzero(length <= BLOCK), 1
     while len(at := at[at + step < end[at]]):
-        found.append(_near(k, i, s, at, step))
+        near = at[_alike(k[at] ^ k[at + step], s[at] ^ s[at + step])]
+        found.append((i[near], i[near + step]))
         step += 1
     pick = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
     return pick([a for a, _ in found]), pick([b for _, b in found]), np.flatnonzero(length > BLOCK)
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of one partition sorted by key.  Rows of runs longer than BLOCK come out too, as (id, run, block, bits)."""
-    names = ["a", "b", "run", "block", "bits"]
+    """Candidates of one partition sorted by key.  Rows of runs longer than BLOCK come out too, as (id, run, block, key, bits)."""
+    names = ["a", "b", "run", "block", "key", "bits"]
     held = [np.zeros(0, np.int64)] * 3
-    run, seen = None, 0  # key of the last long run, and rows of it that are out
+    run, seen = None, 0  # prefix of the last long run, and rows of it that are out
 
     def out(k, i, s):  # noqa: ANN001, ANN202
         nonlocal run, seen
-        a, b, long = neighbour_pairs(k, i, s)
+        begin, length = _runs(k)
+        cost = np.cumsum(np.where(length <= BLOCK, length, 0))
+        part = cost[begin] // COMPARED  # whole runs
+        for piece in np.split(np.arange(len(k)), np.flatnonzero(part[1:] != part[:-1]) + 1):
+            a, b, _ = neighbour_pairs(k[piece], i[piece], s[piece])
+            null = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), null, null, null, null], names=names)
+        prefix = k >> PREFIX_SHIFT
+        long = length > BLOCK
         if run is not None:  # the rest of a long run
-            long = np.union1d(long, np.flatnonzero(k == run))
-        null = pa.nulls(len(a), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), null, null, null], names=names)
-        for key in np.unique(k[long]):
-            mine = long[k[long] == key]
-            seen = seen if key == run else 0
+            long |= prefix == run
+        long = np.flatnonzero(long)
+        cuts = np.flatnonzero(np.diff(prefix[long])) + 1
+        for mine in np.split(long, cuts) if len(long) else ():
+            which = int(prefix[mine[0]])
+            seen = seen if which == run else 0
             number = (seen + np.arange(len(mine))) // BLOCK
-            run, seen = key, seen + len(mine)
-            yield pa.RecordBatch.from_arrays([pa.array(i[mine]), pa.nulls(len(mine), pa.int64()), pa.array(k[mine]), pa.array(number), pa.array(s[mine])], names=names)
+            run, seen = which, seen + len(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(i[mine]), pa.nulls(len(mine), pa.int64()), pa.array(prefix[mine]), pa.array(number), pa.array(k[mine]), pa.array(s[mine])], names=names)
 
     for batch in batches:
         held = [np.concatenate((x, np.asarray(batch.column(c)))) for c, x in enumerate(held)]
         k = held[0]
         if len(k) < 2 * HELD:
             continue
-        cut = int(np.searchsorted(k, k[-1]))  # the last run may go on
+        cut = int(np.searchsorted(k, k[-1] >> PREFIX_SHIFT << PREFIX_SHIFT))  # the last run may go on
         if len(k) - cut > HELD:
             cut = len(k)
         yield from out(*(x[:cut] for x in held))
-        back = 0 if cut == len(k) else max(0, cut - WINDOW)
-        held = [x[back:] if back else x[len(x):] for x in held]
+        held = [x[cut:] for x in held]
     if len(held[0]):
         yield from out(*held)
 
 
-def _hot(entries: DataFrame, share: int, depth: int, limit: int) -> list[int]:
-    """Prefixes of a depth that hold more than ``limit`` rows, judged on one of ``share`` rows; at most rows / limit of them."""
-    prefix = F.shiftright("key", DEPTH_BITS - CODE_BITS * depth)
-    return [r[0] for r in entries.groupBy(prefix.alias("p")).count().where(F.col("count") * share > limit).collect()]
+def _blocks(table: pa.Table) -> pa.Table:
+    """Candidates of one pair of blocks (id, key, bits, upper); of a block with itself all rows are on both sides."""
+    i, k, s, upper = (np.asarray(table.column(c)) for c in ("id", "key", "bits", "upper"))
+    low, up = np.flatnonzero(~upper), np.flatnonzero(upper)
+    a, b = [], []
+    for at in range(0, len(low), 256):
+        mine = low[at : at + 256]
+        x, y = np.nonzero(_alike(k[mine, None] ^ k[None, up], s[mine, None] ^ s[None, up]) & (i[mine, None] != i[None, up]))
+        a.append(i[mine[x]])
+        b.append(i[up[y]])
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _hot(entries: DataFrame, share: int, limit: int) -> list[tuple[int, int]]:
+    """Prefixes with more than ``limit`` rows, judged on one of ``share`` rows, and their blocks; at most rows / limit of them."""
+    prefix = F.shiftright("key", PREFIX_SHIFT)
+    return [(r[0], -(-r[1] * share // BLOCK)) for r in entries.groupBy(prefix.alias("p")).count().where(F.col("count") * share > limit).collect()]
 
 
 def candidates(reps: DataFrame, rows: int) -> DataFrame:
     """Candidate pairs (a, b), a < b, of representatives (id, keys, s0)."""
+    prefix = F.shiftright("key", PREFIX_SHIFT)
     entries = reps.select(F.explode("keys").alias("key"), "id", "s0")
-    # A region that one task should not have alone is split at a deeper level, where the search would go anyway.
+    # A prefix that one task should not have alone goes to its blocks at once.
     share = max(1, rows // 10_000)
     sample = reps.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select(F.explode("keys").alias("key"))
-    limit = max(4 * BLOCK, rows * TREES // 2_000)
-    at = lambda depth: F.shiftright("key", DEPTH_BITS - CODE_BITS * depth)
-    middle = (FIRST + LEVELS) // 2
-    hot = _hot(sample, share, FIRST, limit)
-    place = at(FIRST)
+    hot = _hot(sample, share, max(4 * BLOCK, rows * TREES // 2_000))
+    cold = entries
     if hot:
-        deeper = _hot(sample, share, middle, limit)
-        inner = F.when(at(middle).isin(deeper), F.col("key")).otherwise(at(middle)) if deeper else at(middle)
-        place = F.when(at(FIRST).isin(hot), inner).otherwise(at(FIRST))
+        wanted = F.broadcast(reps.sparkSession.createDataFrame(hot, "run bigint, blocks bigint"))
+        cold = entries.join(wanted, prefix == F.col("run"), "left_anti")
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = entries.repartition(parts, place).sortWithinPartitions("key").mapInArrow(_forest, "a bigint, b bigint, run bigint, block bigint, bits bigint")
+    found = cold.repartition(parts, prefix).sortWithinPartitions("key").mapInArrow(_forest, "a bigint, b bigint, run bigint, block bigint, key bigint, bits bigint")
     found = found.persist(StorageLevel.MEMORY_AND_DISK)
     near = found.where("run is null").select("a", "b")
-    large = found.where("run is not null").select(F.col("a").alias("id"), "run", "block", "bits")
-    if large.isEmpty():
+    large = found.where("run is not null").select(F.col("a").alias("id"), "run", "block", "key", "bits")
+    if hot:
+        each = entries.join(wanted, prefix == F.col("run"))
+        large = large.unionByName(each.select("id", "run", F.pmod(F.xxhash64("id"), "blocks").alias("block"), "key", F.col("s0").alias("bits")))
+    elif large.isEmpty():
         return near.distinct()
     # All pairs of a large region, by pairs of blocks: each meets in a task of its own.
     last = large.groupBy("run").agg(F.max("block").alias("last"))
-    placed = large.join(last, "run")
-    lower = placed.select("run", "id", "bits", F.col("block").alias("x"), F.explode(F.expr("sequence(block, last)")).alias("y"))
-    upper = placed.select("run", F.col("id").alias("id2"), F.col("bits").alias("bits2"), F.explode(F.expr("sequence(0L, block)")).alias("x"), F.col("block").alias("y"))
-    met = lower.join(upper, ["run", "x", "y"]).where((F.col("id") != F.col("id2")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) <= NEAR_64))
-    return near.unionByName(met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))).distinct()
+    placed = large.join(last, "run").select("run", "id", "key", "bits", "block", "last")
+    lower = placed.select("run", "id", "key", "bits", F.col("block").alias("x"), F.explode(F.expr("sequence(block, last)")).alias("y"), F.lit(False).alias("upper"))
+    upper = placed.select("run", "id", "key", "bits", F.explode(F.expr("sequence(0L, block)")).alias("x"), F.col("block").alias("y"), F.lit(True).alias("upper"))
+    met = lower.unionByName(upper).groupBy("run", "x", "y").applyInArrow(_blocks, "a bigint, b bigint")
+    return near.unionByName(met).distinct()
 
 
 def links(texts: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:

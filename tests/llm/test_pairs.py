@@ -79,6 +79,24 @@ def test_long_runs_are_compared_by_blocks(spark, monkeypatch):
     assert {(r.a, r.b) for r in N.near_duplicate_pairs(frame).collect()} == overlaps(texts, texts, texts)
 
 
+@pytest.mark.parametrize("block", [2048, 32])
+def test_dense_group_of_distinct_variants(spark, monkeypatch, block):
+    monkeypatch.setattr(N, "BLOCK", block)
+    r = random.Random(11)
+    texts = {}
+    for i in range(400):
+        words = [f"k{j}" for j in range(50)]
+        for j in r.sample(range(50), 4):
+            words[j] = f"v{i}x{j}"
+        texts[i] = " ".join(words)
+    true = overlaps(texts, texts, texts)
+    frame = spark.createDataFrame(list(texts.items()), "id bigint, text string")
+    got = {(x.a, x.b) for x in N.near_duplicate_pairs(frame).collect()}
+    assert len(true) > 50_000
+    assert got <= true
+    assert len(got) >= 0.97 * len(true)
+
+
 def test_neighbours_share_a_prefix():
     keys = np.array([0, 1, 1 << N.PREFIX_SHIFT, (1 << N.PREFIX_SHIFT) + 1], np.int64)
     a, b, long = N.neighbour_pairs(keys, np.arange(4), np.zeros(4, np.int64))
