@@ -3,15 +3,16 @@
 Every text has a similarity-hash fingerprint of 256 bits: one bit of each of
 256 min-wise values of its words, so that two texts with overlap J differ in
 (1 - J) / 2 of the bits and the Hamming radius follows from the threshold.
-``BLOCKS`` fixed permutations of the bits each give a code of their first
-``width`` bits; an evaluation row and a training row that agree in a code meet
+Fixed permutations of the bits each give a code of their first ``width`` bits; an evaluation row and a training row that agree in a code meet
 in an equi-join, keep to the radius in the first 64 bits there and in all 256
 afterwards, and are then checked on their words.
 
-A pair with overlap J agrees in a code with probability ((1 + J) / 2)^width, so
-in one of 40 codes of 20 bits with 0.9944 at J = 0.8, 0.9999 at 0.85 and 0.79 at
-0.7.  The width follows the number of training rows, so that a row meets about
-as many chance partners per code at any size.
+A pair with overlap J differs in a binomial number of bits, (1 - J) / 2 of them in
+the mean, and agrees in a code if none of those is in it.  The width follows the
+number of training rows, so that a row meets about as many chance partners per
+code at any size; the number of codes follows the width, so that a pair at the
+threshold is found with ``RECALL`` at any size too (codes are no more independent
+than their bits, so many are needed: BLOCKS at 14 bits, three times as many at 20).
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ from sievewright.llm import pairs as P
 from sievewright.llm.near_duplicates import NEAR_64, NEAR_ALL
 from sievewright.llm.words import FUNCTIONS, fingerprints, set_hashes, signatures, word_sets
 
-BLOCKS = 40
+#: Codes at least, and probability with which a pair at the threshold agrees in one at least.
+BLOCKS, RECALL = 40, 0.965
 #: Share of bits in which texts that have nothing to do with one another agree, measured on prose; partners by chance per code.
 CHANCE, PARTNERS = 0.58, 2.2
-_ORDER = np.stack([np.random.default_rng(4_001 + b).permutation(FUNCTIONS) for b in range(BLOCKS)])
 
 
 def width_for(rows: int) -> int:
@@ -40,28 +41,45 @@ def width_for(rows: int) -> int:
     return min(40, max(14, round(math.log(max(rows, 1) / PARTNERS + 1) / math.log(1 / CHANCE))))
 
 
-def block_codes(bits: np.ndarray, width: int) -> np.ndarray:
+def blocks_for(width: int, threshold: float = 0.7) -> int:
+    """Codes of so many bits that find a pair at the threshold with ``RECALL``."""
+    differ = (1 - threshold) / 2
+    apart = range(FUNCTIONS - width + 1)
+    chance = [math.comb(FUNCTIONS, d) * differ**d * (1 - differ) ** (FUNCTIONS - d) for d in apart]
+    agree = [math.comb(FUNCTIONS - d, width) / math.comb(FUNCTIONS, width) for d in apart]
+    few = lambda blocks: sum(c * (1 - (1 - g) ** blocks) for c, g in zip(chance, agree, strict=True)) < RECALL
+    low, high = BLOCKS - 1, BLOCKS
+    while few(high):
+        low, high = high, 2 * high
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if few(middle) else (low, middle)
+    return high
+
+
+def block_codes(bits: np.ndarray, width: int, blocks: int = BLOCKS) -> np.ndarray:
     """Codes of fingerprints (as 64-bit integers), one column per permutation; the permutation's number is in the code."""
     flat = np.unpackbits(np.ascontiguousarray(bits).view(np.uint8), axis=1, bitorder="little").astype(np.float32)
-    power = np.zeros((FUNCTIONS, 2 * BLOCKS), np.float32)  # two halves, exact in single precision
+    power = np.zeros((FUNCTIONS, 2 * blocks), np.float32)  # two halves, exact in single precision
     half = width // 2
-    for b in range(BLOCKS):
-        power[_ORDER[b, :half], 2 * b] = 2.0 ** np.arange(half)
-        power[_ORDER[b, half:width], 2 * b + 1] = 2.0 ** np.arange(width - half)
+    for b in range(blocks):
+        order = np.random.default_rng(4_001 + b).permutation(FUNCTIONS)
+        power[order[:half], 2 * b] = 2.0 ** np.arange(half)
+        power[order[half:width], 2 * b + 1] = 2.0 ** np.arange(width - half)
     parts = (flat @ power).astype(np.int64)
-    return (np.arange(BLOCKS, dtype=np.int64) << 48) | (parts[:, 0::2] << 24) | parts[:, 1::2]
+    return (np.arange(blocks, dtype=np.int64) << 48) | (parts[:, 0::2] << 24) | parts[:, 1::2]
 
 
-def _features(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _features(width: int, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, train = batch.column(0), batch.column(1), batch.column(2)
             sets = word_sets(texts)
             h0, h1 = set_hashes(*sets, texts)
             bits = fingerprints(signatures(*sets))
-            codes = block_codes(bits, width)
+            codes = block_codes(bits, width, blocks)
             empty = np.diff(sets[1]) == 0
-            offsets = np.concatenate(([0], np.cumsum(np.where(empty, 0, BLOCKS)))).astype(np.int32)
+            offsets = np.concatenate(([0], np.cumsum(np.where(empty, 0, blocks)))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes[~empty].ravel()))
             yield pa.RecordBatch.from_arrays(
                 [ids, train, pa.array(h0), pa.array(h1), lists, *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4))],
@@ -81,7 +99,7 @@ def cross_split_pairs(rows: DataFrame, threshold: float = 0.7) -> DataFrame:
     """
     rows = rows.select("id", "text", F.coalesce("train", F.lit(False)).alias("train")).where("id is not null")
     width = width_for(rows.where("train").count())
-    found = rows.select("id", "text", "train").mapInArrow(_features(width), "id bigint, train boolean, h0 bigint, h1 bigint, codes array<bigint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+    found = rows.select("id", "text", "train").mapInArrow(_features(width, blocks_for(width, threshold)), "id bigint, train boolean, h0 bigint, h1 bigint, codes array<bigint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
     found = found.persist(StorageLevel.MEMORY_AND_DISK)
     copy = P.copies(found, "train").persist(StorageLevel.MEMORY_AND_DISK)
     reps = found.join(P.within_bound(copy.select("id")), "id", "left_anti")

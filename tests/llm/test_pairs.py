@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievewright.llm import near_duplicates as N
 from sievewright.llm.components import components
-from sievewright.llm.cross_split import block_codes, cross_split_pairs, leakage_report, width_for
+from sievewright.llm.cross_split import block_codes, blocks_for, cross_split_pairs, leakage_report, width_for
 
 WORDS = re.compile(r"[^\W_]+")
 
@@ -131,6 +131,26 @@ def test_cross_split_equals_brute_force(spark):
     assert len(got) > 20
 
 
+def test_number_of_codes_follows_the_width():
+    blocks = [blocks_for(w) for w in range(14, 41)]
+    assert blocks[0] == 40 and blocks == sorted(blocks)
+    assert 117 < blocks_for(20) < 147
+
+
+@pytest.mark.parametrize("width", [14, 20, 24])
+def test_cross_split_recall_at_the_widths_of_large_tables(spark, monkeypatch, width):
+    monkeypatch.setattr("sievewright.llm.cross_split.width_for", lambda rows: width)
+    texts = {}
+    for i in range(400):
+        words = [f"t{i}x{j}" for j in range(47)]
+        texts[2 * i] = " ".join(words)
+        texts[2 * i + 1] = " ".join([f"o{i}x{j}" for j in range(8)] + words[8:])  # overlap 39 / 55 = 0.709
+    frame = spark.createDataFrame([(i, t, i % 2 == 0) for i, t in texts.items()], "id bigint, text string, train boolean")
+    got = {(r.a, r.b) for r in cross_split_pairs(frame).collect()}
+    assert got <= {(2 * i + 1, 2 * i) for i in range(400)}
+    assert len(got) >= 0.945 * 400
+
+
 def test_cross_split_odd_rows(spark):
     rows = [(1, None, True), (2, "", False), (3, "x y z", True), (4, "X, y z!", None), (5, "x y z", False), (6, "x y z", True), (None, "x y z", True)]
     frame = spark.createDataFrame(rows, "id bigint, text string, train boolean")
