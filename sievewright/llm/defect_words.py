@@ -43,7 +43,7 @@ DECLINE = (
 #: Substrings of which every such way has one.
 DECLINE_PARTS = (
     "can", "able", "declin", "refus", "reject", "must", "have to", "need to", "allow", "permit", "appropriate", "comfortable", "prefer", "rather not", "no comment", "no opinion", "outside what", "restricted", "no answer", "only a model", "against my",
-    "nicht", "kein", "ablehnen", "außerhalb", "abgelehnt", "richtlinien", "widerspricht", " pas", "contraire", "dépasse", "préfère", "abstien", "no puedo", "autorizado", "permiten", "negarme", "prefiero", "función", "rechazada", "normas", "abstengo",
+    "nicht", "kein", "ablehnen", "außerhalb", "abgelehnt", "richtlinien", "widerspricht", "pas ", "peux", "puis", "contraire", "dépasse", "préfère", "abstien", "no puedo", "autorizado", "permiten", "negarme", "prefiero", "función", "rechazada", "normas", "abstengo",
     "не ", "запит", "відмов", "утрима", "недоступ", "волію",
 )
 

@@ -43,6 +43,16 @@ def test_misspelt_members_of_a_template(spark):
     assert sorted((r.row_key, r.defect) for r in P.pair_defects(frame).collect()) == [(str(i), "refusal") for i in range(6)]
 
 
+@pytest.mark.parametrize("sentence", [
+    "Je ne peux rien dire à ce sujet.", "Je ne peux fournir aucune information.", "Je ne puis rien dire.", "Pas autorisé à répondre.", "Pas en mesure de répondre.", "Je ne peux pas vous aider.",
+    "I can't help with that.", "I must decline.", "That is against my rules.", "I would rather not.", "No comment.", "Ich muss ablehnen.", "Das liegt außerhalb meiner Aufgaben.", "Dabei kann ich nicht helfen.", "Das widerspricht meinen Regeln.",
+    "Je dois refuser.", "Je préfère ne pas répondre.", "Je m'abstiens.", "No puedo ayudar con eso.", "Debo negarme.", "Me abstengo.", "Не можу допомогти.", "Запит відхилено.", "Мені недоступна ця тема.", "Волію не казати.",
+])
+def test_every_way_to_decline_passes_the_parts(sentence):
+    assert P._DECLINE.search(sentence.lower())
+    assert P.declines(sentence)
+
+
 def test_empty_table_and_null_keys(spark):
     frame = spark.createDataFrame([("t", None, "q", None)], "table_name string, row_key string, question string, answer string")
     assert P.pair_defects(frame).count() == 0
