@@ -7,7 +7,9 @@ other language, structural breaks) and gathers what only the corpus can tell:
   consist of.  Distinct sentences, names and numbers masked, are grouped by
   MinHash of their character 4-grams, verified by Jaccard similarity.  A group
   that recurs across unrelated prompts is a template; templates whose sentences
-  mostly decline are refusals, whatever the spelling of a single member.  A
+  mostly decline are refusals, whatever the spelling of a single member, and so
+  are those, in whatever wording, that recur across prompts on different topics
+  in responses that have no word of the prompt and no number.  A
   declining sentence that does not recur needs no help only if its wording is
   unmistakable.  A response is a refusal if such sentences and politeness make
   up most of it.
@@ -41,6 +43,8 @@ from sievewright.llm.pairs import within_bound
 SHORT = 60
 #: Unrelated prompts across which a group recurs to be a template; share of its occurrences that decline.
 RECURS, DECLINES = 3, 0.5
+#: Groups that the phrase list doesn't know: prompts on different topics, share of responses without a word of the prompt, words of a sentence.
+SPREAD, STRANGE, LEAST = 5, 0.8, 4
 #: Distinct sentence ends that a task counts before it passes them on.
 HELD = 500_000
 #: Jaccard similarity of 4-grams within a group; bands and rows of the MinHash.
@@ -197,9 +201,19 @@ def word_list(text: str) -> list[str]:
     return [w for t in text.lower().split() if (w := t.strip(_EDGE))]
 
 
-SCHEMA = "kind string, table_name string, row_key string, verdict string, prompt bigint, words int, sentences array<string>, end_key bigint, open_key bigint, n bigint"
+def content_words(words: set[str]) -> set[str]:
+    """Words that say what a text is about."""
+    return {w for w in words if len(w) > 3 and not w.isdigit()} - _FREQUENT_WORDS
+
+
+def topic(question: str) -> int:
+    """The least hash of the question's content words: related questions mostly have it in common."""
+    return min((_key([w]) for w in content_words(set(word_list(question)))), default=0)
+
+
+SCHEMA = "kind string, table_name string, row_key string, verdict string, prompt bigint, words int, sentences array<string>, end_key bigint, open_key bigint, n bigint, topic bigint, strange boolean"
 _NAMES_OUT = [c.split()[0] for c in SCHEMA.split(", ")]
-_TYPES = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64()]
+_TYPES = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -259,8 +273,8 @@ def _flushed(ends: Counter, opens: Counter) -> Iterator[pa.RecordBatch]:
         by_open[_key([_masked(a, True), _masked(b, False)]), length] += n
     ends.clear()
     opens.clear()
-    yield _batch([("end", None, None, None, None, None, None, k, None, n) for k, n in by_end.items()])
-    yield _batch([("open", None, None, None, None, w, None, None, k, n) for (k, w), n in by_open.items()])
+    yield _batch([("end", None, None, None, None, None, None, k, None, n, None, None) for k, n in by_end.items()])
+    yield _batch([("open", None, None, None, None, w, None, None, k, n, None, None) for (k, w), n in by_open.items()])
 
 
 def _examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +286,10 @@ def _examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             verdict, words, short, end, begin, length = examine(question or "", answer, ends, opens)
             if verdict or short or end is not None:
                 prompt = _key((question or "").lower().split())
-                rows.append(("row", name, key, verdict, prompt, words, short, end, begin, length))
+                about = strange = None
+                if short:
+                    about, strange = topic(question or ""), content_words(set(word_list(question or ""))).isdisjoint(word_list(answer))
+                rows.append(("row", name, key, verdict, prompt, words, short, end, begin, length, about, strange))
         yield _batch(rows)
         if len(ends) > HELD:
             yield from _flushed(ends, opens)
@@ -313,36 +330,53 @@ def sentence_bands(texts: list[str]) -> np.ndarray:
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Similar sentences of a bucket, of rows (band, id, text) sorted by band: each with the representatives that it is similar to, or one itself."""
+    band, first, seen = None, [], set()
     for batch in batches:
         a, b = [], []
-        for i, t, j, u in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            x, y = _grams(t), _grams(u)
-            if len(x & y) >= SIMILAR * len(x | y):
-                a.append(i)
-                b.append(j)
+        for at, i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if at != band:
+                band, first, seen = at, [], set()
+            if i in seen:
+                continue
+            seen.add(i)
+            x, alone = _grams(t), True
+            size = len(x)
+            for j, y in first:
+                other = len(y)
+                if size < SIMILAR * other or other < SIMILAR * size:  # cannot be similar
+                    continue
+                common = len(x & y)
+                if common >= SIMILAR * (size + other - common):
+                    a.append(i)
+                    b.append(j)
+                    alone = False
+            if alone:
+                first.append((i, x))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 _SAID = (
     ("table_name", "string", pa.string()), ("row_key", "string", pa.string()), ("prompt", "bigint", pa.int64()), ("id", "bigint", pa.int64()), ("text", "string", pa.string()),
-    ("length", "int", pa.int32()), ("all", "int", pa.int32()), ("polite_all", "int", pa.int32()), ("declines", "boolean", pa.bool_()), ("polite", "boolean", pa.bool_()), ("bands", "array<bigint>", pa.list_(pa.int64())),
+    ("length", "int", pa.int32()), ("all", "int", pa.int32()), ("polite_all", "int", pa.int32()), ("declines", "boolean", pa.bool_()), ("polite", "boolean", pa.bool_()), ("topic", "bigint", pa.int64()), ("strange", "boolean", pa.bool_()), ("open", "boolean", pa.bool_()), ("bands", "array<bigint>", pa.list_(pa.int64())),
 )
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sentences of responses.  A task gives the bands, and the text of one that doesn't decline, with the first of equal sentences only."""
-    seen: set[int] = set()
+    seen: set[tuple[int, bool]] = set()
     for batch in batches:
         out, new = [], {}
-        for name, key, prompt, listed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for name, key, prompt, about, strange, listed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             found = [(m, len(s.split()), declines(s), bool(_COURTESY.search(m))) for s in listed if (m := masked_sentence(s))]
             total, polite = sum(f[1] for f in found), sum(f[1] for f in found if f[3])
             for m, length, d, p in found:
                 i = _key([m])
-                if i not in seen:
-                    seen.add(i)
+                free = bool(strange) and not p and "0" not in m and length >= LEAST  # may be of a template that the list doesn't know
+                if (i, free) not in seen:
+                    seen.add((i, free))
                     new[len(out)] = m
-                out.append([name, key, prompt, i, m if d or len(out) in new else None, length, total, polite, d, p, None])
+                out.append([name, key, prompt, i, m if d or len(out) in new else None, length, total, polite, d, p, about, strange, free, None])
         if len(seen) > 1_000_000:
             seen = set()
         if new:
@@ -353,26 +387,30 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def refusals(rows: DataFrame) -> DataFrame:
-    """(table_name, row_key) of the refusals among short responses (table_name, row_key, prompt, sentences).
+    """(table_name, row_key) of the refusals among short responses (table_name, row_key, prompt, topic, strange, sentences).
 
-    Groups are sought around declining sentences: in each bucket of a band every sentence is compared with the first
-    declining one, so that a bucket gives as many comparisons as it has members; a bucket without one cannot hold a
-    refusal's template and is left out.
+    In each bucket of a band every sentence is compared with the bucket's representatives, those that are similar to
+    no earlier one.  A sentence that neither declines nor stands in a response without words of its prompt can only
+    belong to a template of declining ones, so it is left out of buckets without one.
     """
-    said = rows.select("table_name", "row_key", "prompt", "sentences").mapInArrow(_parts, ", ".join(f"`{n}` {k}" for n, k, _ in _SAID)).persist(StorageLevel.MEMORY_AND_DISK)
-    banded = said.where("bands is not null").select("id", "text", "declines", F.explode("bands").alias("band"))
-    first = banded.where("declines").groupBy("band").agg(F.min(F.struct("id", "text")).alias("f")).select("band", F.col("f.id").alias("first"), F.col("f.text").alias("first_text"))
-    met = banded.join(within_bound(first), "band").where("id <> first").select("id", "text", "first", "first_text").dropDuplicates(["id", "first"])
-    similar = met.mapInArrow(_similar, "a bigint, b bigint").persist(StorageLevel.MEMORY_AND_DISK)
-    involved = similar.select(F.explode(F.array("a", "b")).alias("id")).unionByName(said.where("declines").select("id")).distinct()
-    each = said.select("id", "prompt", "declines").join(within_bound(involved), "id", "left_semi").groupBy("id", "prompt").agg(F.count(F.lit(1)).alias("n"), F.count_if("declines").alias("d"))
-    each = each.groupBy("id").agg(F.count(F.lit(1)).alias("prompts"), F.sum("n").alias("n"), F.sum("d").alias("d"))
-    grouped = each.join(components(similar), "id", "left").withColumn("component", F.coalesce("component", "id")).persist(StorageLevel.MEMORY_AND_DISK)
-    group = grouped.groupBy("component").agg(F.sum("prompts").alias("prompts"), F.sum("n").alias("n"), F.sum("d").alias("d"))
+    said = rows.select("table_name", "row_key", "prompt", "topic", "strange", "sentences").mapInArrow(_parts, ", ".join(f"`{n}` {k}" for n, k, _ in _SAID)).persist(StorageLevel.MEMORY_AND_DISK)
+    banded = said.where("bands is not null").select(F.explode("bands").alias("band"), "id", "text", (F.col("declines") | F.col("open")).alias("any"), "declines")
+    known = within_bound(banded.where("declines").select("band").distinct())
+    met = banded.where("any").unionByName(banded.where("not any").join(known, "band", "left_semi")).select("band", "id", "text")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    similar = met.repartition(parts, "band").sortWithinPartitions("band", "id").mapInArrow(_similar, "a bigint, b bigint").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    involved = similar.select(F.explode(F.array("a", "b")).alias("id")).unionByName(said.where("declines or open").select("id")).distinct()
+    each = said.select("id", "prompt", "topic", "strange", "declines").join(within_bound(involved), "id", "left_semi").groupBy("id", "prompt", "topic")
+    each = each.agg(F.count(F.lit(1)).alias("n"), F.count_if("declines").alias("d"), F.count_if("strange").alias("s")).join(components(similar), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    each = each.persist(StorageLevel.MEMORY_AND_DISK)
+    about = each.where("s > 0").select("component", "topic").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("topics"))
+    grouped = each.groupBy("id", "component").agg(F.count(F.lit(1)).alias("prompts"), F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("s").alias("s")).persist(StorageLevel.MEMORY_AND_DISK)
+    group = grouped.groupBy("component").agg(F.sum("prompts").alias("prompts"), F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("s").alias("s")).join(about, "component", "left")
     template = (F.col("prompts") >= RECURS) & (F.col("d") >= DECLINES * F.col("n"))
+    spread = F.coalesce((F.col("topics") >= SPREAD) & (F.col("s") >= STRANGE * F.col("n")), F.lit(False))
     named = grouped.select("id", "component", F.col("d").alias("own")).join(group, "component")
-    refusing = named.where(template | (F.col("own") > 0)).select("id")
-    told = said.select("table_name", "row_key", "id", "length", "all", "polite_all", "polite").join(within_bound(refusing), "id", "left_semi")
+    refusing = named.select("id", (template | (F.col("own") > 0)).alias("known"), spread.alias("spread")).where("known or spread")
+    told = said.select("table_name", "row_key", "id", "length", "all", "polite_all", "polite", "open").join(within_bound(refusing), "id").where("known or open")
     total = told.groupBy("table_name", "row_key").agg(F.first("all").alias("all"), F.first("polite_all").alias("polite_all"), F.sum(F.when(~F.col("polite"), F.col("length")).otherwise(0)).alias("plain"))
     return total.where(F.col("plain") + F.col("polite_all") >= 0.6 * F.col("all")).select("table_name", "row_key")
 

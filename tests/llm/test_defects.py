@@ -53,6 +53,16 @@ def test_every_way_to_decline_passes_the_parts(sentence):
     assert P.declines(sentence)
 
 
+def test_template_in_a_wording_that_no_list_has(spark):
+    asked = ["How hot is the pump?", "Write a poem about winter.", "Who painted that ceiling?", "Translate this letter.", "Which train leaves first?", "Compute the integral.", "Name three rivers.", "Explain photosynthesis."]
+    rows = [(f"far{i}", q, "That falls beyond my remit.") for i, q in enumerate(asked)] + [("variant", "Sort these numbers.", "That fals beyond my remit.")]
+    rows += [(f"near{i}", f"How hot is pump number {i}?", "It stays below the limit.") for i in range(8)]  # one topic
+    rows += [(f"shared{i}", q, "Surely, that concerns " + q.lower().rstrip(".?").split()[-1] + ".") for i, q in enumerate(asked)]
+    frame = spark.createDataFrame([("t", *r) for r in rows], "table_name string, row_key string, question string, answer string")
+    found = {r.row_key: r.defect for r in P.pair_defects(frame).collect()}
+    assert found == {k: "refusal" for k, *_ in rows if k.startswith(("far", "variant"))}
+
+
 def test_empty_table_and_null_keys(spark):
     frame = spark.createDataFrame([("t", None, "q", None)], "table_name string, row_key string, question string, answer string")
     assert P.pair_defects(frame).count() == 0
