@@ -12,7 +12,8 @@ other language, structural breaks) and gathers what only the corpus can tell:
   in responses that have no word of the prompt and no number.  A
   declining sentence that does not recur needs no help only if its wording is
   unmistakable.  A response is a refusal if such sentences and politeness make
-  up most of it.
+  up most of it, or,
+  in a longer response, if its first sentence but for politeness and scraps is one.
 * truncation - where sentences of the corpus end: the last two words of all
   terminated sentences, and the usual length of sentences that begin alike.  A
   response whose last sentence has no end mark breaks off if no sentence ends
@@ -39,8 +40,8 @@ from sievewright.llm import defect_words as D
 from sievewright.llm.components import components
 from sievewright.llm.pairs import within_bound
 
-#: Words up to which a response can be a refusal.
-SHORT = 60
+#: Words up to which all sentences of a response are kept; of a longer one its opening, so many sentences, and those that decline.
+SHORT, OPENING = 60, 3
 #: Unrelated prompts across which a group recurs to be a template; share of its occurrences that decline.
 RECURS, DECLINES = 3, 0.5
 #: Groups that the phrase list doesn't know: prompts on different topics, share of responses without a word of the prompt, words of a sentence.
@@ -222,7 +223,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def examine(question: str, answer: str | None, ends: Counter, opens: Counter) -> tuple:
-    """(verdict, words, sentences of a short response, key of the last words, key of the last sentence's beginning, its length).
+    """(verdict, words, sentences that may refuse, key of the last words, key of the last sentence's beginning, its length).
 
     Counts the last two and first two tokens of sentences with an end mark.
     """
@@ -251,7 +252,7 @@ def examine(question: str, answer: str | None, ends: Counter, opens: Counter) ->
                 del tokens[0]
             ends[tokens[-2], tokens[-1]] += 1
             opens[tokens[0], tokens[1], min(len(tokens), 200)] += 1
-    short = [s.strip() for s in sentences] if len(low) <= SHORT else None
+    short = [s.strip() for i, s in enumerate(sentences) if len(low) <= SHORT or i < OPENING or declines(s)]
     if closed:
         return verdict or "truncated", len(low), short, None, None, None
     last = _BULLET.sub("", sentences[-1], count=1).split() if closed is None and sentences else None
@@ -358,7 +359,7 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 _SAID = (
     ("table_name", "string", pa.string()), ("row_key", "string", pa.string()), ("prompt", "bigint", pa.int64()), ("id", "bigint", pa.int64()), ("text", "string", pa.string()),
-    ("length", "int", pa.int32()), ("all", "int", pa.int32()), ("polite_all", "int", pa.int32()), ("declines", "boolean", pa.bool_()), ("polite", "boolean", pa.bool_()), ("topic", "bigint", pa.int64()), ("strange", "boolean", pa.bool_()), ("open", "boolean", pa.bool_()), ("bands", "array<bigint>", pa.list_(pa.int64())),
+    ("length", "int", pa.int32()), ("all", "int", pa.int32()), ("polite_all", "int", pa.int32()), ("declines", "boolean", pa.bool_()), ("polite", "boolean", pa.bool_()), ("topic", "bigint", pa.int64()), ("strange", "boolean", pa.bool_()), ("open", "boolean", pa.bool_()), ("leads", "boolean", pa.bool_()), ("bands", "array<bigint>", pa.list_(pa.int64())),
 )
 
 
@@ -367,16 +368,18 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[tuple[int, bool]] = set()
     for batch in batches:
         out, new = [], {}
-        for name, key, prompt, about, strange, listed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for name, key, prompt, about, strange, words, listed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             found = [(m, len(s.split()), declines(s), bool(_COURTESY.search(m))) for s in listed if (m := masked_sentence(s))]
             total, polite = sum(f[1] for f in found), sum(f[1] for f in found if f[3])
-            for m, length, d, p in found:
+            total = max(total, words) if words > SHORT else total
+            lead = next((at for at, f in enumerate(found) if not f[3] and (f[2] or f[1] >= LEAST)), None) if words > SHORT else None
+            for at, (m, length, d, p) in enumerate(found):
                 i = _key([m])
                 free = bool(strange) and not p and "0" not in m and length >= LEAST  # may be of a template that the list doesn't know
                 if (i, free) not in seen:
                     seen.add((i, free))
                     new[len(out)] = m
-                out.append([name, key, prompt, i, m if d or len(out) in new else None, length, total, polite, d, p, about, strange, free, None])
+                out.append([name, key, prompt, i, m if d or len(out) in new else None, length, total, polite, d, p, about, strange, free, at == lead, None])
         if len(seen) > 1_000_000:
             seen = set()
         if new:
@@ -387,13 +390,13 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def refusals(rows: DataFrame) -> DataFrame:
-    """(table_name, row_key) of the refusals among short responses (table_name, row_key, prompt, topic, strange, sentences).
+    """(table_name, row_key) of the refusals among responses (table_name, row_key, prompt, topic, strange, words, sentences).
 
     In each bucket of a band every sentence is compared with the bucket's representatives, those that are similar to
     no earlier one.  A sentence that neither declines nor stands in a response without words of its prompt can only
     belong to a template of declining ones, so it is left out of buckets without one.
     """
-    said = rows.select("table_name", "row_key", "prompt", "topic", "strange", "sentences").mapInArrow(_parts, ", ".join(f"`{n}` {k}" for n, k, _ in _SAID)).persist(StorageLevel.MEMORY_AND_DISK)
+    said = rows.select("table_name", "row_key", "prompt", "topic", "strange", "words", "sentences").mapInArrow(_parts, ", ".join(f"`{n}` {k}" for n, k, _ in _SAID)).persist(StorageLevel.MEMORY_AND_DISK)
     banded = said.where("bands is not null").select(F.explode("bands").alias("band"), "id", "text", (F.col("declines") | F.col("open")).alias("any"), "declines")
     known = within_bound(banded.where("declines").select("band").distinct())
     met = banded.where("any").unionByName(banded.where("not any").join(known, "band", "left_semi")).select("band", "id", "text")
@@ -410,9 +413,9 @@ def refusals(rows: DataFrame) -> DataFrame:
     spread = F.coalesce((F.col("topics") >= SPREAD) & (F.col("s") >= STRANGE * F.col("n")), F.lit(False))
     named = grouped.select("id", "component", F.col("d").alias("own")).join(group, "component")
     refusing = named.select("id", (template | (F.col("own") > 0)).alias("known"), spread.alias("spread")).where("known or spread")
-    told = said.select("table_name", "row_key", "id", "length", "all", "polite_all", "polite", "open").join(within_bound(refusing), "id").where("known or open")
-    total = told.groupBy("table_name", "row_key").agg(F.first("all").alias("all"), F.first("polite_all").alias("polite_all"), F.sum(F.when(~F.col("polite"), F.col("length")).otherwise(0)).alias("plain"))
-    return total.where(F.col("plain") + F.col("polite_all") >= 0.6 * F.col("all")).select("table_name", "row_key")
+    told = said.select("table_name", "row_key", "id", "length", "all", "polite_all", "polite", "open", "leads").join(within_bound(refusing), "id").where("known or open")
+    total = told.groupBy("table_name", "row_key").agg(F.first("all").alias("all"), F.first("polite_all").alias("polite_all"), F.sum(F.when(~F.col("polite"), F.col("length")).otherwise(0)).alias("plain"), F.bool_or(F.col("leads") & F.col("known")).alias("leads"))
+    return total.where(F.col("leads") | (F.col("plain") + F.col("polite_all") >= 0.6 * F.col("all"))).select("table_name", "row_key")
 
 
 def truncations(rows: DataFrame, ends: DataFrame, opens: DataFrame) -> DataFrame:

@@ -63,6 +63,17 @@ def test_template_in_a_wording_that_no_list_has(spark):
     assert found == {k: "refusal" for k, *_ in rows if k.startswith(("far", "variant"))}
 
 
+def test_refusals_of_many_words(spark):
+    reasons = " ".join(f"The {w} of the pump concerns people who would have to bear what follows from a wrong word about it." for w in ("speed", "heat", "noise", "price"))
+    rows = [
+        ("opening", f"I'm sorry. I can't help with that request. {reasons}"),
+        ("one", "I cannot help with this request about the pump, " + ", ".join(f"which concerns the part number {i}" for i in range(20)) + "."),
+        ("answer", f"{reasons} Turn the valve to the left. I can't share more."),
+    ]
+    frame = spark.createDataFrame([("t", k, "How fast is the pump?", a) for k, a in rows], "table_name string, row_key string, question string, answer string")
+    assert {r.row_key: r.defect for r in P.pair_defects(frame).collect()} == {"opening": "refusal", "one": "refusal"}
+
+
 def test_empty_table_and_null_keys(spark):
     frame = spark.createDataFrame([("t", None, "q", None)], "table_name string, row_key string, question string, answer string")
     assert P.pair_defects(frame).count() == 0
