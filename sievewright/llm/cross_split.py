@@ -1,24 +1,22 @@
 """Records of evaluation splits that are also in the training split, exactly or almost.
 
-Every text has a similarity-hash fingerprint of 256 bits: one bit of each of
-256 min-wise values of its words, so that two texts with overlap J differ in
-(1 - J) / 2 of the bits and the Hamming radius follows from the threshold.
-Fixed permutations of the bits each give a code of their first ``width`` bits; an evaluation row and a training row that agree in a code meet
-in an equi-join, keep to the radius in the first 64 bits there and in all 256
-afterwards, and are then checked on their words.
-
-A pair with overlap J differs in a binomial number of bits, (1 - J) / 2 of them in
-the mean, and agrees in a code if none of those is in it.  The width follows the
-number of training rows, so that a row meets about as many chance partners per
-code at any size; the number of codes follows the width, so that a pair at the
-threshold is found with ``RECALL`` at any size too (codes are no more independent
-than their bits, so many are needed: BLOCKS at 14 bits, three times as many at 20).
+Every text has a similarity-hash fingerprint: ``FUNCTIONS`` min-wise values of its
+words, of each the low bits as a segment and one bit more.  A permutation cuts the
+segments into ``BLOCKS`` blocks of ``SEGMENTS``; an evaluation row and a training
+row that agree in a block meet in an equi-join, keep to the Hamming radius in the
+first 64 of the single bits there and in all of them afterwards, and are then
+checked on their words.
+
+Texts with overlap J agree in a segment with probability J (and 1/2^bits of the
+rest), so in one block at least with 1 - (1 - J^SEGMENTS)^BLOCKS: 0.988 at 0.7,
+0.9999 at 0.8, whatever the number of rows.  Texts that have nothing to do with one
+another, but for the words of their kind, overlap by about 0.16 and meet in one
+block of ten thousand.  The radius loses a pair at 0.7 with a probability below 1e-4.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,63 +28,68 @@ from sievewright.llm import pairs as P
 from sievewright.llm.near_duplicates import NEAR_64, NEAR_ALL
 from sievewright.llm.words import FUNCTIONS, fingerprints, set_hashes, signatures, word_sets
 
-#: Codes at least, and probability with which a pair at the threshold agrees in one at least.
-BLOCKS, RECALL = 40, 0.965
-#: Share of bits in which texts that have nothing to do with one another agree, measured on prose; partners by chance per code.
-CHANCE, PARTNERS = 0.58, 2.2
-
-
-def width_for(rows: int) -> int:
-    """Bits per code for so many training rows."""
-    return min(40, max(14, round(math.log(max(rows, 1) / PARTNERS + 1) / math.log(1 / CHANCE))))
-
-
-def blocks_for(width: int, threshold: float = 0.7) -> int:
-    """Codes of so many bits that find a pair at the threshold with ``RECALL``."""
-    differ = (1 - threshold) / 2
-    apart = range(FUNCTIONS - width + 1)
-    chance = [math.comb(FUNCTIONS, d) * differ**d * (1 - differ) ** (FUNCTIONS - d) for d in apart]
-    agree = [math.comb(FUNCTIONS - d, width) / math.comb(FUNCTIONS, width) for d in apart]
-    few = lambda blocks: sum(c * (1 - (1 - g) ** blocks) for c, g in zip(chance, agree, strict=True)) < RECALL
-    low, high = BLOCKS - 1, BLOCKS
-    while few(high):
-        low, high = high, 2 * high
-    while high - low > 1:
-        middle = (low + high) // 2
-        low, high = (middle, high) if few(middle) else (low, middle)
-    return high
-
-
-def block_codes(bits: np.ndarray, width: int, blocks: int = BLOCKS) -> np.ndarray:
-    """Codes of fingerprints (as 64-bit integers), one column per permutation; the permutation's number is in the code."""
-    flat = np.unpackbits(np.ascontiguousarray(bits).view(np.uint8), axis=1, bitorder="little").astype(np.float32)
-    power = np.zeros((FUNCTIONS, 2 * blocks), np.float32)  # two halves, exact in single precision
-    half = width // 2
-    for b in range(blocks):
-        order = np.random.default_rng(4_001 + b).permutation(FUNCTIONS)
-        power[order[:half], 2 * b] = 2.0 ** np.arange(half)
-        power[order[half:width], 2 * b + 1] = 2.0 ** np.arange(width - half)
-    parts = (flat @ power).astype(np.int64)
-    return (np.arange(blocks, dtype=np.int64) << 48) | (parts[:, 0::2] << 24) | parts[:, 1::2]
-
-
-def _features(width: int, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts, train = batch.column(0), batch.column(1), batch.column(2)
-            sets = word_sets(texts)
-            h0, h1 = set_hashes(*sets, texts)
-            bits = fingerprints(signatures(*sets))
-            codes = block_codes(bits, width, blocks)
-            empty = np.diff(sets[1]) == 0
-            offsets = np.concatenate(([0], np.cumsum(np.where(empty, 0, blocks)))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes[~empty].ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [ids, train, pa.array(h0), pa.array(h1), lists, *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4))],
-                names=["id", "train", "h0", "h1", "codes", "s0", "s1", "s2", "s3"],
-            )
-
-    return run
+#: Blocks, segments of each, bits of a segment; fixed, so that a pair's chance does not depend on the table.
+BLOCKS, SEGMENTS, SEGMENT_BITS = 24, 5, 8
+#: Training rows with one code that one task joins; more are dealt out by salt.
+HOT = 20_000
+#: Rows of the sample that hot codes are looked for in.
+SAMPLED = 10_000
+
+_ORDER = np.random.default_rng(4_001).permutation(FUNCTIONS)[: BLOCKS * SEGMENTS].reshape(BLOCKS, SEGMENTS)
+FEATURES = "id bigint, train boolean, h0 bigint, h1 bigint, codes array<bigint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
+
+
+def block_codes(values: np.ndarray) -> np.ndarray:
+    """Codes of min-wise values, one column per block; the block's number is in the code."""
+    segment = ((values >> np.uint32(8)) & np.uint32(2**SEGMENT_BITS - 1)).astype(np.int64)
+    codes = np.broadcast_to(np.arange(BLOCKS, dtype=np.int64), (len(values), BLOCKS)).copy()
+    for at in range(SEGMENTS):
+        codes = (codes << SEGMENT_BITS) | segment[:, _ORDER[:, at]]
+    return codes
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, texts, train = batch.column(0), batch.column(1), batch.column(2)
+        sets = word_sets(texts)
+        h0, h1 = set_hashes(*sets, texts)
+        values = signatures(*sets)
+        bits = fingerprints(values)
+        empty = np.diff(sets[1]) == 0
+        offsets = np.concatenate(([0], np.cumsum(np.where(empty, 0, BLOCKS)))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(block_codes(values)[~empty].ravel()))
+        yield pa.RecordBatch.from_arrays(
+            [ids, train, pa.array(h0), pa.array(h1), lists, *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4))],
+            names=["id", "train", "h0", "h1", "codes", "s0", "s1", "s2", "s3"],
+        )
+
+
+def hot_codes(training: DataFrame, rows: int) -> DataFrame | None:
+    """(code, parts) of codes that more than HOT of the training rows (id, codes) have, judged on a sample; None without any.
+
+    Only where rows are joined depends on it, not which.  A sample has at most about SAMPLED rows and a code in it 50, so the
+    codes are few.
+    """
+    share = max(1, rows // SAMPLED)
+    sample = training.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select(F.explode("codes").alias("code"))
+    counted = sample.groupBy("code").count().where(F.col("count") * share > max(HOT, 50 * share)).collect()
+    if not counted:
+        return None
+    return training.sparkSession.createDataFrame([(r[0], -(-r[1] * share // HOT)) for r in counted], "code bigint, parts bigint")
+
+
+def met(reps: DataFrame, rows: int) -> DataFrame:
+    """Pairs (a, b) of evaluation and training rows that agree in a code and keep to the radius in 64 bits."""
+    left = reps.where("not train").select(F.explode("codes").alias("code"), F.col("id").alias("a"), F.col("s0").alias("t0"))
+    right = reps.where("train").select(F.explode("codes").alias("code"), F.col("id").alias("b"), "s0")
+    by = ["code"]
+    hot = hot_codes(reps.where("train"), rows)
+    if hot is not None:
+        parts = F.coalesce("parts", F.lit(1))
+        left = left.join(F.broadcast(hot), "code", "left").select("code", "a", "t0", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+        right = right.join(F.broadcast(hot), "code", "left").select("code", "b", "s0", F.pmod(F.xxhash64("b"), parts).alias("salt"))
+        by.append("salt")
+    return left.join(right, by).where(F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))) <= NEAR_64).select("a", "b").distinct()
 
 
 def cross_split_pairs(rows: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -95,19 +98,14 @@ def cross_split_pairs(rows: DataFrame, threshold: float = 0.7) -> DataFrame:
     ``train`` is a boolean; null counts as outside.  Null text counts as empty; rows without words pair with equal
     texts only, with overlap 1.  Repeated rows of either side are compared once and expanded afterwards.
     Extra columns are ignored, rows without id left out.  Of an empty table, or one without either side, the result is
-    empty.
+    empty.  The constants are for thresholds of 0.7 and more.
     """
     rows = rows.select("id", "text", F.coalesce("train", F.lit(False)).alias("train")).where("id is not null")
-    width = width_for(rows.where("train").count())
-    found = rows.select("id", "text", "train").mapInArrow(_features(width, blocks_for(width, threshold)), "id bigint, train boolean, h0 bigint, h1 bigint, codes array<bigint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
-    found = found.persist(StorageLevel.MEMORY_AND_DISK)
+    found = rows.select("id", "text", "train").mapInArrow(_features, FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
     copy = P.copies(found, "train").persist(StorageLevel.MEMORY_AND_DISK)
     reps = found.join(P.within_bound(copy.select("id")), "id", "left_anti")
-    entries = lambda side: reps.where(side).select(F.explode("codes").alias("code"), "id", "s0")
-    left = entries(~F.col("train")).select("code", F.col("id").alias("a"), F.col("s0").alias("t0"))
-    right = entries(F.col("train")).select("code", F.col("id").alias("b"), "s0")
-    met = left.join(right, "code").where(F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))) <= NEAR_64).select("a", "b").distinct()
-    near = P.verified(P.sketch_filter(met, found.select("id", *P.SKETCH), NEAR_ALL), rows, threshold)
+    some = met(reps, found.count())
+    near = P.verified(P.sketch_filter(some, found.select("id", *P.SKETCH), NEAR_ALL), rows, threshold)
     silent = reps.where(F.size("codes") == 0).select("id", "train", "h0", "h1")
     equal = silent.where("not train").select(F.col("id").alias("a"), "h0", "h1").join(silent.where("train").select(F.col("id").alias("b"), "h0", "h1"), ["h0", "h1"])
     near = near.unionByName(equal.select("a", "b", F.lit(1.0).alias("overlap"))).persist(StorageLevel.MEMORY_AND_DISK)

@@ -223,8 +223,7 @@ def near_duplicate_pairs(texts: DataFrame, threshold: float = 0.7) -> DataFrame:
     """
     near, copy = links(texts, threshold)
     between = P.expanded(near.select("a", "b"), copy, copy)
-    same = copy.select("rep", F.col("id").alias("b"))
-    within = same.select(F.col("rep").alias("a"), "b").unionByName(same.join(same.select("rep", F.col("b").alias("a")), "rep").where("a < b").select("a", "b"))
+    within = P.within_classes(copy)
     both = between.unionByName(within)
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from sievewright.llm.words import FUNCTIONS, words_column
 
+#: Members of a class that one task pairs; a larger class is paired by blocks of it.
+MEMBERS = 2_048
 #: A side of a join with at most so many rows of two integers is broadcast (32 MB); a larger one is shuffled.
 BROADCAST_ROWS = 1_000_000
 SKETCH = [f"s{i}" for i in range(FUNCTIONS // 64)]
@@ -67,3 +69,18 @@ def expanded(links: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
         return frame.unionByName(frame.join(more, c).drop(c).withColumnRenamed("m", c))
 
     return members(members(links, "a", left), "b", right)
+
+
+def within_classes(copy: DataFrame) -> DataFrame:
+    """All pairs (a, b), a < b, among the members of each class, given as copies (id, rep).
+
+    The pairs are m * m / 2 for m members, as asked for; members are dealt out to blocks, and each pair of blocks is a
+    key of its own, so that no key has more than two blocks' rows.
+    """
+    member = copy.select("rep", "id").unionByName(copy.select("rep", F.col("rep").alias("id")).distinct()).persist(StorageLevel.MEMORY_AND_DISK)
+    size = member.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("blocks"))
+    placed = member.join(size, "rep").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    lower = placed.select("rep", F.col("id").alias("x"), F.col("block").alias("p"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("q"))
+    upper = placed.select("rep", F.col("id").alias("y"), F.explode(F.expr("sequence(0L, block)")).alias("p"), F.col("block").alias("q"))
+    both = lower.join(upper, ["rep", "p", "q"]).where((F.col("p") < F.col("q")) | (F.col("x") < F.col("y")))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from sievewright.llm import near_duplicates as N
 from sievewright.llm.components import components
-from sievewright.llm.cross_split import block_codes, blocks_for, cross_split_pairs, leakage_report, width_for
+from sievewright.llm import cross_split as C
+from sievewright.llm import pairs as P
+from sievewright.llm.cross_split import block_codes, cross_split_pairs, leakage_report
 
 WORDS = re.compile(r"[^\W_]+")
 
@@ -131,15 +133,25 @@ def test_cross_split_equals_brute_force(spark):
     assert len(got) > 20
 
 
-def test_number_of_codes_follows_the_width():
-    blocks = [blocks_for(w) for w in range(14, 41)]
-    assert blocks[0] == 40 and blocks == sorted(blocks)
-    assert 117 < blocks_for(20) < 147
+@pytest.mark.parametrize("hot", [20_000, 20])
+def test_cross_split_recall_in_a_dense_family(spark, monkeypatch, hot):
+    monkeypatch.setattr(C, "HOT", hot)
+    r = random.Random(12)
+    texts = {}
+    for i in range(400):
+        words = [f"k{j}" for j in range(50)]
+        for j in r.sample(range(50), 4):
+            words[j] = f"v{i}x{j}"
+        texts[i] = " ".join(words)
+    train = {i for i in texts if i % 5}
+    true = overlaps(texts, set(texts) - train, train)
+    got = {(min(x.a, x.b), max(x.a, x.b)) for x in cross_split_pairs(spark.createDataFrame([(i, t, i in train) for i, t in texts.items()], "id bigint, text string, train boolean")).collect()}
+    assert len(true) > 10_000
+    assert got <= true
+    assert len(got) >= 0.97 * len(true)
 
 
-@pytest.mark.parametrize("width", [14, 20, 24])
-def test_cross_split_recall_at_the_widths_of_large_tables(spark, monkeypatch, width):
-    monkeypatch.setattr("sievewright.llm.cross_split.width_for", lambda rows: width)
+def test_cross_split_recall_of_thin_pairs_at_the_threshold(spark):
     texts = {}
     for i in range(400):
         words = [f"t{i}x{j}" for j in range(47)]
@@ -148,7 +160,22 @@ def test_cross_split_recall_at_the_widths_of_large_tables(spark, monkeypatch, wi
     frame = spark.createDataFrame([(i, t, i % 2 == 0) for i, t in texts.items()], "id bigint, text string, train boolean")
     got = {(r.a, r.b) for r in cross_split_pairs(frame).collect()}
     assert got <= {(2 * i + 1, 2 * i) for i in range(400)}
-    assert len(got) >= 0.945 * 400
+    assert len(got) >= 0.96 * 400
+
+
+def test_hot_codes_are_those_of_many_training_rows(spark, monkeypatch):
+    monkeypatch.setattr(C, "HOT", 10)
+    rows = [(i, [7, 100 + i]) for i in range(100)]
+    found = C.hot_codes(spark.createDataFrame(rows, "id bigint, codes array<bigint>"), 100)
+    assert [tuple(r) for r in found.collect()] == [(7, 10)]
+    assert C.hot_codes(spark.createDataFrame(rows[:9], "id bigint, codes array<bigint>"), 9) is None
+
+
+def test_pairs_within_large_classes(spark, monkeypatch):
+    monkeypatch.setattr(P, "MEMBERS", 4)
+    rows = [(i, 0) for i in range(1, 20)] + [(31, 30)]
+    got = sorted((r.a, r.b) for r in P.within_classes(spark.createDataFrame(rows, "id bigint, rep bigint")).collect())
+    assert got == sorted([(i, j) for i in range(20) for j in range(i + 1, 20)] + [(30, 31)])
 
 
 def test_cross_split_odd_rows(spark):
@@ -163,9 +190,10 @@ def test_cross_split_odd_rows(spark):
     assert [(r.source, r.rows, r.same, r.almost, r.leaked) for r in report] == [("(none)", 3, 3, 0, 3)]
 
 
-def test_codes_hold_the_chosen_bits():
-    bits = np.random.default_rng(1).integers(-(2**62), 2**62, (50, 4), dtype=np.int64)
-    same, other = block_codes(bits, 20), block_codes(bits ^ 1, 20)
-    assert (same == block_codes(bits.copy(), 20)).all()
-    assert 0 < (same == other).mean() < 1
-    assert [width_for(n) for n in (0, 12_000, 120_000, 10**9)] == [14, 16, 20, 37]
+def test_codes_agree_with_the_power_of_the_overlap():
+    r = np.random.default_rng(1)
+    values = r.integers(0, 2**32, (4_000, 256), dtype=np.uint32)
+    other = np.where(r.random(values.shape) < 0.7, values, r.integers(0, 2**32, values.shape, dtype=np.uint32))
+    same = block_codes(values) == block_codes(other)
+    assert abs(same.mean() - 0.701**5) < 0.01
+    assert 0.98 < same.any(axis=1).mean() < 0.995
