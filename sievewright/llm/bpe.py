@@ -10,6 +10,8 @@ from itertools import chain
 import numpy as np
 import regex
 import xxhash
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import SparkSession
 
 #: Folder of the public tokenizers' files; every function takes another.
 TOKENIZERS = "/opt/tokenizers"
@@ -156,3 +158,16 @@ def encoder(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> Encoder:
     if (name, folder) not in _made:
         _made[name, folder] = Encoder(read_ranks(name, folder))
     return _made[name, folder]
+
+
+def shipped(spark: SparkSession, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> Broadcast:
+    """The encoder for ``opened`` on executors: its size is that of the vocabulary, its code travels with it."""
+    return spark.sparkContext.broadcast({"pickled": cloudpickle.dumps(encoder(name, folder))})
+
+
+def opened(shared: Broadcast) -> Encoder:
+    """The shipped encoder, unpacked once per Python worker."""
+    held = shared.value
+    if "encoder" not in held:
+        held["encoder"] = cloudpickle.loads(held["pickled"])
+    return held["encoder"]

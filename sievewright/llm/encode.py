@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm.bpe import TOKENIZERS, encoder
+from sievewright.llm.bpe import TOKENIZERS, opened, shipped
 
 #: Texts that are encoded at a time.
 CHUNK = 512
@@ -21,10 +21,10 @@ def encode(texts: DataFrame, key: str = "doc_id", text: str | Column = "text", n
     Null and empty texts have an empty list, never null.  Blanks are encoded as they are and text that looks like a
     special token as plain text.  No shuffle: the vocabulary, whose size is fixed, is broadcast.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(encoder(name, folder))
+    shared = shipped(texts.sparkSession, name, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = shared.value
+        code = opened(shared)
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(at, CHUNK)

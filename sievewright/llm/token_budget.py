@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm.bpe import TOKENIZERS, encoder
+from sievewright.llm.bpe import TOKENIZERS, opened, shipped
 
 #: Distinct (slice, piece) counts that a task holds before it passes them on.
 HELD = 200_000
@@ -40,10 +40,10 @@ def token_totals(rows: DataFrame, by: list[str], text: str = "text", name: str =
     ``slices``, if the frame has an array column of that name, gives the values of the last of ``by``: a row counts in
     each of them.  Null and empty texts are rows without tokens.  Of an empty table the result is empty.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(encoder(name, folder))
+    shared = shipped(rows.sparkSession, name, folder)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = shared.value
+        code = opened(shared)
         held: dict[str, Counter] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -61,7 +61,7 @@ def token_totals(rows: DataFrame, by: list[str], text: str = "text", name: str =
         yield from out()
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, total = shared.value, Counter()
+        code, total = opened(shared), Counter()
         for batch in batches:
             pieces = batch.column(1).to_pylist()
             code.learn(set(pieces))
