@@ -14,10 +14,12 @@ other language, structural breaks) and gathers what only the corpus can tell:
   unmistakable.  A response is a refusal if such sentences and politeness make
   up most of it, or,
   in a longer response, if its first sentence but for politeness and scraps is one.
-* truncation - where sentences of the corpus end: the last two words of all
-  terminated sentences, and the usual length of sentences that begin alike.  A
-  response whose last sentence has no end mark breaks off if no sentence ends
-  like that, or if it is far shorter than its like.
+* truncation - where sentences of the corpus end: how often the last two words
+  of an open sentence end sentences and how often they stand within them, and
+  the usual length of sentences that begin alike; counted in a second pass, for
+  the pairs of words that open sentences have.  A response whose last sentence
+  has no end mark breaks off if hardly a sentence ends like that, or if it is
+  far shorter than its like.
 
 Order of decisions, one defect per pair: empty, copied_question, refusal,
 other_language, truncated.
@@ -26,11 +28,11 @@ other_language, truncated.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -46,8 +48,12 @@ SHORT, OPENING = 60, 3
 RECURS, DECLINES = 3, 0.5
 #: Groups that the phrase list doesn't know: prompts on different topics, share of responses without a word of the prompt, words of a sentence.
 SPREAD, STRANGE, LEAST = 5, 0.8, 4
-#: Distinct sentence ends that a task counts before it passes them on.
-HELD = 500_000
+#: Entries that a task keeps before it passes counts on, and words or sentences that it remembers.
+HELD, KNOWN = 1_000_000, 200_000
+#: Share of the occurrences of two words, of those that a word follows or an end mark closes, at which an end is no end.
+RARE = 0.02
+#: Bits of the filter of wanted keys (8 MB at any size of the table; more keys than bits let more counts pass, not fewer).
+FILTER_BITS = 26
 #: Jaccard similarity of 4-grams within a group; bands and rows of the MinHash.
 SIMILAR, BANDS, ROWS = 0.6, 10, 3
 #: Sentences with one beginning before their length counts; share of them that may be hardly longer, and by how many words.
@@ -173,10 +179,36 @@ def _masked(token: str, first: bool) -> str:
     return "#" if w[:1].isdigit() else "N" if not first and w[:1].isupper() and len(w) > 3 else w.lower()
 
 
+_PAIR = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_hashes: dict[str, int] = {}
+
+
+def _hash(word: str) -> int:
+    """Hash of a word; those of frequent words are remembered."""
+    h = _hashes.get(word)
+    if h is None:
+        if len(_hashes) > KNOWN:
+            _hashes.clear()
+        h = _hashes[word] = xxhash.xxh3_64_intdigest(word)
+    return h
+
+
+def pair_key(a: int, b: int) -> int:
+    """Key of two words, from their hashes."""
+    x = ((a * _PAIR[0] + b) * _PAIR[1]) & 0xFFFFFFFFFFFFFFFF
+    return (x ^ (x >> 31)) - 2**63
+
+
+def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``pair_key`` of arrays."""
+    x = (a * np.uint64(_PAIR[0]) + b) * np.uint64(_PAIR[1])
+    return (x ^ (x >> np.uint64(31)) ^ np.uint64(2**63)).view(np.int64)
+
+
 def sentence_keys(tokens: list[str]) -> tuple[int, int]:
     """Keys of a sentence's last two and first two words."""
-    n = len(tokens)
-    return _key([_masked(tokens[i], i == 0) for i in range(max(0, n - 2), n)]), _key([_masked(tokens[i], i == 0) for i in range(min(2, n))])
+    word = lambda i: _hash(_masked(tokens[i], i == 0))
+    return pair_key(word(len(tokens) - 2), word(len(tokens) - 1)), pair_key(word(0), word(1))
 
 
 def _key(words: list[str]) -> int:
@@ -207,14 +239,14 @@ def content_words(words: set[str]) -> set[str]:
     return {w for w in words if len(w) > 3 and not w.isdigit()} - _FREQUENT_WORDS
 
 
-def topic(question: str) -> int:
-    """The least hash of the question's content words: related questions mostly have it in common."""
-    return min((_key([w]) for w in content_words(set(word_list(question)))), default=0)
+def topic(content: set[str]) -> int:
+    """The least hash of a question's content words: related questions mostly have it in common."""
+    return min(map(_hash, content), default=2**63) - 2**63
 
 
-SCHEMA = "kind string, table_name string, row_key string, verdict string, prompt bigint, words int, sentences array<string>, end_key bigint, open_key bigint, n bigint, topic bigint, strange boolean"
+SCHEMA = "table_name string, row_key string, verdict string, prompt bigint, words int, sentences array<string>, end_key bigint, open_key bigint, length int, topic bigint, strange boolean"
 _NAMES_OUT = [c.split()[0] for c in SCHEMA.split(", ")]
-_TYPES = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+_TYPES = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -222,18 +254,15 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES_OUT)
 
 
-def examine(question: str, answer: str | None, ends: Counter, opens: Counter) -> tuple:
-    """(verdict, words, sentences that may refuse, key of the last words, key of the last sentence's beginning, its length).
-
-    Counts the last two and first two tokens of sentences with an end mark.
-    """
+def examine(question: str, answer: str | None) -> tuple:
+    """(verdict, words, sentences that may refuse, key of the last words, key of the last sentence's beginning, its length, topic, strange)."""
     if is_empty(answer):
-        return "empty", 0, None, None, None, None
+        return "empty", 0, None, None, None, None, None, None
     prose = _FENCE.sub("\n", answer) if "```" in answer else answer
     low = word_list(prose)
     mine, theirs = set(low), set(word_list(question))
     if is_copy(question, answer, theirs, mine):
-        return "copied_question", len(low), None, None, None, None
+        return "copied_question", len(low), None, None, None, None, None, None
     verdict = None
     if len(low) >= 4:
         got, weights = main_language(mine, bool(_CYRILLIC.search(prose)))
@@ -244,62 +273,101 @@ def examine(question: str, answer: str | None, ends: Counter, opens: Counter) ->
             verdict = "other_language"
     sentences = [s for s in _SENTENCE.split(prose) if s and not s.isspace()]
     closed = broken_structure(answer)
-    final = len(sentences) - 1 if closed is None else len(sentences)
-    for s in sentences[:final]:
-        tokens = s.split()
-        if len(tokens) >= 3 and _END.search(tokens[-1]):
-            if _BULLET.match(s):
-                del tokens[0]
-            ends[tokens[-2], tokens[-1]] += 1
-            opens[tokens[0], tokens[1], min(len(tokens), 200)] += 1
     short = [s.strip() for i, s in enumerate(sentences) if len(low) <= SHORT or i < OPENING or declines(s)]
+    about = strange = None
+    if short:
+        content = content_words(theirs)
+        strange = content.isdisjoint(mine)
+        about = topic(content) if strange else None
     if closed:
-        return verdict or "truncated", len(low), short, None, None, None
+        return verdict or "truncated", len(low), short, None, None, None, about, strange
     last = _BULLET.sub("", sentences[-1], count=1).split() if closed is None and sentences else None
     if last:
         if last[-1].strip(_EDGE).lower() in D.CONNECTORS and len(low) > 2:
-            return verdict or "truncated", len(low), short, None, None, None
+            return verdict or "truncated", len(low), short, None, None, None, about, strange
         if len(last) >= 4 and len(low) > 4 and not _LABEL.search(answer.rstrip()):
-            return verdict, len(low), short, *sentence_keys(last), len(last)
-    return verdict, len(low), short, None, None, None
-
-
-def _flushed(ends: Counter, opens: Counter) -> Iterator[pa.RecordBatch]:
-    """Counts by key; words are masked here, once for equal ones."""
-    by_end: Counter = Counter()
-    for (a, b), n in ends.items():
-        by_end[_key([_masked(a, False), _masked(b, False)])] += n
-    by_open: Counter = Counter()
-    for (a, b, length), n in opens.items():
-        by_open[_key([_masked(a, True), _masked(b, False)]), length] += n
-    ends.clear()
-    opens.clear()
-    yield _batch([("end", None, None, None, None, None, None, k, None, n, None, None) for k, n in by_end.items()])
-    yield _batch([("open", None, None, None, None, w, None, None, k, n, None, None) for (k, w), n in by_open.items()])
+            return verdict, len(low), short, *sentence_keys(last), len(last), about, strange
+    return verdict, len(low), short, None, None, None, about, strange
 
 
 def _examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ends: Counter = Counter()
-    opens: Counter = Counter()
     for batch in batches:
         rows = []
         for name, key, question, answer in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            verdict, words, short, end, begin, length = examine(question or "", answer, ends, opens)
+            verdict, words, short, end, begin, length, about, strange = examine(question or "", answer)
             if verdict or short or end is not None:
-                prompt = _key((question or "").lower().split())
-                about = strange = None
-                if short:
-                    about, strange = topic(question or ""), content_words(set(word_list(question or ""))).isdisjoint(word_list(answer))
-                rows.append(("row", name, key, verdict, prompt, words, short, end, begin, length, about, strange))
+                rows.append((name, key, verdict, _key((question or "").lower().split()), words, short, end, begin, length, about, strange))
         yield _batch(rows)
-        if len(ends) > HELD:
-            yield from _flushed(ends, opens)
-    yield from _flushed(ends, opens)
 
 
-def _grams(text: str) -> frozenset[str]:
-    t = f" {text} "
-    return frozenset(t[i : i + 4] for i in range(max(1, len(t) - 3)))
+_ITEM = re.compile(r"(?:[-*•]|\d+[.)])$")
+
+
+def word_pairs(answers: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the pairs of words that end a sentence with an end mark, of those that a further word of the sentence follows, and
+    of each ended sentence of three words and more the key of its first two words and its length."""
+    plain = pc.replace_substring_regex(pc.fill_null(answers, ""), "(?s)```.*?```", "\n")
+    split = pc.utf8_split_whitespace(pc.replace_substring_regex(plain, r"\n+", " \x01 "))
+    if isinstance(split, pa.ChunkedArray):
+        split = split.combine_chunks()
+    flat = split.flatten().dictionary_encode()
+    known, number = flat.dictionary.to_pylist(), np.asarray(flat.indices).astype(np.int64)
+    of_words = lambda f, kind: np.fromiter(map(f, known), kind, len(known))[number]
+    n, offsets = len(number), np.asarray(split.offsets).astype(np.int64)
+    shifted = lambda x: np.concatenate((np.zeros(1, bool), x))[:n]
+    begins = np.zeros(n + 1, bool)
+    begins[offsets - offsets[0]] = True
+    begins = begins[:n]
+    line, closes = of_words(lambda t: t == "\x01", bool), of_words(lambda t: bool(_END.search(t)), bool)
+    gap = line | (of_words(lambda t: bool(_ITEM.match(t)), bool) & (begins | shifted(line)))  # no word of a sentence
+    start = begins | shifted(gap | closes)
+    place = np.arange(n)
+    length = place - np.maximum.accumulate(np.where(start, place, 0)) + 1
+    goes_on = np.concatenate((~start[1:] & ~gap[1:], np.zeros(min(n, 1), bool)))
+    word, first = of_words(lambda t: _hash(_masked(t, False)), np.uint64), of_words(lambda t: _hash(_masked(t, True)), np.uint64)
+    at = np.flatnonzero(~start & ~gap)
+    keys, end, whole = pair_keys(word[at - 1], word[at]), closes[at], length[at] >= 3
+    last = at[end & whole]
+    head = last - length[last] + 1
+    return keys[end & whole], keys[~end & goes_on[at]], pair_keys(first[head], word[head + 1]), length[last]
+
+
+def _counting(wanted: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts (kind, key, length, n) of the pairs in texts whose bit is set in ``wanted``; kind 0: at an end, 1: within, 2: sentences that begin so."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if held:
+                rows, n = np.unique(np.concatenate(held), return_counts=True)
+                held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(rows["kind"]), pa.array(rows["key"]), pa.array(rows["length"]), pa.array(n.astype(np.int64))], names=["kind", "key", "length", "n"])
+
+        for batch in batches:
+            end, within, head, length = word_pairs(batch.column(0))
+            for kind, keys, sizes in ((0, end, None), (1, within, None), (2, head, length)):
+                bucket = keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+                keep = (wanted[bucket >> np.uint64(3)] >> (bucket & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                rows = np.zeros(int(keep.sum()), [("kind", np.int32), ("key", np.int64), ("length", np.int32)])
+                rows["kind"], rows["key"] = kind, keys[keep]
+                if sizes is not None:
+                    rows["length"] = np.minimum(sizes[keep], 200)
+                held.append(rows)
+            if sum(map(len, held)) > HELD:
+                yield from out()
+        yield from out()
+
+    return run
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """Bits of the keys (key), 2 ** FILTER_BITS of them in bytes; made by aggregation, at most 2 ** (FILTER_BITS - 15) rows reach the driver."""
+    bucket = F.shiftrightunsigned("key", 64 - FILTER_BITS)
+    found = keys.select(F.shiftright(bucket, 15).alias("part"), F.pmod(bucket, F.lit(32_768)).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    out = np.zeros((2 ** (FILTER_BITS - 15), 4096), np.uint8)
+    for part, bits in found:
+        out[part] = np.frombuffer(bits, np.uint8)
+    return out.ravel()
 
 
 _RNG = np.random.default_rng(50_021)
@@ -308,8 +376,8 @@ _GB = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 _GC = _RNG.integers(1, 2**62, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def sentence_bands(texts: list[str]) -> np.ndarray:
-    """Band keys of the MinHash of each text's character 4-grams, all texts at once; one row per text."""
+def _gram_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the character 4-grams of all texts, and how many each text has."""
     padded = [f" {t} ".ljust(4) for t in texts]
     size = np.fromiter(map(len, padded), np.int64, len(padded))
     code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -317,7 +385,12 @@ def sentence_bands(texts: list[str]) -> np.ndarray:
     gram ^= gram >> np.uint64(31)
     begin = np.concatenate(([0], np.cumsum(size)[:-1]))
     inside = np.arange(len(gram)) - np.repeat(begin, size)[: len(gram)] <= np.repeat(size, size)[: len(gram)] - 4
-    gram, count = gram[inside], size - 3
+    return gram[inside], size - 3
+
+
+def sentence_bands(texts: list[str]) -> np.ndarray:
+    """Band keys of the MinHash of each text's character 4-grams, all texts at once; one row per text."""
+    gram, count = _gram_hashes(texts)
     start = np.concatenate(([0], np.cumsum(count)[:-1]))
     out = np.empty((len(texts), BANDS), np.uint64)
     for band in range(BANDS):
@@ -330,30 +403,53 @@ def sentence_bands(texts: list[str]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def gram_sets(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct 4-gram hashes of each text in order, their number, and a bit map of 512 bits, in which two sets differ in no more bits than in grams."""
+    gram, count = _gram_hashes(texts)
+    row = np.repeat(np.arange(len(texts)), count)
+    order = np.lexsort((gram, row))
+    gram, row = gram[order], row[order]
+    once = np.concatenate(([True], (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])))
+    gram, row = gram[once], row[once]
+    bits = np.zeros((len(texts), 512), bool)
+    bits[row, (gram >> np.uint64(7)) & np.uint64(511)] = True
+    size = np.bincount(row, minlength=len(texts))
+    return np.split(gram, np.cumsum(size)[:-1]), size, np.packbits(bits, axis=1).view(np.uint64)
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Similar sentences of a bucket, of rows (band, id, text) sorted by band: each with the representatives that it is similar to, or one itself."""
-    band, first, seen = None, [], set()
+    """Similar sentences of a bucket, of rows (band, id, text) sorted by band: each with the representatives that it is similar to, or one itself.
+
+    Representatives are compared by bit maps, all at once, and those that can be similar by their grams.
+    """
+    band, seen, grams, sizes, maps, ids = None, set(), [], np.zeros(0, np.int64), np.zeros((0, 8), np.uint64), []
+    held = 0
     for batch in batches:
         a, b = [], []
-        for at, i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        own, counts, bits = gram_sets(batch.column(2).to_pylist()) if batch.num_rows else ([], (), ())
+        for at, i, x, n, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), own, counts, bits, strict=True):
             if at != band:
-                band, first, seen = at, [], set()
+                band, seen, grams, held, ids = at, set(), [], 0, []
             if i in seen:
                 continue
             seen.add(i)
-            x, alone = _grams(t), True
-            size = len(x)
-            for j, y in first:
-                other = len(y)
-                if size < SIMILAR * other or other < SIMILAR * size:  # cannot be similar
-                    continue
-                common = len(x & y)
-                if common >= SIMILAR * (size + other - common):
-                    a.append(i)
-                    b.append(j)
-                    alone = False
+            alone = True
+            if held:
+                apart = np.bitwise_count(maps[:held] ^ m).sum(axis=1)
+                # of n + k grams at least SIMILAR / (1 + SIMILAR) are common, so this many may differ
+                for j in np.flatnonzero(apart <= (n + sizes[:held]) * ((1 - SIMILAR) / (1 + SIMILAR))):
+                    common = len(np.intersect1d(x, grams[j], assume_unique=True))
+                    if common >= SIMILAR * (n + sizes[j] - common):
+                        a.append(i)
+                        b.append(ids[j])
+                        alone = False
             if alone:
-                first.append((i, x))
+                if held == len(sizes):
+                    sizes, maps = np.resize(sizes, 2 * held + 8), np.resize(maps, (2 * held + 8, 8))
+                sizes[held], maps[held] = n, m
+                grams.append(x)
+                ids.append(i)
+                held += 1
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
@@ -366,22 +462,31 @@ _SAID = (
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sentences of responses.  A task gives the bands, and the text of one that doesn't decline, with the first of equal sentences only."""
     seen: set[tuple[int, bool]] = set()
+    known: dict[str, tuple] = {}
     for batch in batches:
         out, new = [], {}
         for name, key, prompt, about, strange, words, listed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found = [(m, len(s.split()), declines(s), bool(_COURTESY.search(m))) for s in listed if (m := masked_sentence(s))]
+            found = []
+            for s in listed:
+                told = known.get(s)
+                if told is None:
+                    m = masked_sentence(s)
+                    told = known[s] = (m, len(s.split()), declines(s), bool(_COURTESY.search(m)), _key([m]))
+                if told[0]:
+                    found.append(told)
             total, polite = sum(f[1] for f in found), sum(f[1] for f in found if f[3])
             total = max(total, words) if words > SHORT else total
             lead = next((at for at, f in enumerate(found) if not f[3] and (f[2] or f[1] >= LEAST)), None) if words > SHORT else None
-            for at, (m, length, d, p) in enumerate(found):
-                i = _key([m])
+            for at, (m, length, d, p, i) in enumerate(found):
                 free = bool(strange) and not p and "0" not in m and length >= LEAST  # may be of a template that the list doesn't know
                 if (i, free) not in seen:
                     seen.add((i, free))
                     new[len(out)] = m
                 out.append([name, key, prompt, i, m if d or len(out) in new else None, length, total, polite, d, p, about, strange, free, at == lead, None])
-        if len(seen) > 1_000_000:
+        if len(seen) > HELD:
             seen = set()
+        if len(known) > KNOWN:
+            known = {}
         if new:
             for at, bands in zip(new, sentence_bands(list(new.values())).tolist(), strict=True):
                 out[at][-1] = bands
@@ -418,17 +523,20 @@ def refusals(rows: DataFrame) -> DataFrame:
     return total.where(F.col("leads") | (F.col("plain") + F.col("polite_all") >= 0.6 * F.col("all"))).select("table_name", "row_key")
 
 
-def truncations(rows: DataFrame, ends: DataFrame, opens: DataFrame) -> DataFrame:
-    """(table_name, row_key) of responses whose last sentence, without an end mark, is no whole one."""
-    seen = ends.groupBy("end_key").agg(F.sum("n").alias("seen"))
-    lengths = opens.groupBy("open_key", "words").agg(F.sum("n").alias("n"))
-    each = rows.select("table_name", "row_key", "end_key", "open_key", F.col("n").alias("length"))
-    wanted = each.select("open_key").distinct()
-    shorter = each.select("open_key", "length").distinct().join(lengths.join(wanted, "open_key", "left_semi"), "open_key")
+def truncations(rows: DataFrame, answers: DataFrame) -> DataFrame:
+    """(table_name, row_key) of responses (end_key, open_key, length) whose last sentence, without an end mark, is no whole one, by the sentences of ``answers`` (answer)."""
+    keys = rows.select(F.explode(F.array("end_key", "open_key")).alias("key")).where("key is not null")
+    wanted = key_filter(keys)
+    counts = answers.select("answer").mapInArrow(_counting(wanted), "kind int, key bigint, length int, n bigint").groupBy("kind", "key", "length").agg(F.sum("n").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    seen = counts.where("kind < 2").groupBy(F.col("key").alias("end_key")).agg(F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("ends"), F.sum("n").alias("all"))
+    lengths = counts.where("kind = 2").select(F.col("key").alias("open_key"), F.col("length").alias("words"), "n")
+    each = rows.select("table_name", "row_key", "end_key", "open_key", "length")
+    shorter = each.select("open_key", "length").distinct().join(lengths, "open_key")
     shorter = shorter.groupBy("open_key", "length").agg(F.sum("n").alias("alike"), F.sum(F.when(F.col("words") <= F.col("length") + CLOSE, F.col("n")).otherwise(0)).alias("shorter"))
     joined = each.join(seen, "end_key", "left").join(shorter, ["open_key", "length"], "left")
     brief = (F.coalesce("alike", F.lit(0)) >= ALIKE) & (F.col("shorter") < SHORTER * F.col("alike"))
-    return joined.where((F.coalesce("seen", F.lit(0)) < 2) | brief).select("table_name", "row_key")
+    open_ = F.coalesce(F.col("ends") < RARE * F.col("all"), F.lit(True)) | (F.col("ends") == 0)
+    return joined.where(open_ | brief).select("table_name", "row_key")
 
 
 def pair_defects(pairs: DataFrame) -> DataFrame:
@@ -438,11 +546,10 @@ def pair_defects(pairs: DataFrame) -> DataFrame:
     once; rows without key are left out.  Extra columns are ignored.  Of an empty table the result is empty.
     """
     base = pairs.select("table_name", F.col("row_key").cast("string").alias("row_key"), "question", "answer").where("row_key is not null")
-    found = base.mapInArrow(_examine, SCHEMA).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = found.where("kind = 'row'")
+    rows = base.mapInArrow(_examine, SCHEMA).persist(StorageLevel.MEMORY_AND_DISK)
     key = ["table_name", "row_key"]
     refusal = refusals(rows.where("sentences is not null and (verdict is null or verdict in ('other_language', 'truncated'))"))
-    broken = truncations(rows.where("end_key is not null and verdict is null"), found.where("kind = 'end'").select("end_key", "n"), found.where("kind = 'open'").select("open_key", "words", "n"))
+    broken = truncations(rows.where("end_key is not null and verdict is null"), base)
     rank = F.create_map(*[x for i, d in enumerate(("empty", "copied_question", "refusal", "other_language", "truncated")) for x in (F.lit(d), F.lit(i))])
     every = rows.where("verdict is not null").select(*key, F.col("verdict").alias("defect")).unionByName(refusal.withColumn("defect", F.lit("refusal"))).unionByName(broken.withColumn("defect", F.lit("truncated")))
     return every.groupBy(*key).agg(F.min_by("defect", rank[F.col("defect")]).alias("defect"))

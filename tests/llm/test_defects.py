@@ -83,3 +83,30 @@ def test_empty_table_and_null_keys(spark):
 def test_bands_of_equal_texts_are_equal():
     bands = P.sentence_bands(["a", "i must decline", "x" * 5_000, "i must decline", ""])
     assert (bands[1] == bands[3]).all() and not (bands[0] == bands[1]).any()
+
+
+def test_pairs_of_words_are_counted_as_one_by_one():
+    texts = ["The pump is hot. Check the Valve now!", None, "", "- One two three\n- Four five six.\n1. Seven eight nine ten.", "x ```a b c.``` The pump is cold and the valve", "a. b"]
+    end, within, head, length = P.word_pairs(P.pa.array(texts))
+    key = lambda *w: P.pair_key(*map(P._hash, w))
+    assert sorted(end.tolist()) == sorted([key("is", "hot"), key("N", "now"), key("five", "six"), key("nine", "ten")])
+    assert {key("pump", "is"), key("the", "pump"), key("eight", "nine")} <= set(within.tolist())
+    assert key("is", "hot") not in within.tolist() and key("two", "three") not in within.tolist() and key("the", "valve") not in within.tolist()
+    assert sorted(zip(head.tolist(), length.tolist(), strict=True)) == sorted([(key("the", "pump"), 4), (key("check", "the"), 4), (key("four", "five"), 3), (key("seven", "eight"), 4)])
+
+
+def test_filter_keeps_all_wanted_keys(spark):
+    keys = [-(2**63), -1, 0, 5, 2**63 - 1]
+    bits = P.key_filter(spark.createDataFrame([(k,) for k in keys], "key bigint"))
+    assert int(P.np.bitwise_count(bits).sum()) == 4  # 0 and 5 have one bit
+    for k in keys:
+        bucket = (k % 2**64) >> (64 - P.FILTER_BITS)
+        assert bits[bucket >> 3] >> (bucket & 7) & 1
+
+
+def test_an_end_that_is_common_within_sentences_is_no_end(spark):
+    rows = [(f"whole{i}", "How?", f"Turn the small valve to the left {w} today. It helps.") for i, w in enumerate("again once slowly gently twice".split() * 60)]
+    rows += [(f"ends{i}", "How?", f"Part {i} needs the small valve.") for i in range(3)]
+    rows += [("cut", "How?", "It helps. Please look at the small valve"), ("sound", "How?", "Please look at it and turn it slowly today")]
+    frame = spark.createDataFrame([("t", *r) for r in rows], "table_name string, row_key string, question string, answer string")
+    assert {r.row_key: r.defect for r in P.pair_defects(frame).collect()} == {"cut": "truncated"}
