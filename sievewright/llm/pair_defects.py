@@ -51,7 +51,7 @@ SPREAD, STRANGE, LEAST = 5, 0.8, 4
 #: Entries that a task keeps before it passes counts on, and words or sentences that it remembers.
 HELD, KNOWN = 1_000_000, 200_000
 #: Share of the occurrences of two words, of those that a word follows or an end mark closes, at which an end is no end.
-RARE = 0.02
+RARE = 0.005
 #: Bits of the filter of wanted keys (8 MB at any size of the table; more keys than bits let more counts pass, not fewer).
 FILTER_BITS = 26
 #: Jaccard similarity of 4-grams within a group; bands and rows of the MinHash.
@@ -90,34 +90,20 @@ _ASKED = re.compile(r"\b(?:in|into|to|auf|ins|en|au|al|a|на)?\s*(" + "|".join(
 _REPLY = re.compile(r"answer|reply|respond|write|say|translate|give|antwort|schreib|übersetz|réponds|répond|écris|tradui|responde|contesta|escribe|traduce|відпові|напиши|переклад|дай", re.I)
 
 
-def languages(words: set[str], cyrillic: bool) -> dict[str, float]:
-    """Weight of each language's frequent words among distinct words; a word of several languages counts in parts."""
-    out: dict[str, float] = {}
-    for w in words & _FREQUENT_WORDS:
-        for code, weight in FREQUENT[w]:
-            out[code] = out.get(code, 0.0) + weight
-    if cyrillic:
-        n = sum(1 for w in words if _CYRILLIC.search(w))
-        if n * 2 > len(words):
-            out["uk"] = out.get("uk", 0.0) + n * 0.4
-    return out
+LANGUAGES = tuple(sorted(D.FREQUENT))
+_UK = LANGUAGES.index("uk")
 
 
-def main_language(words: set[str], cyrillic: bool) -> tuple[str | None, dict[str, float]]:
-    """The language that outweighs every other clearly, and all weights."""
-    weights = languages(words, cyrillic)
-    if not weights:
-        return None, weights
-    best = max(weights, key=lambda c: (weights[c], c))
-    first, second = weights[best], max((v for c, v in weights.items() if c != best), default=0.0)
-    sure = first >= 1.5 and first >= 0.06 * len(words) and first >= 1.4 * second
-    return (best if sure else None), weights
+def main_language(weights: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The language (its place in LANGUAGES, else -1) of each text that outweighs every other clearly."""
+    best = len(LANGUAGES) - 1 - np.argmax(weights[:, ::-1], axis=1)
+    ordered = np.sort(weights, axis=1)
+    first, second = ordered[:, -1], ordered[:, -2]
+    return np.where((first >= 1.5) & (first >= 0.06 * words) & (first >= 1.4 * second), best, -1)
 
 
-def asked_language(question: str, words: set[str]) -> str | None:
+def asked_language(question: str) -> str | None:
     """Language that the question asks the answer to be in."""
-    if words.isdisjoint(_NAME_WORDS):
-        return None
     for sentence in _SENTENCE.split(question):
         if _REPLY.search(sentence):
             found = _ASKED.findall(sentence)
@@ -134,17 +120,10 @@ def is_empty(answer: str | None) -> bool:
     return not words or (len(words) <= 3 and " ".join(words) in _PLACEHOLDERS)
 
 
-def is_copy(question: str, answer: str, q: set[str], a: set[str]) -> bool:
-    """The answer has hardly a word but the question's, and most of those; not where the question asks for its own text back."""
-    if len(a) < 3 or not q:
-        return False
-    if len(a) < 20:
-        a = a - (_LABELS - q)  # "Question: ..."
-    common = len(q & a)
-    if common < 0.88 * len(a) or common < 0.65 * len(q):
-        return False
+def asks_back(question: str, answer: str) -> bool:
+    """Whether the question asks for its own text back, in another form, in words that the answer does not repeat."""
     asks = _EDIT.search(question)
-    return not asks or asks.group(0).lower() in answer.lower()
+    return bool(asks) and asks.group(0).lower() not in answer.lower()
 
 
 def broken_structure(answer: str) -> bool | None:
@@ -229,19 +208,62 @@ def declines(sentence: str) -> bool:
     return bool(_DECLINE.search(_QUOTED.sub(" ", low) if _QUOTES.search(low) else low))
 
 
-def word_list(text: str) -> list[str]:
-    """Words in lower case, cut at blanks, without signs at their ends."""
-    return [w for t in text.lower().split() if (w := t.strip(_EDGE))]
-
-
-def content_words(words: set[str]) -> set[str]:
-    """Words that say what a text is about."""
-    return {w for w in words if len(w) > 3 and not w.isdigit()} - _FREQUENT_WORDS
+class Words:
+    """What the words of a batch of questions and answers tell; words are runs without blanks, without signs at their ends, in lower case.
 
+    ``count``: words of each answer; ``copied``: hardly a word but the question's, and most of those; ``spoken``, ``asked``: main languages;
+    ``strange``: no content word of the question in the answer; ``topic``: the least hash of the question's content words (related
+    questions mostly have it in common); ``foreign(row, wanted)``: whether the answer is in another language than the wanted one.
+    """
 
-def topic(content: set[str]) -> int:
-    """The least hash of a question's content words: related questions mostly have it in common."""
-    return min(map(_hash, content), default=2**63) - 2**63
+    def __init__(self, questions: list[str], answers: list[str], strip: Callable[[str], str] = lambda t: t.strip(_EDGE)) -> None:
+        n = len(questions)
+        split = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(questions + answers, pa.large_string())))
+        flat = split.flatten().dictionary_encode()
+        ids: dict[str, int] = {}
+        of_token = np.fromiter((ids.setdefault(strip(t), len(ids)) for t in flat.dictionary.to_pylist()), np.int64, len(flat.dictionary))
+        number = of_token[np.asarray(flat.indices)]
+        row = np.repeat(np.arange(2 * n), np.diff(np.asarray(split.offsets)))
+        if "" in ids:
+            row, number = row[number != ids[""]], number[number != ids[""]]
+        self.count = np.bincount(row, minlength=2 * n)[n:]
+        size = max(1, len(ids))
+        pair = np.unique(row * size + number)
+        row, number = pair // size, pair % size
+        words = list(ids)
+        known = lambda f, kind: np.fromiter(map(f, words), kind, len(words))
+        table = np.zeros((len(words), len(LANGUAGES)))
+        for at, w in enumerate(words):
+            for code, weight in FREQUENT.get(w, ()):
+                table[at, LANGUAGES.index(code)] = weight
+        distinct = np.bincount(row, minlength=2 * n)
+        weights = np.stack([np.bincount(row, table[number, k], 2 * n) for k in range(len(LANGUAGES))], axis=1)
+        cyrillic = np.bincount(row, known(lambda w: bool(_CYRILLIC.search(w)), bool)[number], 2 * n)
+        weights[:, _UK] += np.where(2 * cyrillic > distinct, 0.4 * cyrillic, 0.0)
+        main = main_language(weights, distinct)
+        self.asked, self.spoken, self._weights, self._questions = main[:n], main[n:], weights[n:], weights[:n]
+        self.names = np.bincount(row, known(lambda w: w in _NAME_WORDS, bool)[number], 2 * n)[:n] > 0
+        begin = np.searchsorted(row, n)
+        q_row, q, a_row, a = row[:begin], number[:begin], row[begin:] - n, number[begin:]
+        in_answer = np.isin(q_row * size + q, a_row * size + a, assume_unique=True)
+        common = np.bincount(q_row[in_answer], minlength=n)
+        label = known(lambda w: w in _LABELS, bool)
+        labels = np.bincount(a_row, label[a], n) - np.bincount(q_row[in_answer], label[q[in_answer]], n)  # "Question: ..."
+        theirs, mine = distinct[:n], distinct[n:]
+        few = np.where(mine < 20, mine - labels, mine)
+        self.copied = (mine >= 3) & (theirs > 0) & (common >= 0.88 * few) & (common >= 0.65 * theirs)
+        content = known(lambda w: len(w) > 3 and not w.isdigit() and w not in _FREQUENT_WORDS, bool)
+        self.strange = np.bincount(q_row, content[q] & in_answer, n) == 0
+        hashes = np.where(content, known(_hash, np.uint64), np.uint64(2**63))
+        least = np.full(n, np.uint64(2**63))
+        np.minimum.at(least, q_row, hashes[q])
+        self.topic = (least ^ np.uint64(2**63)).view(np.int64)
+
+    def foreign(self, row: int, wanted: int, asked_for: bool) -> bool:
+        got = self.spoken[row]
+        if got < 0 or wanted < 0 or got == wanted or self._weights[row, wanted] >= 0.35 * self._weights[row, got]:
+            return False
+        return asked_for or self._questions[row, got] < 0.5 * self._questions[row, wanted]
 
 
 SCHEMA = "table_name string, row_key string, verdict string, prompt bigint, words int, sentences array<string>, end_key bigint, open_key bigint, length int, topic bigint, strange boolean"
@@ -254,52 +276,66 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES_OUT)
 
 
-def examine(question: str, answer: str | None) -> tuple:
-    """(verdict, words, sentences that may refuse, key of the last words, key of the last sentence's beginning, its length, topic, strange)."""
-    if is_empty(answer):
-        return "empty", 0, None, None, None, None, None, None
-    prose = _FENCE.sub("\n", answer) if "```" in answer else answer
-    low = word_list(prose)
-    mine, theirs = set(low), set(word_list(question))
-    if is_copy(question, answer, theirs, mine):
-        return "copied_question", len(low), None, None, None, None, None, None
-    verdict = None
-    if len(low) >= 4:
-        got, weights = main_language(mine, bool(_CYRILLIC.search(prose)))
-        want, other = asked_language(question, theirs), None
-        if want is None:
-            want, other = main_language(theirs, bool(_CYRILLIC.search(question)))
-        if got and want and got != want and weights.get(want, 0.0) < 0.35 * weights[got] and (other is None or other.get(got, 0.0) < 0.5 * other[want]):
+def examine(question: str, answer: str, words: Words, row: int) -> tuple:
+    """(verdict, sentences that may refuse, key of the last words, key of the last sentence's beginning, its length)."""
+    if words.copied[row] and not asks_back(question, answer):
+        return "copied_question", None, None, None, None
+    count, verdict = int(words.count[row]), None
+    if count >= 4 and words.spoken[row] >= 0:
+        asked = asked_language(question) if words.names[row] else None
+        if words.foreign(row, LANGUAGES.index(asked) if asked else words.asked[row], asked is not None):
             verdict = "other_language"
+    prose = _FENCE.sub("\n", answer) if "```" in answer else answer
     sentences = [s for s in _SENTENCE.split(prose) if s and not s.isspace()]
     closed = broken_structure(answer)
-    short = [s.strip() for i, s in enumerate(sentences) if len(low) <= SHORT or i < OPENING or declines(s)]
-    about = strange = None
-    if short:
-        content = content_words(theirs)
-        strange = content.isdisjoint(mine)
-        about = topic(content) if strange else None
+    short = [s.strip() for i, s in enumerate(sentences) if count <= SHORT or i < OPENING or declines(s)]
     if closed:
-        return verdict or "truncated", len(low), short, None, None, None, about, strange
+        return verdict or "truncated", short, None, None, None
     last = _BULLET.sub("", sentences[-1], count=1).split() if closed is None and sentences else None
     if last:
-        if last[-1].strip(_EDGE).lower() in D.CONNECTORS and len(low) > 2:
-            return verdict or "truncated", len(low), short, None, None, None, about, strange
-        if len(last) >= 4 and len(low) > 4 and not _LABEL.search(answer.rstrip()):
-            return verdict, len(low), short, *sentence_keys(last), len(last), about, strange
-    return verdict, len(low), short, None, None, None, about, strange
+        if last[-1].strip(_EDGE).lower() in D.CONNECTORS and count > 2:
+            return verdict or "truncated", short, None, None, None
+        if len(last) >= 4 and count > 4 and not _LABEL.search(answer.rstrip()):
+            return verdict, short, *sentence_keys(last), len(last)
+    return verdict, short, None, None, None
 
 
 def _examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        names, keys, questions, answers = (c.to_pylist() for c in batch.columns)
+        questions = [q or "" for q in questions]
+        words = Words(questions, [_FENCE.sub("\n", a) if a and "```" in a else a or "" for a in answers])
         rows = []
-        for name, key, question, answer in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            verdict, words, short, end, begin, length, about, strange = examine(question or "", answer)
+        for at, (name, key, question, answer) in enumerate(zip(names, keys, questions, answers, strict=True)):
+            prompt = xxhash.xxh3_64_intdigest(question.lower()) - 2**63
+            if is_empty(answer):
+                rows.append((name, key, "empty", prompt, 0, None, None, None, None, None, None))
+                continue
+            verdict, short, end, begin, length = examine(question, answer, words, at)
             if verdict or short or end is not None:
-                rows.append((name, key, verdict, _key((question or "").lower().split()), words, short, end, begin, length, about, strange))
+                strange = about = None
+                if short:
+                    strange = bool(words.strange[at])
+                    if strange and "```" in answer:  # code counts as part of the answer here
+                        strange = bool(Words([question], [answer]).strange[0])
+                    about = int(words.topic[at]) if strange else None
+                rows.append((name, key, verdict, prompt, int(words.count[at]), short, end, begin, length, about, strange))
         yield _batch(rows)
 
 
+_tokens: dict[str, tuple[int, int]] = {}
+
+
+def _token(token: str) -> tuple[int, int]:
+    """Hashes of a token as a word within a sentence and as its first; those of frequent tokens are remembered."""
+    found = _tokens.get(token)
+    if found is None:
+        if len(_tokens) > KNOWN:
+            _tokens.clear()
+        found = _tokens[token] = (_hash(_masked(token, False)), _hash(_masked(token, True)))
+    return found
+
+
 _ITEM = re.compile(r"(?:[-*•]|\d+[.)])$")
 
 
@@ -324,7 +360,8 @@ def word_pairs(answers: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     place = np.arange(n)
     length = place - np.maximum.accumulate(np.where(start, place, 0)) + 1
     goes_on = np.concatenate((~start[1:] & ~gap[1:], np.zeros(min(n, 1), bool)))
-    word, first = of_words(lambda t: _hash(_masked(t, False)), np.uint64), of_words(lambda t: _hash(_masked(t, True)), np.uint64)
+    told = np.array([_token(t) for t in known], np.uint64).reshape(-1, 2)
+    word, first = told[number, 0], told[number, 1]
     at = np.flatnonzero(~start & ~gap)
     keys, end, whole = pair_keys(word[at - 1], word[at]), closes[at], length[at] >= 3
     last = at[end & whole]
@@ -335,25 +372,28 @@ def word_pairs(answers: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 def _counting(wanted: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Counts (kind, key, length, n) of the pairs in texts whose bit is set in ``wanted``; kind 0: at an end, 1: within, 2: sentences that begin so."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            if held:
-                rows, n = np.unique(np.concatenate(held), return_counts=True)
-                held.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(rows["kind"]), pa.array(rows["key"]), pa.array(rows["length"]), pa.array(n.astype(np.int64))], names=["kind", "key", "length", "n"])
+            for kind in range(3):
+                own = [(k, s) for t, k, s in held if t == kind]
+                if own:
+                    keys, sizes = (np.concatenate(x) for x in zip(*own, strict=True))
+                    order = np.lexsort((sizes, keys)) if kind == 2 else np.argsort(keys)
+                    keys, sizes = keys[order], sizes[order]
+                    first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (sizes[1:] != sizes[:-1])))) if len(keys) else np.zeros(0, np.int64)
+                    n = np.diff(np.append(first, len(keys)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(keys[first]), pa.array(sizes[first]), pa.array(n)], names=["kind", "key", "length", "n"])
+            held.clear()
 
         for batch in batches:
             end, within, head, length = word_pairs(batch.column(0))
-            for kind, keys, sizes in ((0, end, None), (1, within, None), (2, head, length)):
+            for kind, keys, sizes in ((0, end, None), (1, within, None), (2, head, np.minimum(length, 200).astype(np.int32))):
                 bucket = keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
                 keep = (wanted[bucket >> np.uint64(3)] >> (bucket & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                rows = np.zeros(int(keep.sum()), [("kind", np.int32), ("key", np.int64), ("length", np.int32)])
-                rows["kind"], rows["key"] = kind, keys[keep]
-                if sizes is not None:
-                    rows["length"] = np.minimum(sizes[keep], 200)
-                held.append(rows)
-            if sum(map(len, held)) > HELD:
+                own = keys[keep]
+                held.append((kind, own, np.zeros(len(own), np.int32) if sizes is None else sizes[keep]))
+            if sum(len(k) for _, k, _ in held) > HELD:
                 yield from out()
         yield from out()
 
@@ -426,6 +466,11 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = 0
     for batch in batches:
         a, b = [], []
+        bands = np.asarray(batch.column(0))
+        same = bands[1:] == bands[:-1]
+        # a sentence that is alone in its bucket needs no comparison; the ends of a batch may go on in others
+        met = np.concatenate((same, [True])) | np.concatenate(([True], same)) if len(bands) else np.zeros(0, bool)
+        batch = batch.filter(pa.array(met))
         own, counts, bits = gram_sets(batch.column(2).to_pylist()) if batch.num_rows else ([], (), ())
         for at, i, x, n, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), own, counts, bits, strict=True):
             if at != band:

@@ -105,7 +105,7 @@ def test_filter_keeps_all_wanted_keys(spark):
 
 
 def test_an_end_that_is_common_within_sentences_is_no_end(spark):
-    rows = [(f"whole{i}", "How?", f"Turn the small valve to the left {w} today. It helps.") for i, w in enumerate("again once slowly gently twice".split() * 60)]
+    rows = [(f"whole{i}", "How?", f"Turn the small valve to the left {w} today. It helps.") for i, w in enumerate("again once slowly gently twice".split() * 200)]
     rows += [(f"ends{i}", "How?", f"Part {i} needs the small valve.") for i in range(3)]
     rows += [("cut", "How?", "It helps. Please look at the small valve"), ("sound", "How?", "Please look at it and turn it slowly today")]
     frame = spark.createDataFrame([("t", *r) for r in rows], "table_name string, row_key string, question string, answer string")
