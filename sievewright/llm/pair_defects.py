@@ -73,6 +73,8 @@ _CODE_LINE = re.compile(r"^\s*(?:def |class |for .*:$|if .*:$|return\b|import |f
 _EDIT = re.compile(D.EDIT_REQUEST, re.I)
 _DECLINE = re.compile(D.DECLINE, re.S)
 _COURTESY = re.compile(D.COURTESY)
+_PARTS = "|".join(map(re.escape, D.DECLINE_PARTS))
+_COURTESY_PARTS = D.COURTESY.replace(r"\b", "")
 _QUOTES = re.compile("[\"“„«'‘]")
 _CYRILLIC = re.compile(r"[а-яіїєґ]")
 _LABELS = frozenset("q question asked you instruction prompt frage pregunta питання запитання".split())
@@ -202,10 +204,29 @@ def masked_sentence(sentence: str) -> str:
 
 def declines(sentence: str) -> bool:
     """Whether a sentence, without what it quotes, declines."""
-    low = sentence.lower()
-    if not any(part in low for part in D.DECLINE_PARTS):
-        return False
-    return bool(_DECLINE.search(_QUOTED.sub(" ", low) if _QUOTES.search(low) else low))
+    return declining([sentence])[0]
+
+
+def declining(sentences: list[str]) -> list[bool]:
+    """``declines`` of many sentences: those that have a part of a way to decline are looked for all at once."""
+    if not sentences:
+        return []
+    low = pc.utf8_lower(pa.array(sentences, pa.large_string()))
+    out = np.asarray(pc.match_substring_regex(low, _PARTS)).tolist()
+    for i in np.flatnonzero(out):
+        s = sentences[i].lower()
+        out[i] = bool(_DECLINE.search(_QUOTED.sub(" ", s) if _QUOTES.search(s) else s))
+    return out
+
+
+def courteous(sentences: list[str]) -> list[bool]:
+    """Which of many masked sentences are politeness."""
+    if not sentences:
+        return []
+    out = np.asarray(pc.match_substring_regex(pa.array(sentences, pa.large_string()), _COURTESY_PARTS)).tolist()
+    for i in np.flatnonzero(out):
+        out[i] = bool(_COURTESY.search(sentences[i]))
+    return out
 
 
 class Words:
@@ -228,7 +249,8 @@ class Words:
             row, number = row[number != ids[""]], number[number != ids[""]]
         self.count = np.bincount(row, minlength=2 * n)[n:]
         size = max(1, len(ids))
-        pair = np.unique(row * size + number)
+        pair = np.sort(row * size + number)
+        pair = pair[np.concatenate((np.ones(min(1, len(pair)), bool), pair[1:] != pair[:-1]))]
         row, number = pair // size, pair % size
         words = list(ids)
         known = lambda f, kind: np.fromiter(map(f, words), kind, len(words))
@@ -277,7 +299,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def examine(question: str, answer: str, words: Words, row: int) -> tuple:
-    """(verdict, sentences that may refuse, key of the last words, key of the last sentence's beginning, its length)."""
+    """(verdict, sentences, key of the last words, key of the last sentence's beginning, its length)."""
     if words.copied[row] and not asks_back(question, answer):
         return "copied_question", None, None, None, None
     count, verdict = int(words.count[row]), None
@@ -288,16 +310,15 @@ def examine(question: str, answer: str, words: Words, row: int) -> tuple:
     prose = _FENCE.sub("\n", answer) if "```" in answer else answer
     sentences = [s for s in _SENTENCE.split(prose) if s and not s.isspace()]
     closed = broken_structure(answer)
-    short = [s.strip() for i, s in enumerate(sentences) if count <= SHORT or i < OPENING or declines(s)]
     if closed:
-        return verdict or "truncated", short, None, None, None
+        return verdict or "truncated", sentences, None, None, None
     last = _BULLET.sub("", sentences[-1], count=1).split() if closed is None and sentences else None
     if last:
         if last[-1].strip(_EDGE).lower() in D.CONNECTORS and count > 2:
-            return verdict or "truncated", short, None, None, None
+            return verdict or "truncated", sentences, None, None, None
         if len(last) >= 4 and count > 4 and not _LABEL.search(answer.rstrip()):
-            return verdict, short, *sentence_keys(last), len(last)
-    return verdict, short, None, None, None
+            return verdict, sentences, *sentence_keys(last), len(last)
+    return verdict, sentences, None, None, None
 
 
 def _examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,21 +326,23 @@ def _examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, keys, questions, answers = (c.to_pylist() for c in batch.columns)
         questions = [q or "" for q in questions]
         words = Words(questions, [_FENCE.sub("\n", a) if a and "```" in a else a or "" for a in answers])
+        found = [("empty", None, None, None, None) if is_empty(a) else examine(q, a, words, at) for at, (q, a) in enumerate(zip(questions, answers, strict=True))]
+        long = [(at, i) for at, f in enumerate(found) if f[1] and words.count[at] > SHORT for i in range(OPENING, len(f[1]))]
+        kept: dict[int, list[int]] = {}  # declining sentences after the opening
+        for (at, i), d in zip(long, declining([found[at][1][i] for at, i in long]), strict=True):
+            if d:
+                kept.setdefault(at, []).append(i)
+        fenced = [at for at, a in enumerate(answers) if found[at][1] and words.strange[at] and "```" in a]
+        if fenced:  # code counts as part of the answer where words of the prompt are looked for
+            words.strange[fenced] = Words([questions[at] for at in fenced], [answers[at] for at in fenced]).strange
         rows = []
-        for at, (name, key, question, answer) in enumerate(zip(names, keys, questions, answers, strict=True)):
-            prompt = xxhash.xxh3_64_intdigest(question.lower()) - 2**63
-            if is_empty(answer):
-                rows.append((name, key, "empty", prompt, 0, None, None, None, None, None, None))
-                continue
-            verdict, short, end, begin, length = examine(question, answer, words, at)
+        for at, (name, key, question, (verdict, sentences, end, begin, length)) in enumerate(zip(names, keys, questions, found, strict=True)):
+            count = 0 if verdict == "empty" else int(words.count[at])
+            short = sentences and [sentences[i].strip() for i in (range(len(sentences)) if count <= SHORT else [*range(min(OPENING, len(sentences))), *kept.get(at, ())])]
             if verdict or short or end is not None:
-                strange = about = None
-                if short:
-                    strange = bool(words.strange[at])
-                    if strange and "```" in answer:  # code counts as part of the answer here
-                        strange = bool(Words([question], [answer]).strange[0])
-                    about = int(words.topic[at]) if strange else None
-                rows.append((name, key, verdict, prompt, int(words.count[at]), short, end, begin, length, about, strange))
+                strange = bool(words.strange[at]) if short else None
+                prompt = xxhash.xxh3_64_intdigest(question.lower()) - 2**63
+                rows.append((name, key, verdict, prompt, count, short, end, begin, length, int(words.topic[at]) if strange else None, strange))
         yield _batch(rows)
 
 
@@ -507,18 +530,14 @@ _SAID = (
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sentences of responses.  A task gives the bands, and the text of one that doesn't decline, with the first of equal sentences only."""
     seen: set[tuple[int, bool]] = set()
-    known: dict[str, tuple] = {}
     for batch in batches:
         out, new = [], {}
+        texts = list(dict.fromkeys(batch.column(6).flatten().to_pylist()))
+        masks = [masked_sentence(t) for t in texts]
+        facts = zip(masks, [len(t.split()) for t in texts], declining(texts), courteous(masks), [_key([m]) for m in masks], strict=True)
+        known = dict(zip(texts, facts, strict=True))
         for name, key, prompt, about, strange, words, listed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found = []
-            for s in listed:
-                told = known.get(s)
-                if told is None:
-                    m = masked_sentence(s)
-                    told = known[s] = (m, len(s.split()), declines(s), bool(_COURTESY.search(m)), _key([m]))
-                if told[0]:
-                    found.append(told)
+            found = [told for s in listed if (told := known[s])[0]]
             total, polite = sum(f[1] for f in found), sum(f[1] for f in found if f[3])
             total = max(total, words) if words > SHORT else total
             lead = next((at for at, f in enumerate(found) if not f[3] and (f[2] or f[1] >= LEAST)), None) if words > SHORT else None
@@ -530,8 +549,6 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append([name, key, prompt, i, m if d or len(out) in new else None, length, total, polite, d, p, about, strange, free, at == lead, None])
         if len(seen) > HELD:
             seen = set()
-        if len(known) > KNOWN:
-            known = {}
         if new:
             for at, bands in zip(new, sentence_bands(list(new.values())).tolist(), strict=True):
                 out[at][-1] = bands
