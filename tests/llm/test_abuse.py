@@ -1,5 +1,6 @@
 import pytest
 
+from tests.llm import abuse_held_out
 from sievewright.llm.abuse import CASE, abuse_rates, abuse_scores, grammar
 
 CASES = [
@@ -35,3 +36,36 @@ def test_whole_texts_are_scored(spark):
     assert abuse_scores(frame.limit(0)).count() == 0
     scored = abuse_scores(frame).join(frame.select("doc_id", "source"), "doc_id")
     assert {r.source: (r.rows, r.cases) for r in abuse_rates(scored).collect()} == {"s": (3, 2), "(none)": (1, 0)}
+
+
+def test_held_out_sentences():
+    scored = lambda text: [grammar().text(s)[0] >= CASE for _, s in abuse_held_out.lines(text)]
+    right, wrong = scored(abuse_held_out.ABUSIVE), scored(abuse_held_out.NEUTRAL)
+    assert len(right) == 100 and len(wrong) >= 100
+    assert sum(right) >= 0.85 * len(right)
+    assert sum(right) >= 0.85 * (sum(right) + sum(wrong))
+
+
+@pytest.mark.parametrize("alone", ["Idiot", "The scum.", "retard", "Prick it.", "moron and cretin"])
+def test_single_words_are_no_case(alone):
+    assert grammar().text(f"The list has {alone} here.")[0] < CASE
+
+
+def test_scopes():
+    score = lambda s: grammar().text(s)[0]
+    assert score("You are not an idiot.") < CASE <= score("You are an idiot, not a mechanic.")
+    assert score('The word "idiot" is in the list.') < CASE <= score('He said "you are an idiot" and left.')
+    assert score("That idiot has never repaired anything.") >= CASE
+    assert score('"You worthless idiot!" she shouted.') >= CASE
+
+
+def test_automaton_is_as_its_patterns():
+    from sievewright.llm.abuse import BIT, Automaton
+
+    a = Automaton()
+    path = lambda names: a.weights([sum(BIT[n] for n in w.split("|")) if w else 0 for w in names])
+    assert path(["START", "YOU", "BE", "DET", "ADJ", "INSULT", "END"])["insult"] == 1.5
+    assert path(["START", "YOU", "", "BE", "DET", "INSULT", "END"])["insult"] == 1.5
+    assert "insult" not in path(["START", "YOU", "", "", "BE", "DET", "", "INSULT", "END"])
+    assert path(["DEATH", "", "", "GROUP"]) == {"hate": 1.3}
+    assert path(["EXPLICIT"]) == {"sexual": 0.7}
