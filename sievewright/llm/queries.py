@@ -100,19 +100,23 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode(table(spark, folder, "documents"))
 
 
-def _uses(spark: SparkSession, folder: str) -> DataFrame:
+#: Power to which the shares of languages and topics are raised.
+TEMPER = 0.8
+
+
+def _uses(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     documents = table(spark, folder, "documents")
-    counted = encode(documents).select("doc_id", F.size("ids").cast("bigint").alias("tokens"))
-    about = documents.select("doc_id", "source", language(F.col("lang")).alias("lang"), F.coalesce(F.get_json_object("metadata", "$.workspace"), F.lit("(none)")).alias("topic"))
-    return mixing.mix(about.join(counted, "doc_id"), table(spark, folder, "mix_targets"))
+    about = documents.select("doc_id", "source", language(F.col("lang")).alias("lang"), F.coalesce(F.get_json_object("metadata", "$.workspace"), F.lit("(none)")).alias("topic"), "text")
+    counted = encode(about.withColumn("row", F.struct("doc_id", "source", "lang", "topic")), "row").select("row.*", F.size("ids").cast("bigint").alias("tokens"))
+    return mixing.mixed(counted, table(spark, folder, "mix_targets"), languages=TEMPER, topics=TEMPER)
 
 
 def p7_uses(spark: SparkSession, folder: str) -> DataFrame:
-    return _uses(spark, folder)
+    return _uses(spark, folder)[0].select("doc_id", "source", "tokens", "uses")
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix_report(_uses(spark, folder), table(spark, folder, "mix_targets"))
+    return mixing.marginals(*_uses(spark, folder))
 
 
 def _scores(spark: SparkSession, folder: str) -> DataFrame:

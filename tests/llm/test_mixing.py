@@ -47,3 +47,23 @@ def test_empty_tables(spark):
     uses = M.mix(spark.createDataFrame(rows(30), SCHEMA), targets)
     assert uses.agg({"uses": "sum"}).first()[0] == 0
     assert M.mix_report(uses, targets).count() == 2
+
+
+def test_tempered_shares_and_their_report(spark):
+    targets = spark.createDataFrame([("a", 0.6, 3, "n"), ("b", 0.4, 6, "n")], TARGETS)
+    alike = [(*r[:4], 50 + i % 50, r[5]) for i, r in enumerate(rows(3000))]
+    uses, wanted = M.mixed(spark.createDataFrame(alike, SCHEMA), targets, languages=0.5, topics={"x": 0.5, "y": 0.3, "(none)": 0.2})
+    got = {(r.marginal, r.value): r for r in M.marginals(uses, wanted).collect()}
+    assert {k for k in got if k[0] != "source"} == {("language", v) for v in ("en", "de", "(none)")} | {("topic", v) for v in ("x", "y", "(none)")}
+    for key, r in got.items():
+        if r.target_share is not None:
+            assert r.share == pytest.approx(r.target_share, abs=0.01), key
+    assert sum(r.target_share for k, r in got.items() if k[0] == "language") == pytest.approx(1)
+    assert got["source", "a"].share == pytest.approx(0.6, abs=1e-4)
+
+
+def test_tempering_lifts_the_small():
+    cells = {("a", "en", "x"): 81, ("a", "de", "x"): 9}
+    assert M.tempered(cells, {"a": 90.0}, 1, 0.5) == pytest.approx({"en": 0.75, "de": 0.25})
+    assert M.tempered(cells, {"a": 90.0}, 1, 1.0) == pytest.approx({"en": 0.9, "de": 0.1})
+    assert M.tempered({}, {}, 1, 0.5) == {}
