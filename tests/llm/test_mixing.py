@@ -52,7 +52,7 @@ def test_empty_tables(spark):
 def test_tempered_shares_and_their_report(spark):
     targets = spark.createDataFrame([("a", 0.6, 3, "n"), ("b", 0.4, 6, "n")], TARGETS)
     alike = [(*r[:4], 50 + i % 50, r[5]) for i, r in enumerate(rows(3000))]
-    uses, wanted = M.mixed(spark.createDataFrame(alike, SCHEMA), targets, languages=0.5, topics={"x": 0.5, "y": 0.3, "(none)": 0.2})
+    uses, wanted = M.mixed(spark.createDataFrame(alike, SCHEMA), targets, 300_000, languages=0.5, topics={"x": 0.5, "y": 0.3, "(none)": 0.2})
     got = {(r.marginal, r.value): r for r in M.marginals(uses, wanted).collect()}
     assert {k for k in got if k[0] != "source"} == {("language", v) for v in ("en", "de", "(none)")} | {("topic", v) for v in ("x", "y", "(none)")}
     for key, r in got.items():
