@@ -63,10 +63,9 @@ MODULE_LABELS = {
 }
 
 #: Benchmark cases: id, task, expected domains, modules and keywords, workspace.
-BENCHMARK_CASES = (
-    ("auto-overheating", "Diagnose engine overheating in traffic and explain coolant inspection steps.", ("automotive",), ("automotive-diagnostics",), ("engine", "overheating", "coolant", "radiator"), "automotive"),
-    ("security-code-review", "Review Python authentication code for security bugs and suspicious logs.", ("code", "cybersecurity"), ("code-assistant", "cybersecurity-scanner"), ("python", "security", "authentication", "logs"), "cybersecurity"),
-    ("media-video-workflow", "Plan a video workflow with codec, color, audio, render, and metadata checks.", ("media",), ("media-video-tool",), ("video", "codec", "color", "audio", "render"), "media"),
-    ("document-retrieval", "Find document indexing notes about chunks, citations, extraction, and summaries.", ("document",), ("document-search",), ("document", "indexing", "chunks", "citations"), "documents"),
-    ("general-instruction-following", "Analyze an ambiguous plan and explain a small step-by-step approach.", ("general",), ("general-reasoning",), ("analyze", "plan", "explain", "steps"), "default"),
-)
+#: Instructions of training examples by what they are made from.
+EXAMPLE_INSTRUCTIONS = {
+    "knowledge_seed": "Explain the validated knowledge item for future expert behavior.",
+    "feedback_record": "Use this feedback trace to improve future routing behavior.",
+    "benchmark_result": "Route the benchmark task and preserve the expected trace rationale.",
+}

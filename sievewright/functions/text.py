@@ -186,3 +186,21 @@ def rounded(value: Column, digits: int) -> Column:
 
 def clamped(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(value, F.lit(high)))
+
+
+def utc_time(text: Column) -> Column:
+    """Timestamp of an ISO text with or without a zone, UTC without; null if it is none."""
+    plain = F.trim(text)
+    return F.when(F.rlike(plain, F.lit(r"(Z|[+-]\d\d:?\d\d)$")), plain).otherwise(F.concat(plain, F.lit("Z"))).try_cast("timestamp")
+
+
+def merged(left: Column, right: Column) -> Column:
+    """Entries of two maps; of a key that both have the right one's.  A null map has none."""
+    none = F.create_map().cast("map<string,string>")
+    left, right = F.coalesce(left, none), F.coalesce(right, none)
+    return F.map_concat(F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k)), right)
+
+
+def canonical_json(text: Column) -> Column:
+    """JSON text with the keys of all objects in order and without blanks; null if it is no JSON."""
+    return F.to_json(F.try_parse_json(text))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,23 +13,27 @@ from sievewright.functions import lexicon as L
 from sievewright.functions import text as T
 
 
-def windows(text: str, size: int, overlap: int) -> list[str]:
-    """Windows of at most ``size`` characters of squashed text.  A window that is not the last ends after its last blank,
-    if it has one beyond its start; the next one starts ``overlap`` characters before that end, but always further on."""
-    out, start = [], 0
-    while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
-            blank = text.rfind(" ", start, end)
-            if blank >= start:
-                end = blank + 1
-        piece = text[start:end].strip()
-        if piece:
-            out.append(piece)
-        if end >= len(text):
-            break
-        start = end - overlap if end - overlap > start else end
-    return out
+def window_ends(text: str, size: int) -> Callable[[int], int]:
+    """Where the window that begins at a place ends: behind the last blank within ``size`` characters, or after all of them if there is none."""
+    blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
+
+    def end(begin: int) -> int:
+        if begin + size >= len(text):
+            return len(text)
+        before = int(np.searchsorted(blanks, begin + size))
+        return int(blanks[before - 1]) + 1 if before and blanks[before - 1] >= begin else begin + size
+
+    return end
+
+
+def windows(text: str, size: int, overlap: int) -> Iterator[str]:
+    """Windows of squashed text that are not blank; a window begins ``overlap`` characters before the end of the one before, or there if that is no step on."""
+    end, begin, last = window_ends(text, size), 0, 0
+    while last < len(text):
+        last = end(begin)
+        if part := text[begin:last].strip():
+            yield part
+        begin = last - overlap if last - overlap > begin else last
 
 
 def chunk(documents: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:

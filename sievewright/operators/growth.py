@@ -16,7 +16,7 @@ from sievewright.operators.set_joins import canonical, overlap_pairs
 def normalized_seeds(seeds: DataFrame) -> DataFrame:
     """Seeds (id, content, domains, keywords, reliability) with normalized text, tokens, keywords, domains and polarity; other columns are dropped."""
     kept = [c for c in ("id", "domains", "reliability") if c in seeds.columns]
-    listed = seeds.select(*kept, T.normalized(F.col("content")).alias("norm"), T.normalized_list(F.col("keywords")).alias("kw"), F.array_distinct(F.coalesce("domains", F.array().cast("array<string>"))).alias("dom"))
+    listed = seeds.select(*kept, T.normalized(F.col("content")).alias("norm"), T.normalized_list(F.col("keywords")).alias("kw"), T.normalized_list(F.col("domains")).alias("dom"))
     return listed.withColumn("tokens", F.array_distinct(F.filter(F.split("norm", " "), lambda t: t != ""))).withColumn("pol", T.polarity(F.col("norm")))
 
 
@@ -160,3 +160,54 @@ def planned_memory(actions: DataFrame, clusters: DataFrame, words: DataFrame) ->
     listed = words.groupBy("cluster_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "keyword"))), lambda s: s["keyword"]).alias("keywords"))
     content = F.concat(F.col("cluster_id"), F.lit(": "), F.col("seeds").cast("string"), F.lit(" seeds about "), F.array_join("keywords", ", "))
     return chosen.join(listed, "cluster_id", "left").select(F.col("cluster_id").alias("record_id"), content.alias("content"), F.array("domain").alias("domains"), "keywords", F.lit("clusters").alias("source"))
+
+
+def reviewed_clusters(seeds: DataFrame, decisions: DataFrame, threshold: float = 0.35) -> DataFrame:
+    """(id, assigned, domain, cluster_id, position, score, reason) of all seeds; those whose review (id, decision) promotes them are clustered.
+
+    Left join: a seed without a decision is unassigned, as is one whose decision is another.
+    """
+    known = seeds.join(decisions.select("id", "decision"), "id", "left")
+    placed = cluster(known.where("decision = 'promote_candidate'"), threshold)
+    why = F.when(F.col("decision").isNull(), "missing review decision").when(F.col("decision") != "promote_candidate", F.concat(F.lit("review decision is "), "decision")).when(F.col("position") == 1, "created new cluster").otherwise("keyword overlap with cluster")
+    rows = known.select("id", "decision").join(placed, "id", "left")
+    return rows.select("id", F.col("cluster_id").isNotNull().alias("assigned"), "domain", "cluster_id", "position", "score", why.alias("reason"))
+
+
+def growth_decisions(reviews: DataFrame, seeds: DataFrame, assigned: DataFrame, minimum: float = 0.6, promote_weak: bool = False, quarantine: bool = True) -> DataFrame:
+    """(id, action, confidence, cluster_id) of reviewed seeds: reviews (id, decision, score) with their seeds (id, confidence) and places, if any.
+
+    A seed that is unknown has confidence 0.  Confidence is the larger of the seed's and the review's score, three digits.
+    """
+    rows = reviews.select("id", "decision", "score").join(seeds.select("id", F.col("confidence").alias("own")), "id", "left").join(assigned.select("id", "cluster_id"), "id", "left")
+    own = F.coalesce("own", F.lit(0.0))
+    reviewed = F.coalesce(T.rounded(F.greatest(own, F.col("score")), 3), own)
+    enough = own >= minimum
+    action = (
+        F.when(F.col("decision") == "reject_broken", "reject_seed").when(F.col("decision") == "merge_duplicate", "merge_duplicate").when(F.col("decision").isin("quarantine_conflict", "quarantine_weak"), "quarantine_seed")
+        .when((F.col("decision") == "promote_candidate") & (enough | F.lit(promote_weak)), "promote_seed").when(F.col("decision") == "promote_candidate", "quarantine_seed")
+        .when(F.col("decision") == "needs_review", "quarantine_seed" if quarantine else "no_action")
+    )
+    confidence = F.when(F.col("decision") != "promote_candidate", reviewed).when(enough, F.greatest(own, reviewed)).otherwise(F.greatest(own, F.lit(0.5)))
+    return rows.select("id", action.alias("action"), confidence.alias("confidence"), "cluster_id").where("action is not null")
+
+
+def domain_consistency(assigned: DataFrame, domains: DataFrame) -> DataFrame:
+    """(cluster_id, consistency): share of a cluster's seeds whose own domain (id, own) is the cluster's, three digits."""
+    rows = assigned.where("cluster_id is not null").select("id", "cluster_id", "domain").join(domains.select("id", "own"), "id", "left")
+    same = F.count_if(F.col("own") == F.col("domain"))
+    return rows.groupBy("cluster_id").agg(F.round(same / F.count(F.lit(1)), 3).alias("consistency"))
+
+
+def action_summary(actions: DataFrame) -> DataFrame:
+    """(summary): one row that tells how many decisions there are and how many of each action, by name."""
+    counted = actions.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+    listed = F.array_sort(F.collect_list(F.struct("action", "n")))
+    pieces = F.array_join(F.transform(listed, lambda s: F.concat(s["action"], F.lit("="), s["n"].cast("string"))), ", ")
+    text = F.concat(F.sum("n").cast("string"), F.lit(" growth decisions: "), pieces)
+    return counted.agg(F.coalesce(text, F.lit("No growth decisions.")).alias("summary"))
+
+
+def first_decisions(decisions: DataFrame, order: str, limit: int) -> DataFrame:
+    """The first ``limit`` decisions of a plan by an order that is unique."""
+    return decisions.orderBy(order).limit(limit)

@@ -65,3 +65,31 @@ def build_context(routes: DataFrame, found: DataFrame, memory: DataFrame, memory
     once = both.withColumn("copy", first).where("copy = 1")
     position = F.row_number().over(Window.partitionBy("task_id").orderBy("part", "place"))
     return once.withColumn("position", position).where(F.col("position") <= limit).select("task_id", "position", "source", "content", "relevance")
+
+
+def relevant_memories(routes: DataFrame, memories: DataFrame, modules: DataFrame) -> DataFrame:
+    """(task_id, memory) of memories (memory, domains) that share a term with the domains and capabilities of a task's selected modules.
+
+    A memory without domains is relevant to every routed task.  Both catalogues are small, so each module is matched with each
+    memory once and routes are joined with the matches by module.
+    """
+    listed = memories.select("memory", T.terms_of(F.col("domains")).alias("own"), (F.size(F.coalesce("domains", F.array().cast("array<string>"))) == 0).alias("always"))
+    terms = modules.select("module", F.explode(F.array_union(T.terms_of(F.array("domain")), T.terms_of(F.col("capabilities")))).alias("term"))
+    matched = terms.join(listed.select("memory", F.explode("own").alias("term")), "term").select("module", "memory").distinct()
+    chosen = routes.where("selected").select("task_id", "module")
+    always = chosen.select("task_id").distinct().withColumn("one", F.lit(1)).join(F.broadcast(listed.where("always").select("memory", F.lit(1).alias("one"))), "one").select("task_id", "memory")
+    return chosen.join(F.broadcast(matched), "module").select("task_id", "memory").unionByName(always).distinct()
+
+
+def context_summary(context: DataFrame) -> DataFrame:
+    """(task_id, stub, memory, confidence): context items by kind of source, and 0.55 plus 0.08 for each, 0.95 at most, four digits."""
+    from_memory = F.startswith("source", F.lit("memory:"))
+    each = context.groupBy("task_id").agg(F.count_if(~from_memory).alias("stub"), F.count_if(from_memory).alias("memory"))
+    return each.withColumn("confidence", F.round(F.least(F.lit(0.95), F.lit(0.55) + F.lit(0.08) * (F.col("stub") + F.col("memory"))), 4))
+
+
+def context_details(context: DataFrame, topic: str, limit: int = 2) -> DataFrame:
+    """(task_id, details): a line for each of the most relevant context items, ties by source."""
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("relevance")).alias("r"), "source", "content"))), 1, limit)
+    line = lambda s: F.concat(F.lit(f"Use {topic} context from "), s["source"], F.lit(": "), T.shortened(s["content"]))
+    return context.groupBy("task_id").agg(F.transform(best, line).alias("details"))

@@ -50,7 +50,11 @@ def route(tasks: DataFrame, modules: DataFrame, top_k: int = 3, minimum_score: f
         scored = scored.withColumn("adjustment", F.lit(0.0))
     else:
         scored = scored.join(adjustments.select("module", "adjustment"), "module", "left").withColumn("adjustment", F.coalesce("adjustment", F.lit(0.0)))
-    scored = scored.withColumn("score", F.greatest(F.lit(0.0), F.col("base_score") + F.col("adjustment")))
+    return ranked(scored.withColumn("score", F.greatest(F.lit(0.0), F.col("base_score") + F.col("adjustment"))), top_k, minimum_score)
+
+
+def ranked(scored: DataFrame, top_k: int = 3, minimum_score: float = 1.0) -> DataFrame:
+    """Scored modules with rank and choice, as ``route`` gives them."""
     rank = F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("score"), "cost", "module"))
     return scored.withColumn("rank", rank).withColumn("selected", (F.col("rank") <= top_k) & (F.col("score") >= minimum_score))
 

@@ -25,30 +25,30 @@ def join_reviews(traces: DataFrame, reviews: DataFrame) -> DataFrame:
     return both.select("trace_id", "review_id", state.alias("state"))
 
 
-def split_counts(total: int, ratios: Sequence[float] = (0.8, 0.1, 0.1), minimum: int = 1) -> tuple[int, ...]:
-    """Rows per split by largest remainder; an empty split with a ratio is given a row by the fullest that can spare one."""
-    if total <= 0:
-        return (0,) * len(ratios)
-    if total == 1:
-        return (1, *(0,) * (len(ratios) - 1))
-    whole = sum(ratios)
-    exact = [r / whole * total for r in ratios]
-    counts = [int(x) for x in exact]
-    for i in sorted(range(len(ratios)), key=lambda i: (-(exact[i] - counts[i]), i))[: total - sum(counts)]:
-        counts[i] += 1
-    wanted = [i for i, r in enumerate(ratios) if r > 0]
-    if minimum > 0 and total >= len(wanted):
-        for i in wanted:
-            donor = max(range(len(ratios)), key=lambda d: counts[d] - minimum)
-            if counts[i] == 0 and counts[donor] > minimum:
-                counts[donor] -= 1
-                counts[i] += 1
-    return tuple(counts)
+def split_counts(total: Column, ratios: Sequence[float] = (0.8, 0.1, 0.1), minimum: int = 1) -> Column:
+    """Rows per split of a stratum of ``total`` rows, as an array in order of the splits.
 
+    Largest remainder: each split has the whole part of its share, and the places left go to the largest fractions, of
+    equal ones to the first.  A single row is the first split's.  Where each split that has a ratio could have a row, an
+    empty one then takes a row of the fullest split, the first of several, that has more than ``minimum``.
+    """
+    n, share = len(ratios), [F.lit(r / sum(ratios)) * total for r in ratios]
+    fraction = [x - F.floor(x) for x in share]
+    rank = [sum((F.when((fraction[j] > fraction[i]) if j > i else (fraction[j] >= fraction[i]), 1).otherwise(0) for j in range(n) if j != i), F.lit(0)) for i in range(n)]
+    spare = total - sum((F.floor(x) for x in share), F.lit(0))
+    counts = F.array(*[(F.floor(x) + F.when(r < spare, 1).otherwise(0)).cast("int") for x, r in zip(share, rank, strict=True)])
+    wanted = [i for i, r in enumerate(ratios) if r > 0]
+    if minimum > 0:
+        def given(held: Column, to: Column) -> Column:
+            fullest = F.array_position(held, F.array_max(held)) - 1
+            able = (F.get(held, to) == 0) & (F.array_max(held) > minimum)
+            moved = F.transform(held, lambda c, i: c + F.when(i == to, 1).otherwise(0) - F.when(i == fullest, 1).otherwise(0))
+            return F.when(able, moved).otherwise(held)
 
-def split_counts_column(total: Column, ratios: Sequence[float] = (0.8, 0.1, 0.1), minimum: int = 1) -> Column:
-    """``split_counts`` as a column (array of three), for strata that are many: as UDF over the few rows of strata."""
-    return F.udf(lambda n: list(split_counts(int(n), ratios, minimum)), "array<int>")(total)
+        filled = F.aggregate(F.array(*map(F.lit, wanted)), counts, given)
+        counts = F.when(total >= len(wanted), filled).otherwise(counts)
+    first = F.array(F.lit(1), *[F.lit(0)] * (n - 1))
+    return F.when(total <= 0, F.array(*[F.lit(0)] * n)).when(total == 1, first).otherwise(counts)
 
 
 def shuffle_key(key: Column, seed: int) -> Column:
@@ -66,7 +66,7 @@ def stratified_split(examples: DataFrame, stratum: Column | None = None, ratios:
     rows = rows.withColumn("key", shuffle_key(F.col("id"), seed)).withColumn("part", F.substring("key", 1, 2))
     sizes = rows.groupBy("stratum", "part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("stratum", "part", (F.sum("n").over(Window.partitionBy("stratum").orderBy("part")) - F.col("n")).alias("before"))
-    total = sizes.groupBy("stratum").agg(F.sum("n").alias("total")).withColumn("counts", split_counts_column(F.col("total"), ratios))
+    total = sizes.groupBy("stratum").agg(F.sum("n").alias("total")).withColumn("counts", split_counts(F.col("total"), ratios))
     place = F.row_number().over(Window.partitionBy("stratum", "part").orderBy("key", "id"))
     placed = rows.withColumn("place", place).join(before, ["stratum", "part"]).join(total.select("stratum", "counts"), "stratum").withColumn("place", F.col("place") + F.col("before"))
     split = F.when(F.col("place") <= F.col("counts")[0], SPLITS[0]).when(F.col("place") <= F.col("counts")[0] + F.col("counts")[1], SPLITS[1]).otherwise(SPLITS[2])
@@ -149,12 +149,17 @@ def ordered(rows: DataFrame) -> DataFrame:
 
 
 def unique_ids(rows: DataFrame, base: str, order: str) -> DataFrame:
-    """Rows with ``unique_id``: the base, from its second row on with -2, -3 and so on.
+    """Rows with ``unique_id``: the base, and from its second row on with the lowest of -2, -3 and so on that is no row's base.
 
-    Numbers are places in order within a base, so they don't avoid a base that already ends like that.
+    Only bases that end in a number are looked up as taken.
     """
+    taken = rows.select(F.regexp_extract(base, r"^(.*)-([1-9][0-9]*)$", 1).alias("stem"), F.regexp_extract(base, r"^(.*)-([1-9][0-9]*)$", 2).alias("n")).where("stem <> ''")
+    taken = taken.distinct().groupBy("stem").agg(F.array_sort(F.collect_set(F.col("n").cast("bigint"))).alias("__taken"))
     place = F.row_number().over(Window.partitionBy(base).orderBy(order))
-    return rows.withColumn("unique_id", F.when(place == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), place.cast("string"))))
+    placed = rows.withColumn("__place", place.cast("bigint")).join(taken.withColumnRenamed("stem", base), base, "left")
+    # The k-th free number: each taken one up to it moves it on by one.
+    free = F.aggregate(F.coalesce("__taken", F.array().cast("array<bigint>")), F.col("__place"), lambda k, t: F.when((t >= 2) & (t <= k), k + 1).otherwise(k))
+    return placed.withColumn("unique_id", F.when(F.col("__place") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), free.cast("string")))).drop("__place", "__taken").select(*rows.columns, "unique_id")
 
 
 def manifest(rows: DataFrame, splits: DataFrame) -> DataFrame:

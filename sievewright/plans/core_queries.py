@@ -14,7 +14,6 @@ from sievewright.sources import jsonl
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-NEAR = 0.6
 
 
 def query(f: Query) -> Query:
@@ -167,12 +166,12 @@ def dup_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def length_refusal_filter(spark: SparkSession, folder: str) -> DataFrame:
-    return training.usable_rows(S.table(spark, folder, "mix_rows"), 600).select("row_id")
+    return training.usable_rows(S.table(spark, folder, "mix_rows")).select("row_id")
 
 
 @query
 def normalized_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    rows = S.table(spark, folder, "inference_reviews").join(S.traces(spark, folder).select("trace_id", "task", "response_text"), "trace_id")
+    rows = S.reviews(spark, folder).join(S.traces(spark, folder).select("trace_id", "task", "response_text"), "trace_id")
     return ingest.normalized_pairs(rows, "task", "response_text", final="corrected_response", score="rating", status="status", source="traces", minimum=3).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("output")).alias("chars"))
 
 
@@ -200,18 +199,18 @@ def near_dup_canonical(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def conflict_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return growth.conflicts(S.mix_seeds(spark, folder), NEAR, NEAR)
+    return growth.conflicts(S.mix_seeds(spark, folder))
 
 
 @query
 def conflict_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return growth.conflict_summary(growth.conflicts(S.mix_seeds(spark, folder), NEAR, NEAR))
+    return growth.conflict_summary(growth.conflicts(S.mix_seeds(spark, folder)))
 
 
 def _decisions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     seeds = S.mix_seeds(spark, folder)
     kept = growth.canonical_seeds(seeds, growth.duplicate_edges(seeds))
-    conflicted = growth.conflict_summary(growth.conflicts(seeds, NEAR, NEAR))
+    conflicted = growth.conflict_summary(growth.conflicts(seeds))
     return seeds, growth.seed_decisions(review.validate_seeds(seeds), kept, conflicted)
 
 
@@ -247,16 +246,6 @@ def plan_memory_records(spark: SparkSession, folder: str) -> DataFrame:
     return growth.planned_memory(growth.cluster_actions(summary), summary, growth.cluster_keywords(seeds, assigned))
 
 
-@query
-def bench_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """The benchmark's cases, with documents of the folder as memory."""
-    cases, modules = benchmark.case_table(spark), routing.module_table(spark)
-    tasks = cases.select(F.col("case_id").alias("task_id"), "task")
-    memory = S.table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("record_id"), F.col("text").alias("content"), F.array().cast("array<string>").alias("domains"), F.array().cast("array<string>").alias("keywords"), "source")
-    routes = routing.route(tasks, modules)
-    return benchmark.score_cases(cases, routes, retrieval.build_context(routes, retrieval.search_memory(tasks, memory), memory))
-
-
 @query
 def bench_report(spark: SparkSession, folder: str) -> DataFrame:
     return benchmark.run_report(S.run_results(spark, folder))
@@ -293,19 +282,19 @@ def heuristic_eval(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def trace_review_full_outer(spark: SparkSession, folder: str) -> DataFrame:
-    reviews = S.table(spark, folder, "inference_reviews").dropDuplicates(["review_id"]).select("review_id", F.lower(F.trim("trace_id")).alias("trace_id"))
+    reviews = S.reviews(spark, folder).select("review_id", F.lower(F.trim("trace_id")).alias("trace_id"))
     return training.join_reviews(S.traces(spark, folder), reviews)
 
 
 @query
 def latest_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    rows = S.table(spark, folder, "inference_reviews").select(F.lower(F.trim("trace_id")).alias("trace_id"), F.lower(F.trim("reviewer")).alias("reviewer"), F.trim("created_at").alias("created_at"), "review_id", F.lower(F.trim("status")).alias("status"))
+    rows = S.reviews(spark, folder).select(F.lower(F.trim("trace_id")).alias("trace_id"), F.lower(F.trim("reviewer")).alias("reviewer"), T.utc_time(F.col("created_at")).alias("created_at"), "review_id", F.lower(F.trim("status")).alias("status"))
     return review.last_per_key(rows, ["trace_id", "reviewer"], ["created_at", "review_id"]).select("trace_id", "reviewer", "review_id", "status")
 
 
 @query
 def inference_review_summary(spark: SparkSession, folder: str) -> DataFrame:
-    rows = S.table(spark, folder, "inference_reviews").select(F.lower(F.trim("status")).alias("status"), "rating")
+    rows = S.reviews(spark, folder).select(F.lower(F.trim("status")).alias("status"), "rating")
     every = spark.createDataFrame([(s,) for s in ("accepted", "corrected", "needs_correction", "not_reviewed", "rejected", "unsafe")], "status string")
     counted = rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("rating"), 6).alias("mean_rating"))
     return every.join(counted, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"), "mean_rating")
@@ -313,7 +302,7 @@ def inference_review_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def review_flag_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return training.count_many(S.table(spark, folder, "inference_reviews"), "quality_flags")
+    return training.count_many(S.reviews(spark, folder), "quality_flags")
 
 
 @query
@@ -355,7 +344,7 @@ def stratified_split_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def mix_repeat_union(spark: SparkSession, folder: str) -> DataFrame:
     rows = S.table(spark, folder, "mix_rows").select("row_id", "source")
-    mixed = training.mixed_by_repeats({"corrections": (rows.where("source like 'data/corrections%'"), 8), "local": (rows.where("source like 'data/%' and source not like 'data/corrections%'"), 3), "other": (rows.where("source not like 'data/%'"), 1)})
+    mixed = training.mixed_by_repeats({"corrections": (rows.where("source like 'data/corrections%'"), 8), "local": (rows.where("source like 'data/%' and source not like 'data/corrections%'"), 3), "other": (rows.where("coalesce(source, '') not like 'data/%'"), 1)})
     return mixed.select("row_id", "source_name", "copy")
 
 
@@ -401,7 +390,7 @@ def export_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def memory_search_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Best documents for each benchmark task."""
-    cases = benchmark.case_table(spark).select(F.col("case_id").alias("task_id"), "task")
+    """Best documents for each manifest, by its name and description."""
+    tasks = S.table(spark, folder, "dataset_manifests").select(F.col("name").alias("task_id"), F.concat_ws(" ", "name", "description").alias("task"))
     memory = S.table(spark, folder, "documents").select(F.col("doc_id").alias("record_id"), F.col("text").alias("content"), F.array().cast("array<string>").alias("domains"), F.array().cast("array<string>").alias("keywords"), "source")
-    return retrieval.search_memory(cases, memory, 5).select("task_id", "record_id", "score", "relevance", "rank")
+    return retrieval.search_memory(tasks, memory, 5).select("task_id", "record_id", "score", "relevance", "rank")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 from sievewright.functions import lexicon as L
-from sievewright.plans.core_queries import NEAR
 from sievewright.plans.tables import HANDLED
 
 _SPACES = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -73,9 +72,10 @@ def _routes(tasks: str) -> str:
 
 _DOC_TASKS = "(SELECT doc_id AS task_id, text AS task FROM documents)"
 _TRACES = "(SELECT * FROM inference_traces QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY ingested_at) = 1)"
+_REVIEWS = "(SELECT * FROM inference_reviews QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY ingested_at) = 1)"
 _TRACE_TASKS = f"(SELECT trace_id AS task_id, task FROM {_TRACES})"
 _FEEDBACK = f"""(SELECT t.selected_modules, r.rating, CASE WHEN lower(trim(status)) IN ('accepted', 'corrected') THEN true WHEN lower(trim(status)) IN ('rejected', 'unsafe') THEN false END AS success,
-    coalesce(r.rating, 3) / 5 AS confidence FROM inference_reviews r JOIN {_TRACES} t ON lower(trim(r.trace_id)) = t.trace_id)"""
+    coalesce(r.rating, 3) / 5 AS confidence FROM {_REVIEWS} r JOIN {_TRACES} t ON lower(trim(r.trace_id)) = t.trace_id)"""
 _STATS = f"""(SELECT module, count(*) AS times_selected, count(*) FILTER (success) AS successes, count(*) FILTER (NOT success) AS failures, round(avg(rating), 4) AS average_rating,
     round(avg(confidence), 4) AS average_confidence, round(count(*) FILTER (success) / nullif(count(*) FILTER (success) + count(*) FILTER (NOT success), 0), 4) AS success_rate
     FROM (SELECT unnest(selected_modules) AS module, rating, success, confidence FROM {_FEEDBACK}) GROUP BY module)"""
@@ -114,7 +114,7 @@ _REVIEW = f"""s AS (SELECT *, {squashed('content')} AS t FROM {_SAMPLE}),
 
 _SEEDS = f"""s AS (SELECT * FROM {_SAMPLE}), k AS {top_keywords('s', 'id', 'content')}, seed AS (SELECT s.id, content, coalesce(domains, []) AS domains, coalesce(kw, []) AS kw, reliability AS confidence, reliability FROM s LEFT JOIN k USING (id))"""
 _POLARITY = f"CASE WHEN {has_any('norm', [n for _, n in L.OPPOSITES] + list(L.NEGATION_MARKERS))} THEN -1 WHEN {has_any('norm', [p for p, _ in L.OPPOSITES])} THEN 1 ELSE 0 END"
-_NORMAL = f"""{_SEEDS}, n AS (SELECT *, {normalized('content')} AS norm, list_distinct(domains) AS dom FROM seed),
+_NORMAL = f"""{_SEEDS}, n AS (SELECT *, {normalized('content')} AS norm, list_distinct(list_filter(list_transform(domains, lambda d: {normalized('d')}), lambda d: d <> '')) AS dom FROM seed),
     nt AS (SELECT *, list_distinct(list_filter(string_split(norm, ' '), lambda x: x <> '')) AS toks, {_POLARITY} AS pol FROM n)"""
 _VALID = f"""{_SEEDS}, v AS (SELECT *, {squashed('content')} AS t, lower({squashed('content')}) AS low FROM seed),
     v2 AS (SELECT *, list_filter(string_split({squashed("translate(low, '.,', '  ')")}, ' '), lambda x: x <> '') AS toks FROM v),
@@ -131,7 +131,7 @@ _VALID = f"""{_SEEDS}, v AS (SELECT *, {squashed('content')} AS t, lower({squash
 _SHARED = "len(list_intersect(a.{0}, b.{0})) / least(len(a.{0}), len(b.{0}))"
 _CONFLICT = f"""{_NORMAL}, p AS (SELECT a.id AS left_id, b.id AS right_id, CASE WHEN least(len(a.nkw), len(b.nkw)) > 0 THEN {_SHARED.format('nkw')} ELSE 0.0 END AS k, CASE WHEN least(len(a.toks), len(b.toks)) > 0 THEN {_SHARED.format('toks')} ELSE 0.0 END AS x, least(a.reliability, b.reliability) AS rel
     FROM (SELECT *, kw AS nkw FROM nt WHERE pol <> 0) a JOIN (SELECT *, kw AS nkw FROM nt WHERE pol <> 0) b ON a.id < b.id AND a.pol <> b.pol AND list_has_any(a.dom, b.dom)),
-    conf AS (SELECT left_id, right_id, CASE WHEN rel < 0.4 THEN 'low' WHEN k >= 0.75 OR x >= 0.65 THEN 'high' ELSE 'medium' END AS severity, round(k, 3) AS keyword_overlap, round(x, 3) AS text_overlap FROM p WHERE k >= {NEAR} OR x >= {NEAR})"""
+    conf AS (SELECT left_id, right_id, CASE WHEN rel < 0.4 THEN 'low' WHEN k >= 0.75 OR x >= 0.65 THEN 'high' ELSE 'medium' END AS severity, round(k, 3) AS keyword_overlap, round(x, 3) AS text_overlap FROM p WHERE k >= 0.25 OR x >= 0.25)"""
 _RESULTS = f"""(SELECT *, round(routing * 0.5 + context * 0.35 + growth * 0.15, 6) AS overall FROM (SELECT adapter_name AS run_id, concat_ws('/', template_name, model) AS case_id,
     round(avg(least(coalesce(len(selected_modules), 0) / 3, 1.0)), 6) AS routing, round(avg(least(coalesce(len(context_sources), 0) / 4, 1.0)), 6) AS context, round(avg(CASE WHEN error IS NULL THEN 1.0 ELSE 0.0 END), 6) AS growth FROM {_TRACES} GROUP BY ALL))"""
 _DELTAS = f"""b AS (SELECT * FROM {_RESULTS} WHERE run_id = 'static-local'), c AS (SELECT * FROM {_RESULTS} WHERE run_id = 'lora-small'),
@@ -171,9 +171,9 @@ ORACLES: dict[str, str] = {
     "accepted_seeds": f"WITH {_REVIEW} SELECT id, round(least(reliability, score), 6) AS confidence FROM review WHERE decision = 'accepted'",
     "exact_dedup": f"SELECT id, min(id) OVER (PARTITION BY h) AS first_id, id <> min(id) OVER (PARTITION BY h) AS is_duplicate FROM {_HASHED}",
     "dup_groups": f"SELECT min(id) AS first_id, count(*) AS copies FROM {_HASHED} GROUP BY h HAVING count(*) > 1",
-    "length_refusal_filter": f"""SELECT row_id FROM mix_rows WHERE {trimmed("coalesce(instruction, '')")} <> '' AND {trimmed("coalesce(output, '')")} <> '' AND length(instruction) <= 600 AND length(coalesce(input, '')) <= 600 AND length(output) <= 600
+    "length_refusal_filter": f"""SELECT row_id FROM mix_rows WHERE {trimmed("coalesce(instruction, '')")} <> '' AND {trimmed("coalesce(output, '')")} <> '' AND length(instruction) <= 5000 AND length(coalesce(input, '')) <= 5000 AND length(output) <= 5000
         AND NOT {has_any("lower(instruction || chr(10) || output)", L.REFUSAL_MARKERS)}""",
-    "normalized_pairs": f"""SELECT 'traces' AS source, count(*) AS n, sum(length({trimmed('response_text')}) + CASE WHEN {trimmed("coalesce(corrected_response, '')")} <> '' THEN 16 + length({trimmed('corrected_response')}) ELSE 0 END)::BIGINT AS chars FROM inference_reviews r JOIN {_TRACES} t USING (trace_id)
+    "normalized_pairs": f"""SELECT 'traces' AS source, count(*) AS n, sum(length({trimmed('response_text')}) + CASE WHEN {trimmed("coalesce(corrected_response, '')")} <> '' THEN 16 + length({trimmed('corrected_response')}) ELSE 0 END)::BIGINT AS chars FROM {_REVIEWS} r JOIN {_TRACES} t USING (trace_id)
         WHERE {trimmed("coalesce(task, '')")} <> '' AND {trimmed("coalesce(response_text, '')")} <> '' AND (rating IS NULL OR rating >= 3) AND NOT (contains(lower(coalesce(status, '')), 'fail') AND NOT contains(lower(coalesce(status, '')), 'pass')) HAVING count(*) > 0""",
     "seed_validation": f"WITH {_VALID} SELECT id, status, score, warnings FROM valid",
     "validation_status_counts": f"WITH {_VALID} SELECT status, count(*) AS n FROM valid GROUP BY status",
@@ -194,15 +194,15 @@ ORACLES: dict[str, str] = {
         FROM (SELECT *, lower(coalesce(response_text, '')) AS low FROM {_TRACES}) t JOIN (VALUES ('general_task', ['the']::VARCHAR[], ['cannot']::VARCHAR[], NULL), ('baseline_check', ['the', 'a'], ['sorry'], 'the'), ('training_example_review', [], ['null'], NULL)) AS c(case_id, required, forbidden, opening) ON t.template_name = c.case_id""",
     "trace_review_full_outer": f"""SELECT coalesce(t.trace_id, r.trace_id) AS trace_id, r.review_id, CASE WHEN t.trace_id IS NULL THEN 'no_trace' WHEN r.review_id IS NULL THEN 'no_review' ELSE 'matched' END AS state FROM {_TRACES} t
         FULL JOIN (SELECT DISTINCT review_id, lower(trim(trace_id)) AS trace_id FROM inference_reviews) r ON t.trace_id = r.trace_id""",
-    "latest_reviews": """SELECT trace_id, reviewer, review_id, status FROM (SELECT lower(trim(trace_id)) AS trace_id, lower(trim(reviewer)) AS reviewer, review_id, lower(trim(status)) AS status, row_number() OVER (PARTITION BY lower(trim(trace_id)), lower(trim(reviewer)) ORDER BY trim(created_at) DESC NULLS LAST, review_id DESC) AS rn FROM inference_reviews) WHERE rn = 1""",
-    "inference_review_summary": """SELECT s.status, coalesce(n, 0) AS n, mean_rating FROM (VALUES ('accepted'), ('corrected'), ('needs_correction'), ('not_reviewed'), ('rejected'), ('unsafe')) AS s(status) LEFT JOIN (SELECT lower(trim(status)) AS status, count(*) AS n, round(avg(rating), 6) AS mean_rating FROM inference_reviews GROUP BY 1) c ON s.status = c.status""",
-    "review_flag_counts": "SELECT value, count(*) AS n FROM (SELECT unnest(quality_flags) AS value FROM inference_reviews) WHERE value <> '' GROUP BY value",
+    "latest_reviews": f"""SELECT trace_id, reviewer, review_id, status FROM (SELECT lower(trim(trace_id)) AS trace_id, lower(trim(reviewer)) AS reviewer, review_id, lower(trim(status)) AS status, row_number() OVER (PARTITION BY lower(trim(trace_id)), lower(trim(reviewer)) ORDER BY try_cast(trim(created_at) AS TIMESTAMP) DESC NULLS LAST, review_id DESC) AS rn FROM {_REVIEWS}) WHERE rn = 1""",
+    "inference_review_summary": f"""SELECT s.status, coalesce(n, 0) AS n, mean_rating FROM (VALUES ('accepted'), ('corrected'), ('needs_correction'), ('not_reviewed'), ('rejected'), ('unsafe')) AS s(status) LEFT JOIN (SELECT lower(trim(status)) AS status, count(*) AS n, round(avg(rating), 6) AS mean_rating FROM {_REVIEWS} GROUP BY 1) c ON s.status = c.status""",
+    "review_flag_counts": f"SELECT value, count(*) AS n FROM (SELECT unnest(quality_flags) AS value FROM {_REVIEWS}) WHERE value <> '' GROUP BY value",
     "training_export": "SELECT to_json(struct_pack(input := input, instruction := instruction, output := output, source := source))::VARCHAR AS value FROM training_examples WHERE validation_status IN ('validated', 'reviewed', 'synthetic_demo')",
     "manifest_domain_counts": "SELECT value, count(*) AS n FROM (SELECT unnest(domains) AS value FROM training_examples) WHERE value <> '' GROUP BY value",
     "license_counts": "SELECT coalesce(nullif(license, ''), 'unknown') AS value, count(*) AS n FROM training_examples GROUP BY 1",
     "provenance_summary": "SELECT coalesce(provenance['origin'], 'unknown') AS origin, count(*) AS n, count(*) FILTER (provenance['trace_id'] IS NOT NULL) AS with_trace, count(*) FILTER (provenance['review_id'] IS NOT NULL) AS with_review FROM training_examples GROUP BY 1",
     "mix_repeat_union": """SELECT row_id, source_name, copy::INTEGER AS copy FROM (SELECT row_id, CASE WHEN source LIKE 'data/corrections%' THEN 'corrections' WHEN source LIKE 'data/%' THEN 'local' ELSE 'other' END AS source_name,
-        unnest(range(1, CASE WHEN source LIKE 'data/corrections%' THEN 9 WHEN source LIKE 'data/%' THEN 4 ELSE 2 END)) AS copy FROM mix_rows WHERE source IS NOT NULL)""",
+        unnest(range(1, CASE WHEN source LIKE 'data/corrections%' THEN 9 WHEN source LIKE 'data/%' THEN 4 ELSE 2 END)) AS copy FROM mix_rows)""",
     "trace_id_hash": f"SELECT trace_id, 'trace:' || left(sha256(coalesce(task, '') || chr(10) || coalesce(template_name, '') || chr(10) || coalesce(response_text, '')), 16) AS stable_id FROM {_TRACES}",
     "prompt_render": f"SELECT trace_id, 'Task: ' || coalesce(task, '') || chr(10) || 'Route: ' || coalesce(routing_summary, '') AS prompt FROM {_TRACES}",
     "event_windows": "SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(avg(value), 8) AS mean_value FROM events GROUP BY ALL",
@@ -211,7 +211,7 @@ ORACLES: dict[str, str] = {
         SELECT 'split' AS part, lower(trim(split_name)) AS value, count(*) AS n FROM t GROUP BY 2 UNION ALL SELECT 'status', coalesce(nullif(validation_status, ''), 'unknown'), count(*) FROM t GROUP BY 2
         UNION ALL SELECT 'source', coalesce(nullif(source, ''), 'unknown'), count(*) FROM t GROUP BY 2 UNION ALL SELECT 'license', coalesce(nullif(license, ''), 'unknown'), count(*) FROM t GROUP BY 2
         UNION ALL SELECT 'domain', value, count(*) FROM (SELECT unnest(domains) AS value FROM t) WHERE value <> '' GROUP BY 2 UNION ALL SELECT 'origin', coalesce(provenance['origin'], 'unknown'), count(*) FROM t GROUP BY 2""",
-    "memory_search_documents": f"""WITH tasks(task_id, task) AS (VALUES {', '.join(f'({quoted(c[0])}, {quoted(c[1])})' for c in L.BENCHMARK_CASES)}), asked AS (SELECT DISTINCT task_id, unnest({terms('task')}) AS term FROM tasks),
+    "memory_search_documents": f"""WITH tasks AS (SELECT name AS task_id, concat_ws(' ', name, description) AS task FROM dataset_manifests), asked AS (SELECT DISTINCT task_id, unnest({terms('task')}) AS term FROM tasks),
         held AS (SELECT DISTINCT doc_id, unnest({terms('text')}) AS term FROM documents), hit AS (SELECT task_id, doc_id AS record_id, count(*) * 0.5::DOUBLE AS score FROM asked JOIN held USING (term) GROUP BY ALL),
         r AS (SELECT task_id, record_id, score, round(score / max(score) OVER (PARTITION BY task_id), 4) AS relevance, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, coalesce(source, ''), record_id) AS rank FROM hit JOIN documents ON record_id = doc_id)
         SELECT task_id, record_id, score, relevance, rank::INTEGER AS rank FROM r WHERE rank <= 5""",

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.functions import lexicon as L
 from sievewright.functions import text as T
-from sievewright.operators import routing
+from sievewright.operators import review, routing
 
 #: Modules of the traces' routing, as lookup without handlers for all of them.
 HANDLED = ("code-assistant", "general-reasoning", "document-search")
@@ -30,14 +31,19 @@ def traces(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "inference_traces").dropDuplicates(["trace_id"])
 
 
+def reviews(spark: SparkSession, folder: str) -> DataFrame:
+    """Each review once; its deliveries are equal but for the time of ingestion."""
+    return table(spark, folder, "inference_reviews").dropDuplicates(["review_id"])
+
+
 def feedback(spark: SparkSession, folder: str) -> DataFrame:
     """Reviews as feedback on the modules that their traces selected."""
     label = F.lower(F.trim("status"))
-    reviews = table(spark, folder, "inference_reviews").select(
+    rows = reviews(spark, folder).select(
         F.lower(F.trim("trace_id")).alias("trace_id"), "rating",
         F.when(label.isin("accepted", "corrected"), True).when(label.isin("rejected", "unsafe"), False).alias("success"), (F.coalesce("rating", F.lit(3)) / 5).alias("confidence"),
     )
-    return reviews.join(traces(spark, folder).select("trace_id", "selected_modules"), "trace_id").select("selected_modules", "rating", "success", "confidence")
+    return rows.join(traces(spark, folder).select("trace_id", "selected_modules"), "trace_id").select("selected_modules", "rating", "success", "confidence")
 
 
 def manifest_memory(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,3 +82,24 @@ def run_results(spark: SparkSession, folder: str) -> DataFrame:
     )
     each = rows.groupBy("run_id", "case_id").agg(*[F.round(F.avg(m), 6).alias(m) for m in ("routing", "context", "growth")])
     return each.withColumn("overall", F.round(F.col("routing") * 0.5 + F.col("context") * 0.35 + F.col("growth") * 0.15, 6))
+
+
+def trace_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Traces as benchmark cases: what they selected is expected, with the domains and five keywords of the task; the template is the workspace."""
+    rows = traces(spark, folder).select(F.col("trace_id").alias("case_id"), "task", F.col("selected_modules").alias("expected_modules"), F.col("template_name").alias("workspace"))
+    return rows.withColumn("expected_domains", T.domains_of(T.terms(F.col("task")))).withColumn("expected_keywords", T.top_keywords(F.col("task"), 5))
+
+
+def mix_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the mix as JSON records (source, line_number, data)."""
+    return table(spark, folder, "mix_rows").select("source", F.col("row_id").alias("line_number"), F.to_json(F.struct("instruction", "input", "output")).alias("data"))
+
+
+def checked_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    """Seeds of the mix with the status of their validation, a decision that follows from it alone, score, and the manifest's licence as metadata."""
+    seeds = mix_seeds(spark, folder).persist(StorageLevel.MEMORY_AND_DISK)  # keywords are worked out once
+    rows = table(spark, folder, "mix_rows").select(F.col("row_id").alias("id"), "source")
+    licence = table(spark, folder, "dataset_manifests").select("source", F.to_json(F.struct("license")).alias("metadata"))
+    decision = F.when(F.col("status") == "validated", "promote_candidate").when(F.col("status") == "rejected", "reject_broken").when(F.col("status") == "weak", "needs_review").otherwise("quarantine_weak")
+    checked = review.validate_seeds(seeds).persist(StorageLevel.MEMORY_AND_DISK).select("id", "status", "score", decision.alias("decision"))
+    return seeds.join(rows, "id").join(licence, "source", "left").join(checked, "id")

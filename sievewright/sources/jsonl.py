@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievewright.functions import text as T
+from sievewright.operators.review import last_per_key
+
 
 def json_objects(lines: DataFrame, strict: bool = False) -> DataFrame:
     """(line_number, data) of lines (line_number, value) that hold a JSON object.
@@ -67,3 +70,45 @@ def invalid_rows(records: DataFrame, required: tuple[str, ...] = ("instruction",
 def completion_text(payload: Column) -> Column:
     """Text of the first choice of a chat completion payload; null if there is none or it is blank."""
     return F.nullif(F.trim(F.get_json_object(payload, "$.choices[0].message.content")), F.lit(""))
+
+
+def required_text(data: Column, field: str) -> Column:
+    """A string field of a JSON object; an error names the field if it is missing, no string or blank."""
+    found = F.try_variant_get(F.try_parse_json(data), f"$.{field}", "string")
+    is_text = F.schema_of_variant(F.try_variant_get(F.try_parse_json(data), f"$.{field}", "variant")) == "STRING"
+    return F.when(F.coalesce(is_text & (F.trim(found) != ""), F.lit(False)), found).otherwise(F.raise_error(F.lit(f"{field} must be a string")).cast("string"))
+
+
+def optional_text(data: Column, field: str, default: str = "") -> Column:
+    """A string field of a JSON object, or the default if it is missing or no string."""
+    value = F.try_variant_get(F.try_parse_json(data), f"$.{field}", "variant")
+    return F.when(F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False)), F.try_variant_get(F.try_parse_json(data), f"$.{field}", "string")).otherwise(default)
+
+
+def texts_of(data: Column, field: str) -> Column:
+    """A field as list of strings: a string alone, or the elements of a list without empty ones; else empty."""
+    none = F.array().cast("array<string>")
+    listed = F.filter(F.coalesce(F.from_json(F.get_json_object(data, f"$.{field}"), "array<string>"), none), lambda v: v.isNotNull() & (v != ""))
+    alone = optional_text(data, field)
+    return F.when(alone != "", F.array(alone)).otherwise(listed)
+
+
+def records_of(rows: DataFrame, schema: str, column: str = "data") -> DataFrame:
+    """Typed rows of JSON texts; what ``native`` gives comes back the same."""
+    return rows.select(F.from_json(column, schema).alias("r")).select("r.*")
+
+
+def native(rows: DataFrame) -> DataFrame:
+    """(data): each row as JSON object with the keys of all levels in order; nulls are kept."""
+    return rows.select(T.canonical_json(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"})).alias("data"))
+
+
+def stored(spark: SparkSession, path: str, schema: str, key: str, order: str) -> DataFrame:
+    """Records of a store that ``append`` fills: the last of each key by ``order``, in that order; a line that is no object is an error."""
+    rows = records_of(json_objects(spark.read.text(path).select(F.lit(0).alias("line_number"), "value"), strict=True), schema)
+    return last_per_key(rows, [key], [order]).orderBy(order, key)
+
+
+def clear(spark: SparkSession, path: str, schema: str) -> None:
+    """Empty a store."""
+    spark.createDataFrame([], schema).select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)

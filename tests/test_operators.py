@@ -4,6 +4,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from sievewright.functions import text as T
 from sievewright.operators import benchmark, chunking, growth, ingest, review, training
 from sievewright.operators.set_joins import canonical, overlap_pairs
 from sievewright.sources import jsonl
@@ -144,8 +145,17 @@ def test_exact_duplicates(spark):
 
 
 @pytest.mark.parametrize(("total", "want"), [(10, (8, 1, 1)), (2, (2, 0, 0)), (6, (4, 1, 1)), (0, (0, 0, 0)), (1, (1, 0, 0)), (1000, (800, 100, 100))])
-def test_split_counts(total, want):
-    assert training.split_counts(total) == want
+def test_split_counts(spark, total, want):
+    assert tuple(spark.range(1).select(training.split_counts(F.lit(total))).first()[0]) == want
+
+
+def test_split_counts_in_one_pass(spark):
+    got = spark.range(60).select("id", training.split_counts(F.col("id")).alias("c"), training.split_counts(F.col("id"), (0.5, 0.5), 0).alias("halves")).collect()
+    for r in got:
+        assert sum(r.c) == r.id and sum(r.halves) == r.id
+        assert abs(r.c[0] - 0.8 * r.id) < 2.01
+        assert r.id < 3 or min(r.c) >= 1
+    assert tuple(got[3].c) == (1, 1, 1) and tuple(got[7].halves) == (4, 3)
 
 
 def test_split_is_stable_and_exact(spark):
@@ -156,7 +166,8 @@ def test_split_is_stable_and_exact(spark):
     assert one == other
     for s in ("a", "b", None):
         ids = [i for i, x in rows if x == s]
-        assert tuple(sum(one[i] == n for i in ids) for n in training.SPLITS) == training.split_counts(len(ids))
+        want = spark.range(1).select(training.split_counts(F.lit(len(ids)))).first()[0]
+        assert [sum(one[i] == n for i in ids) for n in training.SPLITS] == want
     assert training.stratified_split(frame.limit(0)).count() == 0
 
 
@@ -239,3 +250,19 @@ def test_coverage(spark):
     row = spark.createDataFrame([(["A", "b"], ["a"], [])], "e array<string>, o array<string>, n array<string>")
     got = row.select(benchmark.coverage(F.col("e"), F.col("o")).alias("x"), benchmark.coverage(F.col("n"), F.col("o")).alias("y"), benchmark.overall_score(F.lit(1.0), F.lit(0.5), F.lit(0.0)).alias("z")).first()
     assert tuple(got) == (0.5, 1.0, 0.675)
+
+
+def test_normalized_domains_meet(spark):
+    rows = [(1, "The small pump is enabled and warm.", ["Code "], ["pump", "warm"], 0.9), (2, "The small pump is disabled and warm.", ["code"], ["pump", "warm"], 0.9)]
+    seeds = spark.createDataFrame(rows, "id int, content string, domains array<string>, keywords array<string>, reliability double")
+    assert [(r.left_id, r.right_id) for r in growth.conflicts(seeds).collect()] == [(1, 2)]
+
+
+def test_times_maps_and_json(spark):
+    rows = [("2026-02-04 22:04:36",), (" 2026-02-04T22:04:36Z",), ("2026-02-05T00:04:36+02:00",), ("soon",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(T.utc_time(F.col("t")).cast("string")).collect()]
+    assert got == ["2026-02-04 22:04:36"] * 3 + [None, None]
+    both = spark.sql("SELECT map('a', '1', 'b', '2') AS l, map('b', '3') AS r, CAST(NULL AS MAP<STRING, STRING>) AS n")
+    assert both.select(T.merged(F.col("l"), F.col("r")), T.merged(F.col("n"), F.col("r")), T.merged(F.col("l"), F.col("n"))).first()[:] == ({"a": "1", "b": "3"}, {"b": "3"}, {"a": "1", "b": "2"})
+    plain = spark.createDataFrame([('{"b": {"z": 1, "a": [ {"y":2, "x": null} ]}, "a": "t"}',), ("{",), (None,)], "j string").select(T.canonical_json(F.col("j")))
+    assert [r[0] for r in plain.collect()] == ['{"a":"t","b":{"a":[{"x":null,"y":2}],"z":1}}', None, None]

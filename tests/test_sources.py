@@ -42,3 +42,8 @@ def test_handlers(spark):
 def test_unique_ids(spark):
     rows = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "n int, base string")
     assert [r.unique_id for r in training.unique_ids(rows, "base", "n").orderBy("n").collect()] == ["x", "x-2", "y"]
+
+
+def test_taken_ids_are_avoided(spark):
+    rows = spark.createDataFrame([("x", 1), ("x", 2), ("x", 3), ("x-2", 4), ("x-4", 5), ("y", 6)], "base string, n int")
+    assert [r.unique_id for r in training.unique_ids(rows, "base", "n").orderBy("n").collect()] == ["x", "x-3", "x-5", "x-2", "x-4", "y"]
