@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.operators.lineage import checkpointed
 
+#: Sets with one item that one task indexes; more are dealt out by salt.
+HOT = 20_000
+
 
 def overlap_pairs(sets: DataFrame, threshold: float, groups: str | None = None, side: str | None = None) -> DataFrame:
     """Pairs (a, b, shared) of sets (id, items) that share at least ``threshold`` of the smaller one; a is the smaller.
@@ -19,15 +23,20 @@ def overlap_pairs(sets: DataFrame, threshold: float, groups: str | None = None,
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    own = sets.select("id", "items", F.size("items").alias("n"), *([F.col(groups).alias("groups")] if groups else []), (F.col(side) if side else F.lit(0)).alias("side"))
+    own = sets.select("id", F.transform("items", lambda i: F.xxhash64(i)).alias("items"), F.size("items").alias("n"), *([F.col(groups).alias("groups")] if groups else []), (F.col(side) if side else F.lit(0)).alias("side"))
+    # Candidates meet by the hashes of their items; what is counted below are the items themselves.
     each = own.select("id", F.explode("items").alias("item"), "n")
     frequency = each.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
-    ordered = each.join(frequency, "item").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("o"))
+    known = each.join(frequency, "item").select("id", "n", "item", "df", F.ceil(F.col("df") / HOT).alias("parts")).persist(StorageLevel.MEMORY_AND_DISK)
+    ordered = known.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "item", "parts"))).alias("o"))
     length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    group = own.select("id", "side", (F.explode("groups") if groups else F.lit("")).alias("g"))
-    probe = ordered.select("id", "n", F.explode(F.slice("o", F.lit(1), length.cast("int"))).alias("p")).join(group, "id").select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("p.item").alias("item"), "g", F.col("side").alias("sa"))
-    index = each.join(group, "id").select("item", "g", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("side").alias("sb"))
-    met = probe.join(index, ["item", "g"]).where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
+    listed = own.select("id", "side", (F.explode("groups") if groups else F.lit("")).alias("g"))
+    group = listed.select("id", "side", F.xxhash64("g").alias("g"))
+    # An item that very many sets hold is dealt out by salt: those that probe it look into each part.
+    probe = ordered.select("id", F.col("n").alias("na"), F.explode(F.slice("o", F.lit(1), length.cast("int"))).alias("p")).select("id", "na", "p.item", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("p.parts") - 1)).alias("salt"))
+    probe = probe.join(group, "id").select(F.col("id").alias("a"), "na", "item", "salt", "g", F.col("side").alias("sa"))
+    index = known.withColumn("salt", F.pmod(F.xxhash64("id"), "parts")).join(group, "id").select("item", "salt", "g", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("side").alias("sb"))
+    met = probe.join(index, ["item", "salt", "g"]).where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
     if side:
         met = met.where("sa <> sb")
     met = met.select("a", "b", "na").distinct()

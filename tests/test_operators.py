@@ -266,3 +266,14 @@ def test_times_maps_and_json(spark):
     assert both.select(T.merged(F.col("l"), F.col("r")), T.merged(F.col("n"), F.col("r")), T.merged(F.col("l"), F.col("n"))).first()[:] == ({"a": "1", "b": "3"}, {"b": "3"}, {"a": "1", "b": "2"})
     plain = spark.createDataFrame([('{"b": {"z": 1, "a": [ {"y":2, "x": null} ]}, "a": "t"}',), ("{",), (None,)], "j string").select(T.canonical_json(F.col("j")))
     assert [r[0] for r in plain.collect()] == ['{"a":"t","b":{"a":[{"x":null,"y":2}],"z":1}}', None, None]
+
+
+def test_frequent_items_are_dealt_out(spark, monkeypatch):
+    from sievewright.operators import set_joins
+
+    rows = [(i, ["all", "the", f"w{i % 5}"], ["g"]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "id int, items array<string>, gs array<string>")
+    whole = {(r.a, r.b, round(r.shared, 6)) for r in overlap_pairs(frame, 0.6, groups="gs").collect()}
+    monkeypatch.setattr(set_joins, "HOT", 7)
+    assert {(r.a, r.b, round(r.shared, 6)) for r in overlap_pairs(frame, 0.6, groups="gs").collect()} == whole
+    assert len(whole) == 60 * 59 // 2
