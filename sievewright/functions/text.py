@@ -70,11 +70,14 @@ def content_terms(text: Column, stop_words: Sequence[str] = L.STOP_WORDS) -> Col
 def top_keywords(text: Column, limit: int = 12, stop_words: Sequence[str] = L.STOP_WORDS) -> Column:
     """Most frequent content terms, ties by name.  For short texts; see ``operators.keywords`` for long ones."""
 
-    def ranked(ordered: Column) -> Column:
-        counted = F.transform(F.array_distinct(ordered), lambda t: F.struct((-F.size(F.filter(ordered, lambda u: u == t))).alias("n"), t.alias("t")))
+    def ranked(both: Column) -> Column:
+        # In sorted terms equal ones stand together, so a term's count follows from its first place and its last.
+        ordered, backwards = both["o"], both["b"]
+        count = lambda t: F.size(ordered) + 2 - F.array_position(backwards, t) - F.array_position(ordered, t)
+        counted = F.transform(F.array_distinct(ordered), lambda t: F.struct((-count(t)).alias("n"), t.alias("t")))
         return F.slice(F.transform(F.array_sort(counted), lambda c: c["t"]), 1, limit)
 
-    return let(F.array_sort(content_terms(text, stop_words)), ranked)
+    return let(let(F.array_sort(content_terms(text, stop_words)), lambda o: F.struct(o.alias("o"), F.reverse(o).alias("b"))), ranked)
 
 
 def domains_of(found: Column, domain_words: Mapping[str, Sequence[str]] = L.DOMAIN_WORDS, labels: Mapping[str, Sequence[str]] = L.DOMAIN_LABELS, fallback: str = L.FALLBACK_DOMAIN) -> Column:
