@@ -9,7 +9,7 @@ other language, structural breaks) and gathers what only the corpus can tell:
   that recurs across unrelated prompts is a template; templates whose sentences
   mostly decline are refusals, whatever the spelling of a single member, and so
   are those, in whatever wording, that recur across prompts on different topics
-  in responses that have no word of the prompt and no number.  A
+  in responses that, but for politeness, have no word of the prompt and no number.  A
   declining sentence that does not recur needs no help only if its wording is
   unmistakable.  A response is a refusal if such sentences and politeness make
   up most of it, or,
@@ -335,6 +335,15 @@ def _examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fenced = [at for at, a in enumerate(answers) if found[at][1] and words.strange[at] and "```" in a]
         if fenced:  # code counts as part of the answer where words of the prompt are looked for
             words.strange[fenced] = Words([questions[at] for at in fenced], [answers[at] for at in fenced]).strange
+        # Politeness around a template may name the prompt's subject; what is left of a short response decides.
+        polite = [(at, i) for at, f in enumerate(found) if f[1] and len(f[1]) > 1 and words.count[at] <= SHORT and not words.strange[at] for i in range(len(f[1]))]
+        dropped: dict[int, set[int]] = {}
+        for (at, i), c in zip(polite, courteous([masked_sentence(found[at][1][i]) for at, i in polite]), strict=True):
+            if c:
+                dropped.setdefault(at, set()).add(i)
+        if dropped:
+            left = [" ".join(x for i, x in enumerate(found[at][1]) if i not in gone) for at, gone in dropped.items()]
+            words.strange[list(dropped)] = Words([questions[at] for at in dropped], left).strange & np.array([bool(x) for x in left])
         rows = []
         for at, (name, key, question, (verdict, sentences, end, begin, length)) in enumerate(zip(names, keys, questions, found, strict=True)):
             count = 0 if verdict == "empty" else int(words.count[at])
@@ -542,7 +551,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = max(total, words) if words > SHORT else total
             lead = next((at for at, f in enumerate(found) if not f[3] and (f[2] or f[1] >= LEAST)), None) if words > SHORT else None
             for at, (m, length, d, p, i) in enumerate(found):
-                free = bool(strange) and not p and "0" not in m and length >= LEAST  # may be of a template that the list doesn't know
+                free = bool(strange) and "0" not in m and length >= (2 * LEAST if p else LEAST)  # may be of a template that the list doesn't know
                 if (i, free) not in seen:
                     seen.add((i, free))
                     new[len(out)] = m
