@@ -156,6 +156,11 @@ _ACROSS = _OVERLAP.replace("CONDITION", "NOT a.side AND b.side")
 
 ORACLES: dict[str, str] = {
     "p1_found": f"WITH {_MIX}, {_OVERLAP.replace('CONDITION', 'a.id < b.id')} SELECT a AS row_id_a, b AS row_id_b FROM pairs",
+    "p1_groups": f"""WITH RECURSIVE {_MIX}, {_OVERLAP.replace('CONDITION', 'a.id < b.id')}, known AS MATERIALIZED (SELECT a, b FROM pairs), sets AS (SELECT id, string_agg(word, ' ' ORDER BY word) AS s FROM w GROUP BY id),
+        rep AS MATERIALIZED (SELECT t.id, min(t.id) OVER (PARTITION BY coalesce(s, '! ' || text)) AS rep, count(*) OVER (PARTITION BY coalesce(s, '! ' || text)) AS copies FROM t LEFT JOIN sets USING (id)),
+        both_ AS MATERIALIZED (SELECT a, b FROM known UNION ALL SELECT b, a FROM known), reach(id, r) AS (SELECT a, a FROM both_ UNION SELECT reach.id, both_.b FROM reach JOIN both_ ON both_.a = reach.r),
+        grp AS (SELECT id, min(r) AS g FROM reach GROUP BY id), linked AS (SELECT x.rep AS rep, count(DISTINCT y.rep) AS n FROM both_ JOIN rep x ON x.id = both_.a JOIN rep y ON y.id = both_.b WHERE x.rep <> y.rep GROUP BY x.rep)
+        SELECT rep.id AS row_id, coalesce(g, rep.id) AS group_id, coalesce(n, 0) AS links, copies FROM rep LEFT JOIN grp ON grp.id = rep.id LEFT JOIN linked ON linked.rep = rep.rep""",
     "p4_found": f"WITH {_EXAMPLES}, {_ACROSS} SELECT least(a, b) AS example_id_a, greatest(a, b) AS example_id_b FROM pairs",
     "p4_report": f"""WITH {_EXAMPLES}, {_ACROSS}, best AS (SELECT a AS id, max(overlap) AS best FROM pairs GROUP BY a)
         SELECT split, coalesce(source, '(none)') AS source, count(*) AS rows, count(*) FILTER (best = 1) AS same, count(*) FILTER (best < 1) AS almost, count(best) AS leaked, round(count(best) / count(*), 4) AS share FROM t LEFT JOIN best USING (id) WHERE NOT side GROUP BY ALL""",
