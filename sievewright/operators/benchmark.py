@@ -123,7 +123,7 @@ def compare_runs(baseline: DataFrame, candidate: DataFrame, threshold: float = 0
     """
     side = lambda f, c: f.select("case_id", F.lit(True).alias(f"in_{c}"), *[F.col(m).alias(f"{m}_{c}") for m in METRICS])
     both = side(baseline, "b").join(side(candidate, "c"), "case_id", "full_outer")
-    delta = {m: F.round(F.coalesce(f"{m}_c", F.lit(0.0)) - F.coalesce(f"{m}_b", F.lit(0.0)), 3) for m in METRICS}
+    delta = {m: F.round(F.round(F.coalesce(f"{m}_c", F.lit(0.0)) - F.coalesce(f"{m}_b", F.lit(0.0)), 9), 3) for m in METRICS}  # first without the noise of binary fractions
     status = F.when(F.col("in_b").isNull(), "improved").when(F.col("in_c").isNull(), "regressed").when(delta["overall"] >= threshold, "improved").when(delta["overall"] <= -threshold, "regressed").otherwise("unchanged")
     return both.select("case_id", *[d.alias(f"{m}_delta") for m, d in delta.items()], status.alias("status"))
 

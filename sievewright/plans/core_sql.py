@@ -132,10 +132,10 @@ _SHARED = "len(list_intersect(a.{0}, b.{0})) / least(len(a.{0}), len(b.{0}))"
 _CONFLICT = f"""{_NORMAL}, p AS (SELECT a.id AS left_id, b.id AS right_id, CASE WHEN least(len(a.nkw), len(b.nkw)) > 0 THEN {_SHARED.format('nkw')} ELSE 0.0 END AS k, CASE WHEN least(len(a.toks), len(b.toks)) > 0 THEN {_SHARED.format('toks')} ELSE 0.0 END AS x, least(a.reliability, b.reliability) AS rel
     FROM (SELECT *, kw AS nkw FROM nt WHERE pol <> 0) a JOIN (SELECT *, kw AS nkw FROM nt WHERE pol <> 0) b ON a.id < b.id AND a.pol <> b.pol AND list_has_any(a.dom, b.dom)),
     conf AS (SELECT left_id, right_id, CASE WHEN rel < 0.4 THEN 'low' WHEN k >= 0.75 OR x >= 0.65 THEN 'high' ELSE 'medium' END AS severity, round(k, 3) AS keyword_overlap, round(x, 3) AS text_overlap FROM p WHERE k >= 0.25 OR x >= 0.25)"""
-_RESULTS = f"""(SELECT *, round(routing * 0.5 + context * 0.35 + growth * 0.15, 6) AS overall FROM (SELECT adapter_name AS run_id, concat_ws('/', template_name, model) AS case_id,
+_RESULTS = f"""(SELECT *, round(routing * 0.5 + context * 0.35 + growth * 0.15, 9) AS overall FROM (SELECT adapter_name AS run_id, concat_ws('/', template_name, model) AS case_id,
     round(avg(least(coalesce(len(selected_modules), 0) / 3, 1.0)), 6) AS routing, round(avg(least(coalesce(len(context_sources), 0) / 4, 1.0)), 6) AS context, round(avg(CASE WHEN error IS NULL THEN 1.0 ELSE 0.0 END), 6) AS growth FROM {_TRACES} GROUP BY ALL))"""
 _DELTAS = f"""b AS (SELECT * FROM {_RESULTS} WHERE run_id = 'static-local'), c AS (SELECT * FROM {_RESULTS} WHERE run_id = 'lora-small'),
-    delta AS (SELECT coalesce(b.case_id, c.case_id) AS case_id, {', '.join(f'round(coalesce(c.{m}, 0) - coalesce(b.{m}, 0), 3) AS {m}_delta' for m in ('overall', 'routing', 'context', 'growth'))},
+    delta AS (SELECT coalesce(b.case_id, c.case_id) AS case_id, {', '.join(f'round(round(coalesce(c.{m}, 0) - coalesce(b.{m}, 0), 9), 3) AS {m}_delta' for m in ('overall', 'routing', 'context', 'growth'))},
     b.case_id IS NULL AS only_c, c.case_id IS NULL AS only_b FROM b FULL JOIN c ON b.case_id = c.case_id),
     cmp AS (SELECT case_id, overall_delta, routing_delta, context_delta, growth_delta, CASE WHEN only_c THEN 'improved' WHEN only_b THEN 'regressed' WHEN overall_delta >= 0.02 THEN 'improved' WHEN overall_delta <= -0.02 THEN 'regressed' ELSE 'unchanged' END AS status FROM delta)"""
 _DOMAINS = ", ".join(f"CASE WHEN list_has_any(t, {array(words)}) THEN {array(L.DOMAIN_LABELS.get(d, (d,)))} END" for d, words in L.DOMAIN_WORDS.items())

@@ -81,7 +81,7 @@ def run_results(spark: SparkSession, folder: str) -> DataFrame:
         F.least(n("context_sources") / 4, F.lit(1.0)).alias("context"), F.when(F.col("error").isNull(), 1.0).otherwise(0.0).alias("growth"),
     )
     each = rows.groupBy("run_id", "case_id").agg(*[F.round(F.avg(m), 6).alias(m) for m in ("routing", "context", "growth")])
-    return each.withColumn("overall", F.round(F.col("routing") * 0.5 + F.col("context") * 0.35 + F.col("growth") * 0.15, 6))
+    return each.withColumn("overall", F.round(F.col("routing") * 0.5 + F.col("context") * 0.35 + F.col("growth") * 0.15, 9))
 
 
 def trace_cases(spark: SparkSession, folder: str) -> DataFrame:

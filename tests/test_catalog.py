@@ -9,7 +9,7 @@ from sievewright import catalog
 FOLDER = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
-FEW = ["route_topk", "memory_search_topk", "review_decisions", "seed_validation", "near_dup_edges", "conflict_pairs", "trace_review_full_outer", "training_export", "event_sessions"]
+FEW = ["route_topk", "memory_search_topk", "review_decisions", "seed_validation", "near_dup_edges", "conflict_pairs", "trace_review_full_outer", "training_export", "event_sessions", "run_compare", "reviewed_trace_examples", "chunk_documents", "clusters", "split_assign", "bench_growth_scores", "ingest_decisions"]
 
 
 def canonical(rows, names):
