@@ -1,4 +1,4 @@
-"""Sentences that the word lists and patterns were not made from; written before them.  Language codes stand before the lines."""
+"""Sentences written before the word lists and patterns, by the same hand; after a first run on them one word class and one pattern were mended.  Language codes stand before the lines."""
 
 ABUSIVE = """
 en You are a complete waste of oxygen.
