@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as T
+from sievewright.operators import tiles
 from sievewright.operators.set_joins import canonical, overlap_pairs
 
 
@@ -45,21 +46,31 @@ def canonical_seeds(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return canonical(edges, seeds.select("id"))
 
 
+def _opposed(seeds: DataFrame, keyword_threshold: float, text_threshold: float, counted: bool) -> DataFrame:
+    if not (0 < keyword_threshold <= 1 and 0 < text_threshold <= 1):
+        raise ValueError("thresholds must be in (0, 1]")
+    rows = normalized_seeds(seeds).where("pol <> 0").select("id", "kw", "dom", "tokens", (F.col("pol") > 0).alias("left"), (F.coalesce("reliability", F.lit(0.0)) < 0.4).alias("weak"))
+    return tiles.weighed(rows, keyword_threshold, text_threshold, 0.75, 0.65, counted)
+
+
+def _severity() -> Column:
+    return F.when(F.col("rank") == 1, "low").when(F.col("rank") == 2, "medium").otherwise("high")
+
+
 def conflicts(seeds: DataFrame, keyword_threshold: float = 0.25, text_threshold: float = 0.25) -> DataFrame:
     """Pairs (left_id, right_id, severity, keyword_overlap, text_overlap) of seeds of opposite polarity that share a domain and overlap.
 
     Severity: low if the weaker source has a reliability below 0.4, high from 0.75 keyword or 0.65 text overlap on, else
-    medium.  Only seeds with a polarity are indexed, positive and negative ones together; thresholds must be above 0.
+    medium.  Only seeds with a polarity are weighed, positive against negative ones; thresholds must be above 0.
     """
-    rows = normalized_seeds(seeds).where("pol <> 0").select("id", "kw", "dom", "tokens", "pol", F.coalesce("reliability", F.lit(0.0)).alias("rel")).persist(StorageLevel.MEMORY_AND_DISK)
-    shared = lambda column, threshold: overlap_pairs(rows.select("id", F.col(column).alias("items"), "dom", "pol"), threshold, groups="dom", side="pol").select("a", "b")
-    met = shared("kw", keyword_threshold).unionByName(shared("tokens", text_threshold))
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda c: rows.select(F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("kw", "dom", "tokens", "pol", "rel")])
-    both = met.join(side("a"), "a").join(side("b"), "b").where((F.col("pol_a") != F.col("pol_b")) & F.arrays_overlap("dom_a", "dom_b"))
-    k, t = T.overlap(F.col("kw_a"), F.col("kw_b")), T.overlap(F.col("tokens_a"), F.col("tokens_b"))
-    severity = F.when(F.least("rel_a", "rel_b") < 0.4, "low").when((k >= 0.75) | (t >= 0.65), "high").otherwise("medium")
-    return both.select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), severity.alias("severity"), F.round(k, 3).alias("keyword_overlap"), F.round(t, 3).alias("text_overlap"))
+    pairs = _opposed(seeds, keyword_threshold, text_threshold, False)
+    return pairs.select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), _severity().alias("severity"), "keyword_overlap", "text_overlap")
+
+
+def conflict_counts(seeds: DataFrame, keyword_threshold: float = 0.25, text_threshold: float = 0.25) -> DataFrame:
+    """conflict_summary of conflicts, counted without listing the pairs."""
+    each = _opposed(seeds, keyword_threshold, text_threshold, True).groupBy("id").agg(F.sum("n").alias("conflicts"), F.max("rank").alias("rank"))
+    return each.select("id", "conflicts", _severity().alias("severity"))
 
 
 def conflict_summary(pairs: DataFrame) -> DataFrame:

@@ -277,3 +277,37 @@ def test_frequent_items_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(set_joins, "HOT", 7)
     assert {(r.a, r.b, round(r.shared, 6)) for r in overlap_pairs(frame, 0.6, groups="gs").collect()} == whole
     assert len(whole) == 60 * 59 // 2
+
+
+def opposed_seeds(n):
+    r = random.Random(5)
+    said = lambda i: " ".join(r.sample(["pump", "warm", "door", "lamp", "wire", "code", "test", "rain"], r.randrange(2, 7)) + ["enabled" if i % 3 else "disabled"])
+    return [(i, said(i), r.sample(["a", "b", "c"], r.randrange(4)), r.sample(["k1", "k2", "k3", "k4 k5", "k6"], r.randrange(5)), r.choice([0.2, 0.4, 0.9, None])) for i in range(n)]
+
+
+def test_conflicts_equal_brute_force_in_many_tiles(spark, monkeypatch):
+    from sievewright.operators import tiles
+
+    monkeypatch.setattr(tiles, "SIDE", 7)
+    monkeypatch.setattr(tiles, "STRIP", 20)
+    rows = opposed_seeds(90)
+    seeds = spark.createDataFrame(rows, "id int, content string, domains array<string>, keywords array<string>, reliability double")
+    want = {}
+    for a, b in combinations(rows, 2):
+        k, x = models.overlap(a[3], b[3]), models.overlap(a[1].split(), b[1].split())
+        if ("enabled" in a[1]) != ("enabled" in b[1]) and set(a[2]) & set(b[2]) and (k >= 0.25 or x >= 0.25):
+            severity = "low" if min(a[4] or 0.0, b[4] or 0.0) < 0.4 else "high" if k >= 0.75 or x >= 0.65 else "medium"
+            want[a[0], b[0]] = (severity, k, x)
+    pairs = growth.conflicts(seeds)
+    got = pairs.collect()
+    assert len(got) == len(want) and {(r.left_id, r.right_id): r.severity for r in got} == {p: v[0] for p, v in want.items()}
+    assert all(abs(r.keyword_overlap - want[r.left_id, r.right_id][1]) <= 5.0001e-4 and abs(r.text_overlap - want[r.left_id, r.right_id][2]) <= 5.0001e-4 for r in got)
+    ends = lambda frame: sorted(tuple(r) for r in frame.collect())
+    assert ends(growth.conflict_counts(seeds)) == ends(growth.conflict_summary(pairs))
+    assert growth.conflicts(seeds.limit(0)).count() == growth.conflict_counts(seeds.limit(0)).count() == 0
+
+
+def test_candidates_of_conflicts_are_never_shuffled(spark):
+    seeds = spark.createDataFrame(opposed_seeds(20), "id int, content string, domains array<string>, keywords array<string>, reliability double")
+    for frame in (growth.conflicts(seeds), growth.conflict_counts(seeds)):
+        assert "SortMergeJoin" not in frame._jdf.queryExecution().simpleString()
