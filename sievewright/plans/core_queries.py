@@ -204,13 +204,13 @@ def conflict_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def conflict_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return growth.conflict_summary(growth.conflicts(S.mix_seeds(spark, folder)))
+    return growth.conflict_counts(S.mix_seeds(spark, folder))
 
 
 def _decisions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     seeds = S.mix_seeds(spark, folder)
     kept = growth.canonical_seeds(seeds, growth.duplicate_edges(seeds))
-    conflicted = growth.conflict_summary(growth.conflicts(seeds))
+    conflicted = growth.conflict_counts(seeds)
     return seeds, growth.seed_decisions(review.validate_seeds(seeds), kept, conflicted)
 
 
