@@ -124,7 +124,7 @@ def shortened(text: Column, limit: int = 120) -> Column:
 
 def polarity(normal: Column) -> Column:
     """-1 if an opposite or a negation occurs as a substring of normalized text, else 1 if a positive phrase does, else 0."""
-    return F.when(has_any(normal, [n for _, n in L.OPPOSITES] + list(L.NEGATION_MARKERS)), -1).when(has_any(normal, [p for p, _ in L.OPPOSITES]), 1).otherwise(0)
+    return let(normal, lambda n: F.when(has_any(n, [n for _, n in L.OPPOSITES] + list(L.NEGATION_MARKERS)), -1).when(has_any(n, [p for p, _ in L.OPPOSITES]), 1).otherwise(0))
 
 
 def overlap(left: Column, right: Column) -> Column:

@@ -27,15 +27,17 @@ def duplicate_edges(seeds: DataFrame, keyword_threshold: float = 0.8, text_thres
     ``rule`` is the first that holds: exact, keywords, text.  Seeds of opposite polarity only match exactly.  Of equal
     texts each is linked with the first only, which the greedy scan takes anyway.  Thresholds must be above 0.
     """
-    rows = normalized_seeds(seeds).select("id", "norm", "kw", "dom", "tokens", "pol").persist(StorageLevel.MEMORY_AND_DISK)
-    first = rows.where("norm <> ''").groupBy("norm").agg(F.min("id").alias("i"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    exact = rows.join(first, "norm").where("id <> i").select("i", F.col("id").alias("j"), F.lit("exact").alias("rule"), F.lit(1.0).alias("score"))
+    # Texts are compared by their digests; only short ones keep their words.
+    digest = F.when(F.col("norm") != "", F.unhex(F.sha2("norm", 256)))
+    rows = normalized_seeds(seeds).select("id", digest.alias("norm"), "kw", "dom", F.when(F.length("norm") <= short, F.col("tokens")).alias("tokens"), "pol").persist(StorageLevel.MEMORY_AND_DISK)
+    first = rows.where("norm is not null").groupBy("norm").agg(F.min("id").alias("i"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    exact = rows.select("id", "norm").join(first, "norm").where("id <> i").select("i", F.col("id").alias("j"), F.lit("exact").alias("rule"), F.lit(1.0).alias("score"))
     by_keyword = overlap_pairs(rows.select("id", F.col("kw").alias("items"), "dom"), keyword_threshold, groups="dom").select("a", "b", "shared", F.lit("keywords").alias("rule"))
-    by_text = overlap_pairs(rows.where(F.length("norm") <= short).select("id", F.col("tokens").alias("items")), text_threshold).select("a", "b", "shared", F.lit("text").alias("rule"))
-    side = lambda c: rows.select(F.col("id").alias(c), F.col("dom").alias(f"d{c}"), F.col("pol").alias(f"p{c}"), F.col("norm").alias(f"n{c}"))
+    by_text = overlap_pairs(rows.where("tokens is not null").select("id", F.col("tokens").alias("items")), text_threshold).select("a", "b", "shared", F.lit("text").alias("rule"))
+    side = lambda c: rows.select(F.col("id").alias(c), F.col("pol").alias(f"p{c}"), F.coalesce("norm", F.lit(b"")).alias(f"n{c}"))
     near = by_keyword.unionByName(by_text).join(side("a"), "a").join(side("b"), "b")
     opposite = (F.col("pa") != 0) & (F.col("pb") != 0) & (F.col("pa") != F.col("pb"))
-    near = near.where(~opposite & (F.col("na") != F.col("nb")) & ((F.col("rule") == "text") | F.arrays_overlap("da", "db")))
+    near = near.where(~opposite & (F.col("na") != F.col("nb")))
     near = near.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "rule", F.round("shared", 3).alias("score"))
     near = near.groupBy("i", "j").agg(F.min_by(F.struct("rule", "score"), "rule").alias("x")).select("i", "j", "x.rule", "x.score")
     return exact.unionByName(near)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from sievewright.operators.lineage import checkpointed
 
 #: Sets with one item that one task indexes; more are dealt out by salt.
 HOT = 20_000
+#: Items whose frequency is known when sets are ordered; it costs time only if there are more frequent ones.
+FREQUENT = 20_000
 
 
 def overlap_pairs(sets: DataFrame, threshold: float, groups: str | None = None, side: str | None = None) -> DataFrame:
@@ -23,26 +28,52 @@ def overlap_pairs(sets: DataFrame, threshold: float, groups: str | None = None,
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    own = sets.select("id", F.transform("items", lambda i: F.xxhash64(i)).alias("items"), F.size("items").alias("n"), *([F.col(groups).alias("groups")] if groups else []), (F.col(side) if side else F.lit(0)).alias("side"))
-    # Candidates meet by the hashes of their items; what is counted below are the items themselves.
-    each = own.select("id", F.explode("items").alias("item"), "n")
-    frequency = each.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
-    known = each.join(frequency, "item").select("id", "n", "item", "df", F.ceil(F.col("df") / HOT).alias("parts")).persist(StorageLevel.MEMORY_AND_DISK)
-    ordered = known.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "item", "parts"))).alias("o"))
-    length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    listed = own.select("id", "side", (F.explode("groups") if groups else F.lit("")).alias("g"))
-    group = listed.select("id", "side", F.xxhash64("g").alias("g"))
+    own = sets.select("id", F.transform("items", lambda i: F.xxhash64(i)).alias("items"), *([F.col(groups).alias("groups")] if groups else []), (F.col(side) if side else F.lit(0)).alias("side")).where(F.size("items") > 0)
+    # Any one order of items will do; the most frequent ones come last, others in order of their hashes.
+    frequent = own.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "item").limit(FREQUENT).collect()
+    listed = np.array(sorted((r.item, r.df) for r in frequent), np.int64).reshape(-1, 2)
+    hot, id_type = HOT, sets.schema["id"].dataType.simpleString()
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            n = np.asarray(lists.value_lengths()).astype(np.int64)
+            if not len(n):
+                continue
+            row, item = np.repeat(np.arange(len(n)), n), np.asarray(lists.flatten())
+            at = np.minimum(np.searchsorted(listed[:, 0], item), len(listed) - 1)
+            df = np.where(listed[at, 0] == item, listed[at, 1], 0)
+            order = np.lexsort((item, df, row))
+            item, df = item[order], df[order]
+            firsts = np.cumsum(n) - n
+            # One bit of 128 for each item: what a set has of them and another lacks, it lacks as items.
+            bit = np.left_shift(np.int64(1), item & 63)
+            marks = [np.bitwise_or.reduceat(np.where((item >> 6) & 1 == half, bit, 0), firsts) for half in (0, 1)]
+            rows = [pa.array(c) for c in (item, np.arange(len(item)) - firsts[row], n[row], np.maximum(-(-df // hot), 1), marks[0][row], marks[1][row])]
+            again = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(again), *rows, *(c.take(again) for c in batch.columns[2:])], names=["id", "item", "pos", "n", "parts", "m", "w", *batch.schema.names[2:]])
+
+    kinds = f"id {id_type}, item bigint, pos bigint, n bigint, parts bigint, m bigint, w bigint, side {own.schema['side'].dataType.simpleString()}"
+    each = own.select("id", "items", "side", *(["groups"] if groups else [])).mapInArrow(spread, kinds + (f", groups {own.schema['groups'].dataType.simpleString()}" if groups else ""))
+    need = F.ceil(F.lit(threshold) * F.col("n") - 1e-9)
     # An item that very many sets hold is dealt out by salt: those that probe it look into each part.
-    probe = ordered.select("id", F.col("n").alias("na"), F.explode(F.slice("o", F.lit(1), length.cast("int"))).alias("p")).select("id", "na", "p.item", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("p.parts") - 1)).alias("salt"))
-    probe = probe.join(group, "id").select(F.col("id").alias("a"), "na", "item", "salt", "g", F.col("side").alias("sa"))
-    index = known.withColumn("salt", F.pmod(F.xxhash64("id"), "parts")).join(group, "id").select("item", "salt", "g", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("side").alias("sb"))
-    met = probe.join(index, ["item", "salt", "g"]).where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
+    probe = each.where(F.col("pos") <= F.col("n") - need).withColumn("need", need).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    index = each.withColumn("salt", F.pmod(F.xxhash64("id"), "parts"))
+    keyed = lambda f: (f.withColumn("g", F.explode("groups")) if groups else f.withColumn("g", F.lit(""))).withColumn("key", F.xxhash64("item", "salt", "g"))
+    probe = keyed(probe).select("key", F.col("id").alias("a"), F.col("n").alias("na"), "need", F.col("m").alias("ma"), F.col("w").alias("wa"), *([F.col("side").alias("sa")] if side else []))
+    index = keyed(index).select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("w").alias("wb"), *([F.col("side").alias("sb")] if side else []))
+    # Candidates that lack too much are dropped where they meet, before anything is shuffled.
+    lacks = F.bit_count(F.expr("ma & ~mb")) + F.bit_count(F.expr("wa & ~wb"))
+    met = probe.join(index, "key").where(((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (lacks <= F.col("na") - F.col("need")))
     if side:
         met = met.where("sa <> sb")
-    met = met.select("a", "b", "na").distinct()
-    of = lambda c: sets.select(F.col("id").alias(c), F.col("items").alias(f"i{c}"))
-    counted = met.join(of("a"), "a").join(of("b"), "b").select("a", "b", (F.size(F.array_intersect("ia", "ib")) / F.col("na")).alias("shared"))
-    return counted.where(F.col("shared") >= threshold)
+    met = met.select("a", "b").distinct()
+    # They meet by hashes; what is counted are the items themselves, in a shared group if there are groups.
+    of = lambda c: sets.select(F.col("id").alias(c), F.col("items").alias(f"i{c}"), *([F.col(groups).alias(f"g{c}")] if groups else []))
+    counted = met.join(of("a"), "a").join(of("b"), "b")
+    if groups:
+        counted = counted.where(F.arrays_overlap("ga", "gb"))
+    return counted.select("a", "b", (F.size(F.array_intersect("ia", "ib")) / F.size("ia")).alias("shared")).where(F.col("shared") >= threshold)
 
 
 def canonical(edges: DataFrame, nodes: DataFrame, rounds: int = 200) -> DataFrame:

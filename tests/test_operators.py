@@ -311,3 +311,18 @@ def test_candidates_of_conflicts_are_never_shuffled(spark):
     seeds = spark.createDataFrame(opposed_seeds(20), "id int, content string, domains array<string>, keywords array<string>, reliability double")
     for frame in (growth.conflicts(seeds), growth.conflict_counts(seeds)):
         assert "SortMergeJoin" not in frame._jdf.queryExecution().simpleString()
+
+
+def test_candidates_that_lack_too_much_are_dropped_where_they_meet(spark):
+    # One item in common, all the others apart: every pair is a candidate and none is a pair.
+    rows = [(i, ["all", *(f"w{i}-{k}" for k in range(11))]) for i in range(300)] + [(i, ["all", *(f"v{k}" for k in range(10)), f"w{i}"]) for i in range(300, 303)]
+    pairs = overlap_pairs(spark.createDataFrame(rows, "id int, items array<string>"), 0.15)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(300, 301), (300, 302), (301, 302)}
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_count" in plan
+
+
+def test_equal_texts_and_null_texts_have_edges_by_digest(spark):
+    rows = [(1, None, ["d"], ["a", "b"]), (2, "", ["d"], ["a", "b"]), (3, "Some words.", ["d"], ["x"]), (4, "some WORDS", None, None), (5, "some words", ["d"], ["a", "b"])]
+    seeds = spark.createDataFrame(rows, "id int, content string, domains array<string>, keywords array<string>")
+    assert {(r.i, r.j): r.rule for r in growth.duplicate_edges(seeds).collect()} == {(3, 4): "exact", (3, 5): "exact", (1, 5): "keywords", (2, 5): "keywords"}
