@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -208,7 +209,7 @@ def conflict_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _decisions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    seeds = S.mix_seeds(spark, folder)
+    seeds = S.mix_seeds(spark, folder).persist(StorageLevel.MEMORY_AND_DISK)  # keywords are worked out once
     kept = growth.canonical_seeds(seeds, growth.duplicate_edges(seeds))
     conflicted = growth.conflict_counts(seeds)
     return seeds, growth.seed_decisions(review.validate_seeds(seeds), kept, conflicted)

@@ -45,3 +45,12 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_seeds_of_decisions_are_worked_out_once(spark):
+    from sievewright.plans import core_queries
+
+    seeds, decided = core_queries._decisions(spark, FOLDER)
+    assert seeds.storageLevel.useMemory and seeds.storageLevel.useDisk
+    assert decided.count() == seeds.count()
+    spark.catalog.clearCache()
