@@ -54,3 +54,17 @@ def test_seeds_of_decisions_are_worked_out_once(spark):
     assert seeds.storageLevel.useMemory and seeds.storageLevel.useDisk
     assert decided.count() == seeds.count()
     spark.catalog.clearCache()
+
+
+@pytest.mark.parametrize("name", ["near_dup_canonical", "conflict_summary"])
+def test_duplicates_and_conflicts_equal_their_sql(spark, engine, name):
+    test_query_equals_its_sql(spark, engine, name)
+
+
+def test_canonical_candidates_are_dropped_where_they_meet(spark):
+    from sievewright.operators import growth
+    from sievewright.plans import tables
+
+    edges = growth.duplicate_edges(tables.mix_seeds(spark, FOLDER))
+    assert "bit_count" in edges._jdf.queryExecution().optimizedPlan().toString()
+    spark.catalog.clearCache()
