@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from sievewright.functions import text as T
 from sievewright.operators import tiles
-from sievewright.operators.set_joins import canonical, overlap_pairs
+from sievewright.operators.lineage import checkpointed
+from sievewright.operators.set_joins import canonical, overlap_pairs, within_bound
 
 
 def normalized_seeds(seeds: DataFrame) -> DataFrame:
@@ -21,26 +22,53 @@ def normalized_seeds(seeds: DataFrame) -> DataFrame:
     return listed.withColumn("tokens", F.array_distinct(F.filter(F.split("norm", " "), lambda t: t != ""))).withColumn("pol", T.polarity(F.col("norm")))
 
 
+def _duplicate_links(seeds: DataFrame, keyword_threshold: float, text_threshold: float, short: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """ids (id); exact (i, j), with the first of each text; copies (id, rep, first), equal in text, keywords and domains to the earlier rep, and whether that is the first of its text; near (a, b, rule, score) between seeds that are no copies."""
+    # Texts are compared by their digests; only short ones keep their words.
+    digest = F.when(F.col("norm") != "", F.unhex(F.sha2("norm", 256)))
+    rows = normalized_seeds(seeds).select("id", digest.alias("norm"), "kw", "dom", F.when(F.length("norm") <= short, F.col("tokens")).alias("tokens"), "pol").persist(StorageLevel.MEMORY_AND_DISK)
+    repeated = rows.where("norm is not null").groupBy("norm").agg(F.min("id").alias("i"), F.count(F.lit(1)).alias("n")).where("n > 1").select("norm", "i")
+    listed = F.unhex(F.sha2(F.to_json(F.struct(F.sort_array("kw").alias("k"), F.sort_array("dom").alias("d"))), 256))
+    same = checkpointed(rows.join(within_bound(repeated), "norm").select("id", "i", listed.alias("listed")))
+    exact = same.where("id <> i").select("i", F.col("id").alias("j"))
+    classes = same.groupBy("i", "listed").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("i", "listed", "rep")
+    copies = checkpointed(same.join(within_bound(classes), ["i", "listed"]).where("id <> rep").select("id", "rep", (F.col("rep") == F.col("i")).alias("first")))
+    reps = rows.join(within_bound(copies.select("id")), "id", "left_anti")
+    pairs = lambda sets, threshold, rule, groups=None: overlap_pairs(sets, threshold, groups, carried=("pol", "norm")).withColumn("rule", F.lit(rule))
+    near = pairs(reps.select("id", F.col("kw").alias("items"), "dom", "pol", "norm"), keyword_threshold, "keywords", "dom").unionByName(pairs(reps.where("tokens is not null").select("id", F.col("tokens").alias("items"), "pol", "norm"), text_threshold, "text"))
+    opposite = (F.col("a_pol") != 0) & (F.col("b_pol") != 0) & (F.col("a_pol") != F.col("b_pol"))
+    near = near.where(~opposite & (F.coalesce("a_norm", F.lit(b"")) != F.coalesce("b_norm", F.lit(b""))))
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "rule", F.round("shared", 3).alias("score"))
+    near = near.groupBy("a", "b").agg(F.min_by(F.struct("rule", "score"), "rule").alias("x")).select("a", "b", "x.rule", "x.score")
+    return rows.select("id"), exact, copies, near
+
+
 def duplicate_edges(seeds: DataFrame, keyword_threshold: float = 0.8, text_threshold: float = 0.85, short: int = 140) -> DataFrame:
     """Edges (i, j, rule, score) between seeds of normalized equal text, or with overlapping keywords in a shared domain, or short and alike.
 
     ``rule`` is the first that holds: exact, keywords, text.  Seeds of opposite polarity only match exactly.  Of equal
     texts each is linked with the first only, which the greedy scan takes anyway.  Thresholds must be above 0.
+    Copies are compared once and their edges expanded.
     """
-    # Texts are compared by their digests; only short ones keep their words.
-    digest = F.when(F.col("norm") != "", F.unhex(F.sha2("norm", 256)))
-    rows = normalized_seeds(seeds).select("id", digest.alias("norm"), "kw", "dom", F.when(F.length("norm") <= short, F.col("tokens")).alias("tokens"), "pol").persist(StorageLevel.MEMORY_AND_DISK)
-    first = rows.where("norm is not null").groupBy("norm").agg(F.min("id").alias("i"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    exact = rows.select("id", "norm").join(first, "norm").where("id <> i").select("i", F.col("id").alias("j"), F.lit("exact").alias("rule"), F.lit(1.0).alias("score"))
-    by_keyword = overlap_pairs(rows.select("id", F.col("kw").alias("items"), "dom"), keyword_threshold, groups="dom").select("a", "b", "shared", F.lit("keywords").alias("rule"))
-    by_text = overlap_pairs(rows.where("tokens is not null").select("id", F.col("tokens").alias("items")), text_threshold).select("a", "b", "shared", F.lit("text").alias("rule"))
-    side = lambda c: rows.select(F.col("id").alias(c), F.col("pol").alias(f"p{c}"), F.coalesce("norm", F.lit(b"")).alias(f"n{c}"))
-    near = by_keyword.unionByName(by_text).join(side("a"), "a").join(side("b"), "b")
-    opposite = (F.col("pa") != 0) & (F.col("pb") != 0) & (F.col("pa") != F.col("pb"))
-    near = near.where(~opposite & (F.col("na") != F.col("nb")))
-    near = near.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "rule", F.round("shared", 3).alias("score"))
-    near = near.groupBy("i", "j").agg(F.min_by(F.struct("rule", "score"), "rule").alias("x")).select("i", "j", "x.rule", "x.score")
-    return exact.unionByName(near)
+    _, exact, copies, near = _duplicate_links(seeds, keyword_threshold, text_threshold, short)
+    for c in ("a", "b"):
+        # each as it is, and once for each copy of its end
+        near = near.withColumn("rep", F.explode(F.array(F.lit(None), F.col(c)))).join(copies.select("rep", F.col("id").alias("copy")), "rep", "left").where("rep is null or copy is not null").withColumn(c, F.coalesce("copy", c)).drop("rep", "copy")
+    near = near.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "rule", "score")
+    return exact.select("i", "j", F.lit("exact").alias("rule"), F.lit(1.0).alias("score")).unionByName(near)
+
+
+def deduplicated(seeds: DataFrame, keyword_threshold: float = 0.8, text_threshold: float = 0.85, short: int = 140) -> DataFrame:
+    """(id, duplicate_of): canonical_seeds of duplicate_edges, without listing the edges of copies.
+
+    Copies have the neighbours of the seed that they repeat, but for the first of their text, which all have: they stay
+    or go as it does, and if it stays and is that first, repeat it.
+    """
+    ids, exact, copies, near = _duplicate_links(seeds, keyword_threshold, text_threshold, short)
+    edges = checkpointed(exact.join(copies.select(F.col("id").alias("j")), "j", "left_anti").select("i", "j").unionByName(near.select(F.col("a").alias("i"), F.col("b").alias("j"))))
+    found = checkpointed(canonical(edges, edges.select(F.col("j").alias("id")).distinct()).where("duplicate_of is not null"))
+    more = copies.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("duplicate_of", F.when(F.col("first"), F.col("rep"))).alias("duplicate_of"))
+    return ids.join(within_bound(found.unionByName(more)), "id", "left")
 
 
 def canonical_seeds(seeds: DataFrame, edges: DataFrame) -> DataFrame:

@@ -194,8 +194,7 @@ def near_dup_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def near_dup_canonical(spark: SparkSession, folder: str) -> DataFrame:
-    seeds = S.mix_seeds(spark, folder)
-    return growth.canonical_seeds(seeds, growth.duplicate_edges(seeds))
+    return growth.deduplicated(S.mix_seeds(spark, folder))
 
 
 @query
@@ -210,7 +209,7 @@ def conflict_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 def _decisions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     seeds = S.mix_seeds(spark, folder).persist(StorageLevel.MEMORY_AND_DISK)  # keywords are worked out once
-    kept = growth.canonical_seeds(seeds, growth.duplicate_edges(seeds))
+    kept = growth.deduplicated(seeds)
     conflicted = growth.conflict_counts(seeds)
     return seeds, growth.seed_decisions(review.validate_seeds(seeds), kept, conflicted)
 

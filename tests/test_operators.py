@@ -326,3 +326,61 @@ def test_equal_texts_and_null_texts_have_edges_by_digest(spark):
     rows = [(1, None, ["d"], ["a", "b"]), (2, "", ["d"], ["a", "b"]), (3, "Some words.", ["d"], ["x"]), (4, "some WORDS", None, None), (5, "some words", ["d"], ["a", "b"])]
     seeds = spark.createDataFrame(rows, "id int, content string, domains array<string>, keywords array<string>")
     assert {(r.i, r.j): r.rule for r in growth.duplicate_edges(seeds).collect()} == {(3, 4): "exact", (3, 5): "exact", (1, 5): "keywords", (2, 5): "keywords"}
+
+
+def repeated_seeds():
+    chance, rows = random.Random(7), []
+    words = [f"w{i}" for i in range(14)]
+    for i in range(150):
+        if rows and chance.random() < 0.5:
+            content, kw, domains = chance.choice(rows)[1:4]
+            kw, domains = (kw, domains) if chance.random() < 0.7 else (kw[1:], ["code"])
+            rows.append((i, content.upper() if chance.random() < 0.3 else content, kw, domains, 0.9))
+        else:
+            text = " ".join(chance.choices(words, k=chance.randint(0, 9)) + chance.choice([[], ["must"], ["never"]]))
+            rows.append((i, text, chance.sample(words, chance.randint(0, 7)), chance.choice([["code"], ["media", "code"], ["media"], []]), 0.9))
+    return rows
+
+
+def test_copies_are_compared_once(spark, monkeypatch):
+    rows = repeated_seeds()
+    seeds = spark.createDataFrame(rows, "id long, content string, keywords array<string>, domains array<string>, reliability double")
+    seen = {r.id: r for r in growth.normalized_seeds(seeds).collect()}
+    firsts = {}
+    for i in sorted(seen):
+        if seen[i].norm:
+            firsts.setdefault(seen[i].norm, i)
+    text = {i: set(seen[i].tokens) for i in seen}
+    edges = {}
+    for j in sorted(seen):
+        for i in range(j):
+            x, y = seen[i], seen[j]
+            if x.norm == y.norm:
+                if y.norm and firsts[y.norm] == i:
+                    edges[i, j] = ("exact", 1.0)
+            elif x.pol * y.pol >= 0:
+                if models.overlap(x.kw, y.kw) >= 0.8 and set(x.dom) & set(y.dom):
+                    edges[i, j] = ("keywords", round(models.overlap(x.kw, y.kw), 3))
+                elif models.overlap(text[i], text[j]) >= 0.85:
+                    edges[i, j] = ("text", round(models.overlap(text[i], text[j]), 3))
+    assert {r for r, _ in edges.values()} == {"exact", "keywords", "text"}
+    listed = [((r.i, r.j), (r.rule, r.score)) for r in growth.duplicate_edges(seeds).collect()]
+    assert len(listed) == len(edges) and dict(listed) == edges
+    want = models.greedy_duplicates(range(len(rows)), lambda i, j: (i, j) in edges)
+    assert {r.id: r.duplicate_of for r in growth.deduplicated(seeds).collect()} == want
+    sets = []
+    monkeypatch.setattr(growth, "overlap_pairs", lambda s, *a, **k: sets.append(s.select("id").collect()) or overlap_pairs(s, *a, **k))
+    growth.duplicate_edges(seeds)
+    classes = {(r.norm or r.id, frozenset(r.kw), frozenset(r.dom)) for r in seen.values()}
+    assert len(sets[0]) == len(classes) < len(rows)
+    spark.catalog.clearCache()
+
+
+def test_small_sets_meet_deep_items_of_large_ones(spark):
+    # Forty sets of ten items and two small ones, which probe with items deep in the larger sets.
+    sets = [(i, [f"s{i}_{n}" for n in range(9)] + ["all"]) for i in range(40)] + [(90, ["s3_4", "s3_5"]), (91, ["s3_4", "all"])]
+    frame = spark.createDataFrame(sets, "id long, items array<string>")
+    found = overlap_pairs(frame, 0.8)
+    assert {(r.a, r.b) for r in found.collect()} == {(90, 3), (91, 3)}
+    assert {(r.a, r.b) for r in overlap_pairs(frame, 0.5).collect()} == {(90, 3), (90, 91), *((91, i) for i in range(40))}
+    spark.catalog.clearCache()
