@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from sievewright.llm import pairs as P
 from sievewright.llm.components import components
 from sievewright.llm.words import fingerprints, set_hashes, signatures, word_sets
+from sievewright.operators.lineage import checkpointed
 
 TREES, LEVELS, CODE_BITS = 24, 9, 6
 DEPTH_BITS = LEVELS * CODE_BITS
@@ -206,12 +207,12 @@ def links(texts: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, DataFram
     """Links (a, b, overlap) between the first rows of equal word sets, and copies (id, rep)."""
     texts = texts.where("id is not null")
     found = features(texts).persist(StorageLevel.MEMORY_AND_DISK)
-    copy = P.copies(found).persist(StorageLevel.MEMORY_AND_DISK)
+    copy = checkpointed(P.copies(found))
     reps = found.join(P.within_bound(copy.select("id")), "id", "left_anti")
     rows = found.count()
     sketches = found.select("id", *P.SKETCH)
     some = P.sketch_filter(candidates(reps, rows).where("a < b"), sketches, NEAR_ALL).distinct()
-    return P.verified(some, texts, threshold).persist(StorageLevel.MEMORY_AND_DISK), copy
+    return checkpointed(P.verified(some, texts, threshold)), copy
 
 
 def near_duplicate_pairs(texts: DataFrame, threshold: float = 0.7) -> DataFrame:

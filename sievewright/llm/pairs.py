@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm.words import FUNCTIONS, words_column
+from sievewright.operators.lineage import checkpointed
 
 #: Members of a class that one task pairs; a larger class is paired by blocks of it.
 MEMBERS = 2_048
@@ -18,9 +19,13 @@ BROADCAST_ROWS = 1_000_000
 SKETCH = [f"s{i}" for i in range(FUNCTIONS // 64)]
 
 
-def within_bound(frame: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Persist a frame and mark it for broadcast if, counted, it keeps to the bound; else leave the join to shuffle it."""
-    frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
+def within_bound(frame: DataFrame, bound: int = BROADCAST_ROWS, cut: bool = False) -> DataFrame:
+    """Persist a frame and mark it for broadcast if, counted, it keeps to the bound; else leave the join to shuffle it.
+
+    ``cut``: checkpoint it instead.  The plan of a kept frame is written out wherever it is used, with all that it is made
+    of, and twice while it adapts: frames kept within kept frames fill the driver's memory with their plans.
+    """
+    frame = checkpointed(frame) if cut else frame.persist(StorageLevel.MEMORY_AND_DISK)
     return F.broadcast(frame) if frame.count() <= bound else frame
 
 
@@ -37,7 +42,7 @@ def copies(features: DataFrame, *by: str) -> DataFrame:
     """
     key = ["h0", "h1", *by]
     many = features.groupBy(*key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return features.select("id", *key).join(within_bound(many), key).where("id <> rep").select("id", "rep")
+    return features.select("id", *key).join(within_bound(many, cut=True), key).where("id <> rep").select("id", "rep")
 
 
 def sketch_filter(pairs: DataFrame, features: DataFrame, radius: int) -> DataFrame:
@@ -49,8 +54,8 @@ def sketch_filter(pairs: DataFrame, features: DataFrame, radius: int) -> DataFra
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Of candidate pairs (a, b), those whose texts overlap by the threshold; with the overlap.  ``texts``: id, text."""
-    pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)
-    wanted = within_bound(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    pairs = checkpointed(pairs)
+    wanted = within_bound(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), cut=True)
     words = texts.join(wanted, "id").select("id", words_column(F.col("text")).alias("w"))
     side = lambda c: words.select(F.col("id").alias(c), F.col("w").alias(f"w_{c}"))
     common = F.size(F.array_intersect("w_a", "w_b"))
