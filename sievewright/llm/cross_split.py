@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from sievewright.llm import pairs as P
 from sievewright.llm.near_duplicates import NEAR_64, NEAR_ALL
 from sievewright.llm.words import FUNCTIONS, fingerprints, set_hashes, signatures, word_sets
+from sievewright.operators.lineage import checkpointed
 
 #: Blocks, segments of each, bits of a segment; fixed, so that a pair's chance does not depend on the table.
 BLOCKS, SEGMENTS, SEGMENT_BITS = 24, 5, 8
@@ -102,14 +103,14 @@ def cross_split_pairs(rows: DataFrame, threshold: float = 0.7) -> DataFrame:
     """
     rows = rows.select("id", "text", F.coalesce("train", F.lit(False)).alias("train")).where("id is not null")
     found = rows.select("id", "text", "train").mapInArrow(_features, FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
-    copy = P.copies(found, "train").persist(StorageLevel.MEMORY_AND_DISK)
+    copy = checkpointed(P.copies(found, "train"))
     reps = found.join(P.within_bound(copy.select("id")), "id", "left_anti")
     some = met(reps, found.count())
     near = P.verified(P.sketch_filter(some, found.select("id", *P.SKETCH), NEAR_ALL), rows, threshold)
     silent = reps.where(F.size("codes") == 0).select("id", "train", "h0", "h1")
     equal = silent.where("not train").select(F.col("id").alias("a"), "h0", "h1").join(silent.where("train").select(F.col("id").alias("b"), "h0", "h1"), ["h0", "h1"])
-    near = near.unionByName(equal.select("a", "b", F.lit(1.0).alias("overlap"))).persist(StorageLevel.MEMORY_AND_DISK)
-    sides = copy.join(found.select("id", "train"), "id").persist(StorageLevel.MEMORY_AND_DISK)
+    near = checkpointed(near.unionByName(equal.select("a", "b", F.lit(1.0).alias("overlap"))))
+    sides = checkpointed(copy.join(found.select("id", "train"), "id"))
     return P.expanded(near, sides.where("not train"), sides.where("train"))
 
 

@@ -1,6 +1,6 @@
 """Plans that reach the driver: frames kept within kept frames are written out again wherever they are used."""
 
-from sievewright.llm import near_duplicates
+from sievewright.llm import cross_split, near_duplicates
 
 
 def kept(frame):
@@ -16,3 +16,11 @@ def test_plan_of_near_duplicates_stays_small(spark):
     assert kept(pairs) <= 20
     assert pairs.count() == 30
     spark.catalog.clearCache()
+
+
+def test_plan_of_cross_split_pairs_stays_small(spark):
+    rows = spark.createDataFrame([(i, i % 3 > 0, t) for i, t in TEXTS], "id long, train boolean, text string")
+    pairs = cross_split.cross_split_pairs(rows)
+    assert kept(pairs) <= 20
+    assert pairs.count() == 20
+    spark.catalog.clearCache()
