@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from sievewright.llm import defect_words as D
 from sievewright.llm.components import components
 from sievewright.llm.pairs import within_bound
+from sievewright.operators.lineage import checkpointed
 
 #: Words up to which all sentences of a response are kept; of a longer one its opening, so many sentences, and those that decline.
 SHORT, OPENING = 60, 3
@@ -574,14 +575,14 @@ def refusals(rows: DataFrame) -> DataFrame:
     """
     said = rows.select("table_name", "row_key", "prompt", "topic", "strange", "words", "sentences").mapInArrow(_parts, ", ".join(f"`{n}` {k}" for n, k, _ in _SAID)).persist(StorageLevel.MEMORY_AND_DISK)
     banded = said.where("bands is not null").select(F.explode("bands").alias("band"), "id", "text", (F.col("declines") | F.col("open")).alias("any"), "declines")
-    known = within_bound(banded.where("declines").select("band").distinct())
+    known = within_bound(banded.where("declines").select("band").distinct(), cut=True)
     met = banded.where("any").unionByName(banded.where("not any").join(known, "band", "left_semi")).select("band", "id", "text")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    similar = met.repartition(parts, "band").sortWithinPartitions("band", "id").mapInArrow(_similar, "a bigint, b bigint").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    similar = checkpointed(met.repartition(parts, "band").sortWithinPartitions("band", "id").mapInArrow(_similar, "a bigint, b bigint").distinct())
     involved = similar.select(F.explode(F.array("a", "b")).alias("id")).unionByName(said.where("declines or open").select("id")).distinct()
-    each = said.select("id", "prompt", "topic", "strange", "declines").join(within_bound(involved), "id", "left_semi").groupBy("id", "prompt", "topic")
+    each = said.select("id", "prompt", "topic", "strange", "declines").join(within_bound(involved, cut=True), "id", "left_semi").groupBy("id", "prompt", "topic")
     each = each.agg(F.count(F.lit(1)).alias("n"), F.count_if("declines").alias("d"), F.count_if("strange").alias("s")).join(components(similar), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    each = each.persist(StorageLevel.MEMORY_AND_DISK)
+    each = checkpointed(each)
     about = each.where("s > 0").select("component", "topic").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("topics"))
     grouped = each.groupBy("id", "component").agg(F.count(F.lit(1)).alias("prompts"), F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("s").alias("s")).persist(StorageLevel.MEMORY_AND_DISK)
     group = grouped.groupBy("component").agg(F.sum("prompts").alias("prompts"), F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("s").alias("s")).join(about, "component", "left")
@@ -589,7 +590,7 @@ def refusals(rows: DataFrame) -> DataFrame:
     spread = F.coalesce((F.col("topics") >= SPREAD) & (F.col("s") >= STRANGE * F.col("n")), F.lit(False))
     named = grouped.select("id", "component", F.col("d").alias("own")).join(group, "component")
     refusing = named.select("id", (template | (F.col("own") > 0)).alias("known"), spread.alias("spread")).where("known or spread")
-    told = said.select("table_name", "row_key", "id", "length", "all", "polite_all", "polite", "open", "leads").join(within_bound(refusing), "id").where("known or open")
+    told = said.select("table_name", "row_key", "id", "length", "all", "polite_all", "polite", "open", "leads").join(within_bound(refusing, cut=True), "id").where("known or open")
     total = told.groupBy("table_name", "row_key").agg(F.first("all").alias("all"), F.first("polite_all").alias("polite_all"), F.sum(F.when(~F.col("polite"), F.col("length")).otherwise(0)).alias("plain"), F.bool_or(F.col("leads") & F.col("known")).alias("leads"))
     return total.where(F.col("leads") | (F.col("plain") + F.col("polite_all") >= 0.6 * F.col("all"))).select("table_name", "row_key")
 

@@ -1,6 +1,6 @@
 """Plans that reach the driver: frames kept within kept frames are written out again wherever they are used."""
 
-from sievewright.llm import cross_split, near_duplicates
+from sievewright.llm import cross_split, near_duplicates, pair_defects
 
 
 def kept(frame):
@@ -24,3 +24,11 @@ def test_plan_of_cross_split_pairs_stays_small(spark):
     assert kept(pairs) <= 20
     assert pairs.count() == 20
     spark.catalog.clearCache()
+
+
+def test_plan_of_pair_defects_stays_small(spark):
+    rows = [("t", i, f"How does the pump number {i} work?", "I cannot help with that request.") for i in range(6)] + [("t", 9, "What is a valve?", "A valve opens and closes a pipe.")]
+    found = pair_defects.pair_defects(spark.createDataFrame(rows, "table_name string, row_key long, question string, answer string"))
+    assert kept(found) <= 40
+    assert {(r.row_key, r.defect) for r in found.collect()} == {(str(i), "refusal") for i in range(6)}
+    spark.catalog.clearCache()
